@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import chat, pack, secrets, tokenize
+from . import chat, jaccard, pack, pii, secrets, substring, tokenize, toxicity
 from .common import read_table
 
 
@@ -29,5 +30,28 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack.crc32_of(pack.pack_documents(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_format, op2_sentencepiece, op3_secret_scan, op4_packing)}
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
+    scored = toxicity.score_documents(docs, toxicity.learn(docs, labels))
+    return scored.select("doc_id", toxicity.held_out_column(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"), F.size("sentences").alias("n_sentences"))
+
+
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = substring.dedup_substrings(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    removed = F.aggregate("removed_spans", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"])
+    return cleaned.select("doc_id", "text", F.size("removed_spans").alias("n_removed"), removed.alias("removed_chars"))
+
+
+def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(read_table(spark, sf_dir, "documents"))
+
+
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pii_digests(pii.find_pii(read_table(spark, sf_dir, "documents")))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_chat_format, op2_sentencepiece, op3_secret_scan, op4_packing, op5_toxicity, op6_substring_dedup, op7_ngram_jaccard, op8_pii)
+}
 ORACLES: dict[str, str] = {}
