@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, jaccard, pack, pii, secrets, substring, tokenize, toxicity
+from . import chat, embeddings, jaccard, pack, pii, secrets, substring, tokenize, toxicity
 from .common import read_table
 
 
@@ -50,8 +50,28 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_digests(pii.find_pii(read_table(spark, sf_dir, "documents")))
 
 
+def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(read_table(spark, sf_dir, "embeddings"))
+
+
+def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read_table(spark, sf_dir, "embeddings")
+    return embeddings.top_k(vectors, vectors.where(F.col("vec_id") % embeddings.QUERY_EVERY == 0))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_chat_format, op2_sentencepiece, op3_secret_scan, op4_packing, op5_toxicity, op6_substring_dedup, op7_ngram_jaccard, op8_pii)
+    for f in (
+        op1_chat_format,
+        op2_sentencepiece,
+        op3_secret_scan,
+        op4_packing,
+        op5_toxicity,
+        op6_substring_dedup,
+        op7_ngram_jaccard,
+        op8_pii,
+        op9_embedding_dedup,
+        op10_top_k,
+    )
 }
 ORACLES: dict[str, str] = {}
