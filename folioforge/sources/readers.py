@@ -53,27 +53,27 @@ def manifest_modules(manifests: DataFrame) -> DataFrame:
     return m.select("source", F.col("m.number").alias("module_no"), "m.title", "m.file", "m.images", "m.stats")
 
 
-def _json_map(spark: SparkSession, path: str, schema: str) -> DataFrame | None:
+def _json_map(spark: SparkSession, path: str, schema: str, multiline: bool) -> DataFrame | None:
     try:
-        return spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", schema)).alias("key", "entry"))
+        return spark.read.text(path, wholetext=multiline).select(F.explode(F.from_json("value", schema)).alias("key", "entry"))
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
         return None
 
 
-def read_state(spark: SparkSession, path: str) -> DataFrame:
-    """(parent_id, module_no, page_id, done) of a state file; empty if there is none."""
-    x = _json_map(spark, path, STATE_JSON)
+def read_state(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
+    """(parent_id, module_no, page_id, done) of a state; empty if there is none. `multiline`: one JSON text over many lines."""
+    x = _json_map(spark, path, STATE_JSON, multiline)
     if x is None:
         return spark.createDataFrame([], STATE)
     x = x.select(F.col("key").alias("parent_id"), F.explode("entry.modules").alias("no", "m"))
     return x.select("parent_id", F.col("no").cast("int").alias("module_no"), F.col("m.pageId").alias("page_id"), F.col("m.done").alias("done"))
 
 
-def read_registry(spark: SparkSession, path: str) -> DataFrame:
-    """The course registry of a file; empty if there is none."""
-    x = _json_map(spark, path, REGISTRY_JSON)
+def read_registry(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
+    """The course registry; empty if there is none."""
+    x = _json_map(spark, path, REGISTRY_JSON, multiline)
     if x is None:
         return spark.createDataFrame([], REGISTRY)
     e = F.col("entry")
