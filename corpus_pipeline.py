@@ -25,19 +25,22 @@ def _with_length(docs: DataFrame) -> DataFrame:
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects the documents whose score reaches the threshold; labels are learnt from outside the held-out quarter."""
     model = toxicity.learn(docs, read_table(spark, sf_dir, "labels"))
-    return toxicity.flag_documents(docs, model).where("not toxic_flag").select(*docs.columns)
+    flagged = toxicity.flag_documents(docs, model)
+    flag = flagged.columns[-1]
+    return flagged.where(~F.col(flag)).drop(flag)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the smallest doc_id of each component, once; rows without a doc_id belong to none and stay."""
     found = jaccard.jaccard_components(docs)
-    keep = found.where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    one = docs.where("doc_id is not null").join(keep, docs["doc_id"] == F.col("kept_id"), "left_semi").dropDuplicates(["doc_id"])
+    keep = found.where("doc_id = component_id").select("doc_id").distinct()
+    one = docs.where("doc_id is not null").join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return one.unionByName(docs.where("doc_id is null"))
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _with_length(substring.dedup_substrings(docs).select(*docs.columns))
+    cleaned = substring.dedup_substrings(docs)
+    return _with_length(cleaned.drop(cleaned.columns[-1]))
 
 
 def generalise_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -200,7 +200,7 @@ class _Expression:
         if self.peek("not"):
             self.at += 1
             return Op("not", (self.negated(),))
-        return self.chain(("==", "!=", "in"), lambda: self.chain(("+", "~"), self.filtered))
+        return self.chain(("==", "!=", "in"), lambda: self.chain(("~",), lambda: self.chain(("+",), self.filtered)))
 
     def filtered(self):
         e = self.primary()

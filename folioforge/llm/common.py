@@ -61,15 +61,24 @@ def release_shuffles(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def plan_bytes(df: DataFrame) -> int:
-    """Spark's own estimate of the bytes a plan reads; for the number of buckets only, never for results."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+def plan_bytes(df: DataFrame) -> int | None:
+    """Spark's own estimate of the bytes a plan reads, None where it has none; for the number of buckets only, never for results."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < 1 << 60 else None
 
 
 def bucket_count(df: DataFrame, bytes_per_bucket: int = 8 << 20) -> int:
     """Buckets that grow with the input, so that the memory of one bucket doesn't."""
     least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(least, min(1_000_000, -(-plan_bytes(df) // bytes_per_bucket)))
+    return max(least, min(1_000_000, -(-(plan_bytes(df) or 0) // bytes_per_bucket)))
+
+
+def fresh_name(df: DataFrame, name: str) -> str:
+    """A column name that `df` doesn't have, whatever its case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def texts_of(column: pa.Array) -> list[str]:

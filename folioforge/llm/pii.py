@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, small_batches, snapshot, texts_of
+from .common import batches, fresh_name, small_batches, snapshot, texts_of
 
 KINDS = ("email", "ip", "card", "phone")
 PLACEHOLDERS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "term": "[REDACTED]"}
@@ -209,7 +209,8 @@ def replaced(text: str, spans: list[tuple[str, int, int]]) -> str:
 def sanitise(docs: DataFrame) -> DataFrame:
     """The rows of `docs`, all columns kept, with every span generalised in their text."""
     terms = term_spans(docs)
-    rows = docs.join(terms, row_key(docs) == terms["term_key"], "left").select(*[docs[c] for c in docs.columns], "terms")
+    key, told_name = fresh_name(docs, "pii_key"), fresh_name(docs, "pii_terms")
+    rows = docs.join(terms.select(F.col("term_key").alias(key), F.col("terms").alias(told_name)), row_key(docs) == F.col(key), "left").drop(key)
     small_batches(docs.sparkSession)
     at, n = docs.columns.index("text"), len(docs.columns)
 

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
-from .common import batches, bucket_count, sentence_spans, small_batches, texts_of
+from .common import batches, bucket_count, fresh_name, sentence_spans, small_batches, texts_of
 
 LEAST_WORDS = 20
 LAST_ID = (1 << 63) - 1
@@ -158,13 +158,14 @@ def dedup_substrings(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFra
     buckets = bucket_count(docs)
     found = repeats(packed_runs(docs, buckets, least_words), buckets)
     # Both steps combine by key before they shuffle; a document has at most two runs a sentence.
-    marks = found.groupBy("id").agg(F.collect_set(F.struct("first", "hash")).alias("found_marks")).withColumnRenamed("id", "mark_id")
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID))
-    joined = docs.join(marks, key == F.col("mark_id"), "left").select(*[docs[c] for c in docs.columns], "found_marks")
+    mark_id, marks_name = fresh_name(docs, "mark_id"), fresh_name(docs, "marks")
+    marks = found.groupBy(F.col("id").alias(mark_id)).agg(F.collect_set(F.struct("first", "hash")).alias(marks_name))
+    key = F.coalesce(docs["doc_id"].cast("long"), F.lit(LAST_ID))
+    joined = docs.join(marks, key == F.col(mark_id), "left").drop(mark_id)
     small_batches(spark)
     at, n = docs.columns.index("text"), len(docs.columns)
     span = StructType([StructField("start", LongType()), StructField("end", LongType())])
-    out_schema = StructType([*docs.schema.fields, StructField("removed_spans", ArrayType(span))])
+    out_schema = StructType([*docs.schema.fields, StructField(fresh_name(docs, "removed_spans"), ArrayType(span))])
     span_pa = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,6 +179,6 @@ def dedup_substrings(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFra
                 gone.append([{"start": x, "end": y} for x, y in spans])
             columns = [*b.columns[:n], pa.array(gone, span_pa)]
             columns[at] = pa.array(texts, b.schema.field(at).type)
-            yield pa.RecordBatch.from_arrays(columns, names=[*b.schema.names[:n], "removed_spans"])
+            yield pa.RecordBatch.from_arrays(columns, names=[*b.schema.names[:n], out_schema.names[-1]])
 
     return joined.mapInArrow(run, out_schema)

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, sentence_spans, small_batches, texts_of
+from .common import batches, fresh_name, sentence_spans, small_batches, texts_of
 
 BIAS = -9.0
 THRESHOLD = 0.3
@@ -199,21 +199,21 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def flag_documents(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of `docs`, all columns kept, with a boolean column `toxic_flag` that no input column may be called."""
+    """The rows of `docs`, all columns kept, with a last boolean column `toxic_flag` (with _ behind it if that is taken)."""
     spark = docs.sparkSession
     small_batches(spark)
     shared = spark.sparkContext.broadcast(model)
-    at = docs.columns.index("text")
+    at, name = docs.columns.index("text"), fresh_name(docs, "toxic_flag")
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
         for b in parts:
             flags = pa.array([scorer.score(t)[0] >= threshold for t in texts_of(b.column(at))], pa.bool_())
-            yield b.append_column("toxic_flag", flags)
+            yield b.append_column(name, flags)
 
     from pyspark.sql.types import BooleanType, StructType
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields]).add("toxic_flag", BooleanType()))
+    return docs.mapInArrow(run, StructType([*docs.schema.fields]).add(name, BooleanType()))
 
 
 def learn(docs: DataFrame, labels: DataFrame) -> Model:
