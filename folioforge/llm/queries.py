@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from . import chat, embeddings, jaccard, pack, pii, secrets, substring, tokenize, toxicity
 from .common import read_table
+from .oracles import ORACLES as ORACLES
 
 
 def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,4 +75,3 @@ QUERIES = {
         op10_top_k,
     )
 }
-ORACLES: dict[str, str] = {}
