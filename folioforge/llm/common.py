@@ -102,10 +102,10 @@ def batches(schema: pa.Schema):
 SENTENCE_END = re.compile(r"(?<=[.!?])[ \t]+|\n+|(?<=[^\W\dA-Z_])[ \t]+(?=[^\W\d_a-zß-ÿ])")
 
 
-def sentence_spans(text: str) -> list[tuple[int, int]]:
+def sentence_spans(text: str, ends: re.Pattern = SENTENCE_END) -> list[tuple[int, int]]:
     """(start, end) of each sentence, without the white space between them."""
     out, at = [], 0
-    for m in SENTENCE_END.finditer(text):
+    for m in ends.finditer(text):
         if m.start() > at:
             out.append((at, m.start()))
         at = m.end()

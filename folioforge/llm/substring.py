@@ -1,9 +1,11 @@
 """Substring deduplication by sliding sentence spans.
 
-Every run of several consecutive sentences is hashed: from each sentence the shortest run that holds `least_words` words,
-and the shortest such run that ends at each sentence, so a repeated passage is covered to its last sentence. (One sentence
-that long is a run of its own.) Equal runs meet by hash over the whole table; the first, by doc_id and place, stays, and
-sentences that any other one covers are removed from their documents with the white space after them.
+Sentences here end at commas, semicolons and colons too: a passage pasted into the middle of a sentence then loses little
+at its edges. Every run of several consecutive sentences is hashed: from each sentence the shortest run that holds
+`least_words` words, and the shortest such run that ends at each sentence, so a repeated passage is covered to its last
+sentence. (One sentence that long is a run of its own.) Equal runs meet by hash over the whole table; the first, by doc_id
+and place, stays. Sentences that any other one covers are removed from their documents, with the white space after them,
+where they make up a stretch of at least `least_stretch` words: short phrases that recur stay.
 
 Runs travel packed by hash bucket, fourteen bytes a run, so a passage that very many documents share is a few bytes from
 each, not a group of rows. A removal names its hash, and a document removes a run only if that hash stands at that place.
@@ -15,6 +17,7 @@ kept; an empty table gives an empty one.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,15 +28,19 @@ from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from .common import batches, bucket_count, fresh_name, sentence_spans, small_batches, texts_of
 
-LEAST_WORDS = 20
+LEAST_WORDS, LEAST_STRETCH = 12, 25
 LAST_ID = (1 << 63) - 1
 
 
+#: As in `common.SENTENCE_END`, and after , ; and :
+_CLAUSE_END = re.compile(r"(?<=[.!?,;:])[ \t]+|\n+|(?<=[^\W\dA-Z_])[ \t]+(?=[^\W\d_a-zß-ÿ])")
+
+
 def runs_of(text: str, least_words: int = LEAST_WORDS) -> tuple[list[tuple[int, int]], np.ndarray, np.ndarray, np.ndarray]:
     """(sentence spans, first sentence, last sentence, 64-bit hash) of a text's runs."""
     import xxhash
 
-    spans = sentence_spans(text)
+    spans = sentence_spans(text, _CLAUSE_END)
     sentences = [text[a:b] for a, b in spans]
     n = len(sentences)
     words = np.fromiter((s.count(" ") + 1 for s in sentences), dtype=np.int64, count=n)
@@ -123,7 +130,7 @@ def repeats(packed: DataFrame, buckets: int) -> DataFrame:
     return packed.repartition(buckets, "bucket").mapInArrow(run, "id long, first long, hash long")
 
 
-def removed_spans(text: str, marks: set[tuple[int, int]], least_words: int) -> list[tuple[int, int]]:
+def removed_spans(text: str, marks: set[tuple[int, int]], least_words: int, least_stretch: int) -> list[tuple[int, int]]:
     """(start, end) of the stretches of a text to remove; marks: (first sentence, signed hash) of runs."""
     if not marks:
         return []
@@ -133,14 +140,14 @@ def removed_spans(text: str, marks: set[tuple[int, int]], least_words: int) -> l
         if (a, x) in marks:
             gone[a] += 1
             gone[b + 1] -= 1
-    out: list[tuple[int, int]] = []
-    for k in np.flatnonzero(np.cumsum(gone)[:-1] > 0).tolist():
-        a = spans[k][0]
-        b = spans[k + 1][0] if k + 1 < len(spans) else len(text)
-        if out and out[-1][1] == a:
-            out[-1] = (out[-1][0], b)
-        else:
-            out.append((a, b))
+    covered = np.flatnonzero(np.cumsum(gone)[:-1] > 0)
+    out = []
+    for part in np.split(covered, np.flatnonzero(np.diff(covered) > 1) + 1):
+        if len(part):
+            i, j = int(part[0]), int(part[-1])
+            end = spans[j + 1][0] if j + 1 < len(spans) else len(text)
+            if sum(text.count(" ", *spans[k]) + 1 for k in range(i, j + 1)) >= least_stretch:
+                out.append((spans[i][0], end))
     return out
 
 
@@ -152,7 +159,7 @@ def without(text: str, spans: list[tuple[int, int]]) -> str:
     return "".join([*kept, text[at:]])
 
 
-def dedup_substrings(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
+def dedup_substrings(docs: DataFrame, least_words: int = LEAST_WORDS, least_stretch: int = LEAST_STRETCH) -> DataFrame:
     """The rows of `docs` with their text cleaned, all columns kept, and `removed_spans` array<struct<start,end>> of the text before."""
     spark = docs.sparkSession
     buckets = bucket_count(docs)
@@ -174,7 +181,7 @@ def dedup_substrings(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFra
             for i, m in enumerate(b.column(n)):
                 spans = []
                 if m.is_valid and texts[i]:
-                    spans = removed_spans(texts[i], {(x["first"], x["hash"]) for x in m.as_py()}, least_words)
+                    spans = removed_spans(texts[i], {(x["first"], x["hash"]) for x in m.as_py()}, least_words, least_stretch)
                     texts[i] = without(texts[i], spans)
                 gone.append([{"start": x, "end": y} for x, y in spans])
             columns = [*b.columns[:n], pa.array(gone, span_pa)]

@@ -226,6 +226,15 @@ def brute_dedup(rows, least):
     for d, t in rows:
         spans, a, b, h = substring.runs_of(t or "", least)
         gone = {k for x, y, z in zip(a.tolist(), b.tolist(), h.tolist()) if first[z] != (d, x) for k in range(x, y + 1)}
+        words = [(t or "").count(" ", x, y) + 1 for x, y in spans]
+        for k in sorted(gone):  # short stretches stay
+            i, j = k, k
+            while i - 1 in gone:
+                i -= 1
+            while j + 1 in gone:
+                j += 1
+            if sum(words[i : j + 1]) < substring.LEAST_STRETCH:
+                gone = gone - set(range(i, j + 1))
         keep, at = [], 0
         for k in sorted(gone):
             keep.append((t[at : spans[k][0]]))
