@@ -212,7 +212,7 @@ class SortedLists:
 
     def _scores(self, rows: np.ndarray, q: np.ndarray, exact: bool) -> np.ndarray:
         if exact:
-            return self.x[rows] @ q
+            return (self.x @ q)[rows] if 4 * len(rows) > len(self.x) else self.x[rows] @ q
         ints = [int(c) for c in q]
         return np.array([sum(int(c) * d for c, d in zip(self.x[r], ints)) for r in rows], dtype=object)
 
@@ -227,25 +227,33 @@ class SortedLists:
             best_rows = np.flatnonzero(self.ids != query_id)[:k]
             best_scores = np.zeros(len(best_rows))
         down = q[dims] < 0
+        up_dims, down_dims = dims[~down], dims[down]
         while depth < n:
             end = min(n, depth + step)
-            up_rows = self.lists[depth:end][:, dims[~down]]
-            down_rows = self.lists[n - end : n - depth][:, dims[down]]
-            fresh = np.zeros(n, dtype=bool)
-            fresh[up_rows.ravel()] = True
-            fresh[down_rows.ravel()] = True
-            fresh &= ~seen
+            if n - int(seen.sum()) <= step * len(dims):
+                # No more rows are left than this step would look up: the walk ends by scoring them all.
+                fresh, end = ~seen, n
+            else:
+                fresh = np.zeros(n, dtype=bool)
+                fresh[self.lists[depth:end][:, up_dims].ravel()] = True
+                fresh[self.lists[n - end : n - depth][:, down_dims].ravel()] = True
+                fresh &= ~seen
             seen |= fresh
             rows = np.flatnonzero(fresh)
             rows = rows[self.ids[rows] != query_id]
             if len(rows):
-                best_rows, best_scores = np.r_[best_rows, rows], np.r_[best_scores, self._scores(rows, q, exact)]
+                scores = self._scores(rows, q, exact)
+                if exact and len(rows) > 4 * k:  # only what reaches the kth of them can matter
+                    good = scores >= np.partition(scores, len(scores) - k)[len(scores) - k]
+                    rows, scores = rows[good], scores[good]
+                best_rows, best_scores = np.r_[best_rows, rows], np.r_[best_scores, scores]
                 order = np.lexsort((best_rows, -best_scores))[:k] if exact else np.array(sorted(range(len(best_rows)), key=lambda i: (-best_scores[i], best_rows[i]))[:k], dtype=np.int64)
                 best_rows, best_scores = best_rows[order], best_scores[order]
-            if len(best_rows) == k:
+            if end < n and len(best_rows) == k:
                 # Rows are in order of id, so an unseen row that ties could still win: only a lower bound stops the walk.
                 at = np.where(down, self.lists[n - end, dims], self.lists[end - 1, dims])
-                bound = sum(int(self.x[r, d]) * int(q[d]) for r, d in zip(at, dims))
+                edge = self.x[at, dims]
+                bound = float(edge @ q[dims]) if exact else sum(int(c) * int(d) for c, d in zip(edge, q[dims]))
                 if bound < best_scores[-1]:
                     break
             depth = end
