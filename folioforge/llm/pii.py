@@ -2,12 +2,15 @@
 
 Protected entities (e-mail and IP addresses, card and phone numbers) are found by pattern. Then the corpus says which
 terms give an entity away: within `window` words of the same line, term t and entity e are seen together in n(t, e)
-distinct contexts, and t stands n(t) times in the whole corpus. P(e | t) = n(t, e) / n(t) is how surely the term discloses
-the entity, and log2(P(e | t) / P(e)) the bits it gives. A pair with at least `least_contexts` contexts, P(e | t) of at
-least `least_share` and at least `least_bits` is a disclosure: the term is generalised wherever it stands near the entity.
-Contexts count once however often a text is copied.
+distinct contexts, and t stands n(t) times in the whole corpus. P(e | t) = n(t, e) / (n(t) + 1) is how surely the term
+discloses the entity (the 1 is a place that wasn't seen, so that few places prove less than many), and
+log2(P(e | t) / P(e)) the bits it gives, where P(e) is the share of all term places that are near e. A pair with at least
+`least_contexts` contexts, P(e | t) of at least `least_share` and at least the part `least_bits` of the entity's own
+information -log2(P(e)) is a disclosure: the term is generalised wherever it stands in the corpus. Contexts count once
+however often a text is copied, in n(t, e), in n(t) and in P(e).
 
 Counts cover the whole corpus: terms are counted in each worker and summed by term, a pair's contexts are combined by key.
+Terms all of whose places are near their entity need no search; only the others are sent to the workers to be looked up.
 
 Rows: null and empty texts hold nothing; a null or repeated doc_id is a row like any other; extra columns are kept by `sanitise` and dropped by `find_pii`; an empty table
 gives an empty one. Texts are read whole.
@@ -27,7 +30,7 @@ from .common import batches, fresh_name, small_batches, snapshot, texts_of
 
 KINDS = ("email", "ip", "card", "phone")
 PLACEHOLDERS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "term": "[REDACTED]"}
-WINDOW, LEAST_CONTEXTS, LEAST_SHARE, LEAST_BITS = 6, 4, 0.5, 8.0
+WINDOW, LEAST_CONTEXTS, LEAST_SHARE, LEAST_BITS = 6, 1, 0.5, 0.5
 COUNTER_WORDS = 300_000
 
 _LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
@@ -87,12 +90,16 @@ def normal_entity(kind: str, value: str) -> str:
     return f"{kind}:{value.lower()}" if kind in ("email", "ip") else f"{kind}:" + re.sub("[^0-9]", "", value)
 
 
-def contexts(text: str, window: int = WINDOW) -> Iterator[tuple[str, str, int, int, int]]:
-    """(entity, term, start, end, hash of the context) for each term near an entity, in the same line."""
+def contexts(text: str, window: int = WINDOW) -> Iterator[tuple[str, str, int, int, int, int, int]]:
+    """(entity, term, start, end, hash of the context, new, times) for each term near an entity, in the same line.
+
+    new is 1 at the first mention of the entity that a place is near, else 0; times are the new places of the term at this mention.
+    """
     import xxhash
 
     found = base_spans(text)
     spans = sorted((a, b, k) for k, x in found.items() for a, b in x)
+    told: set[tuple[str, int]] = set()
     for a, b, k in spans:
         line = max(text.rfind("\n", 0, a) + 1, a - 40 * window)
         stop = text.find("\n", b)
@@ -101,9 +108,12 @@ def contexts(text: str, window: int = WINDOW) -> Iterator[tuple[str, str, int, i
         after = [m for m in _TERM.finditer(text, b, stop)][:window]
         h = xxhash.xxh3_64_intdigest(" ".join(m[0].lower() for m in before + after)) - (1 << 63)
         entity = normal_entity(k, text[a:b])
-        for m in before + after:
-            if not any(x < m.end() and m.start() < y for x, y, _ in spans):
-                yield entity, m[0].lower(), m.start(), m.end(), h
+        places = [(m[0].lower(), *m.span()) for m in before + after if not any(x < m.end() and m.start() < y for x, y, _ in spans)]
+        new = {x for _, x, _ in places if (entity, x) not in told}
+        times = Counter(t for t, x, _ in places if x in new)
+        told.update((entity, x) for x in new)
+        for t, x, y in places:
+            yield entity, t, x, y, h, int(x in new), times[t]
 
 
 def row_key(docs: DataFrame) -> Column:
@@ -112,9 +122,9 @@ def row_key(docs: DataFrame) -> Column:
 
 
 def context_rows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(key, entity, term, start, end, context): the terms near entities; key is the row's, by doc_id and text."""
+    """(key, entity, term, start, end, context, new, times): the terms near entities; key is the row's, by doc_id and text."""
     small_batches(docs.sparkSession)
-    schema = pa.schema([("key", pa.int64()), ("entity", pa.string()), ("term", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("context", pa.int64())])
+    schema = pa.schema([("key", pa.int64()), ("entity", pa.string()), ("term", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("context", pa.int64()), ("new", pa.int64()), ("times", pa.int64())])
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wrap = batches(schema)
@@ -122,67 +132,92 @@ def context_rows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             rows = [(d, *x) for d, t in zip(b.column(0).to_pylist(), texts_of(b.column(1))) for x in contexts(t, window)]
             yield wrap([list(c) for c in zip(*rows)] if rows else [[] for _ in schema])
 
-    return docs.select(row_key(docs), "text").mapInArrow(run, "key long, entity string, term string, start long, end long, context long")
+    return docs.select(row_key(docs), "text").mapInArrow(run, "key long, entity string, term string, start long, end long, context long, new long, times long")
 
 
 def term_counts(docs: DataFrame) -> DataFrame:
-    """(term, n): how often each term stands in the whole corpus, counted in the workers before it is summed."""
+    """(term, n): how often each term stands in the whole corpus, counted in the workers before it is summed; '' has the sum of all."""
     small_batches(docs.sparkSession)
     schema = pa.schema([("term", pa.string()), ("n", pa.int64())])
 
+    def lowered(counts: Counter) -> Iterator[list[list]]:
+        low: Counter = Counter()
+        for word, n in counts.items():
+            low[word.lower()] += n
+        low[""] = sum(counts.values())
+        items = list(low.items())
+        for i in range(0, len(items), 50_000):
+            yield [list(x) for x in zip(*items[i : i + 50_000])]
+
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wrap, counts = batches(schema), Counter()
         for b in parts:
             for t in texts_of(b.column(0)):
-                counts.update(_TERM.findall(t.lower()))
+                counts.update(_TERM.findall(t))
             if len(counts) > COUNTER_WORDS:
-                yield wrap([list(counts), list(counts.values())])
+                yield from map(wrap, lowered(counts))
                 counts.clear()
-        items = list(counts.items())
-        for i in range(0, len(items), 50_000):
-            yield wrap([list(x) for x in zip(*items[i : i + 50_000])])
+        yield from map(wrap, lowered(counts))
 
     return docs.select("text").mapInArrow(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
 
 
 def disclosures(rows: DataFrame, docs: DataFrame, least_contexts: int = LEAST_CONTEXTS, least_share: float = LEAST_SHARE, least_bits: float = LEAST_BITS) -> DataFrame:
-    """(entity, term, n_contexts, share, bits) of the pairs that disclose."""
-    distinct = rows.groupBy("entity", "term", "context").agg(F.count("*").alias("copies"))
-    pairs = distinct.groupBy("entity", "term").agg(F.count("*").alias("n_contexts"), F.sum("copies").alias("together")).where(F.col("n_contexts") >= least_contexts)
-    pairs = snapshot(pairs)
-    if pairs.isEmpty():
-        return pairs.select("entity", "term", "n_contexts", F.lit(0.0).alias("share"), F.lit(0.0).alias("bits"))
-    per_entity = rows.groupBy("entity").agg(F.count("*").alias("n_entity"))
-    total = rows.count()
-    judged = pairs.join(term_counts(docs), "term").join(per_entity, "entity")
-    share = F.least(F.lit(1.0), F.col("together") / F.col("n"))
-    judged = judged.select("entity", "term", "n_contexts", share.alias("share"), F.log2(share / (F.col("n_entity") / F.lit(float(max(1, total))))).alias("bits"))
-    return judged.where((F.col("share") >= least_share) & (F.col("bits") >= least_bits))
-
-
-def term_spans(docs: DataFrame) -> DataFrame:
-    """(term_key, terms array<struct<start,end>>): where disclosing terms stand, by row key."""
+    """(entity, term, n_contexts, share, bits, elsewhere) of the pairs that disclose; elsewhere: the term has places not near the entity."""
+    distinct = rows.groupBy("entity", "term", "context").agg(F.sum("new").alias("places"), F.max("times").alias("once"))
+    pairs = distinct.groupBy("entity", "term").agg(F.count("*").alias("n_contexts"), F.sum("places").alias("near"), F.sum("once").alias("once"))
+    # The row of no entity brings the sum of all counts along.
+    whole = docs.sparkSession.createDataFrame([("", "", 0, 0, 0)], "entity string, term string, n_contexts long, near long, once long")
+    judged = snapshot(pairs.unionByName(whole).join(term_counts(docs), "term"))
+    total = judged.where("entity = ''").select("n").first()
+    per_entity = judged.where("entity <> ''").groupBy("entity").agg(F.sum("once").alias("n_entity"))
+    n = F.col("n") - F.col("near") + F.col("once")
+    share, p = F.least("n_contexts", n) / (n + 1), F.col("n_entity") / F.lit(float(max(1, total[0] if total else 0)))
+    judged = judged.where(F.col("n_contexts") >= least_contexts).join(per_entity, "entity")
+    judged = judged.select("entity", "term", "n_contexts", share.alias("share"), F.log2(share / p).alias("bits"), (-F.log2(p)).alias("own"), (F.col("n") > F.col("near")).alias("elsewhere"))
+    return judged.where((F.col("share") >= least_share) & (F.col("bits") >= least_bits * F.col("own"))).drop("own")
+
+
+def term_spans(docs: DataFrame) -> tuple[DataFrame, frozenset[str]]:
+    """(term_key, terms array<struct<start,end>>): where disclosing terms stand near their entities, by row key; and the terms that stand elsewhere too."""
     rows = snapshot(context_rows(docs))
-    told = disclosures(rows, docs).select("entity", "term")
-    return rows.join(told, ["entity", "term"]).groupBy(F.col("key").alias("term_key")).agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("terms"))
+    told = snapshot(disclosures(rows, docs).select("entity", "term", "elsewhere"))
+    wide = frozenset(r["term"] for r in told.where("elsewhere").select("term").distinct().toLocalIterator())
+    return rows.join(told, ["entity", "term"]).groupBy(F.col("key").alias("term_key")).agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("terms")), wide
+
+
+def places_of(text: str, terms: frozenset[str], base: dict[str, list[tuple[int, int]]]) -> list[tuple[int, int]]:
+    """(start, end) of every place of these terms outside base spans."""
+    if not terms or terms.isdisjoint(w.lower() for w in set(_TERM.findall(text))):
+        return []
+    spans = [x for found in base.values() for x in found]
+    return [m.span() for m in _TERM.finditer(text) if m[0].lower() in terms and not any(x < m.end() and m.start() < y for x, y in spans)]
 
 
 def find_pii(docs: DataFrame) -> DataFrame:
     """(doc_id, found array<struct<kind,start,end>>): base spans by kind as listed, then start, then terms. Texts don't move."""
-    terms = term_spans(docs)
+    terms, wide = term_spans(docs)
+    wide = docs.sparkSession.sparkContext.broadcast(wide)
     small_batches(docs.sparkSession)
     struct = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
-    schema = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("base", pa.list_(struct))])
+    place = pa.struct([("start", pa.int64()), ("end", pa.int64())])
+    schema = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("base", pa.list_(struct)), ("more", pa.list_(place))])
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wrap = batches(schema)
         for b in parts:
-            found = [[{"kind": k, "start": x, "end": y} for k, spans in base_spans(t).items() for x, y in spans] for t in texts_of(b.column(2))]
-            yield wrap([b.column(0), b.column(1), found])
+            found, more = [], []
+            for t in texts_of(b.column(2)):
+                base = base_spans(t)
+                found.append([{"kind": k, "start": x, "end": y} for k, spans in base.items() for x, y in spans])
+                more.append([{"start": x, "end": y} for x, y in places_of(t, wide.value, base)])
+            yield wrap([b.column(0), b.column(1), found, more])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key(docs), "text").mapInArrow(run, "doc_id long, key long, base array<struct<kind:string,start:long,end:long>>")
-    more = F.transform("terms", lambda x: F.struct(F.lit("term").alias("kind"), x["start"].alias("start"), x["end"].alias("end")))
-    return rows.join(terms, F.col("key") == F.col("term_key"), "left").select("doc_id", F.when(F.col("terms").isNull(), F.col("base")).otherwise(F.concat("base", more)).alias("found"))
+    types = "doc_id long, key long, base array<struct<kind:string,start:long,end:long>>, more array<struct<start:long,end:long>>"
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key(docs), "text").mapInArrow(run, types)
+    rows = rows.join(terms, F.col("key") == F.col("term_key"), "left")
+    every = F.array_sort(F.when(F.col("terms").isNull(), F.col("more")).otherwise(F.array_union("terms", "more")))
+    return rows.select("doc_id", F.concat("base", F.transform(every, lambda x: F.struct(F.lit("term").alias("kind"), x["start"].alias("start"), x["end"].alias("end")))).alias("found"))
 
 
 def pii_digests(findings: DataFrame) -> DataFrame:
@@ -208,7 +243,8 @@ def replaced(text: str, spans: list[tuple[str, int, int]]) -> str:
 
 def sanitise(docs: DataFrame) -> DataFrame:
     """The rows of `docs`, all columns kept, with every span generalised in their text."""
-    terms = term_spans(docs)
+    terms, wide = term_spans(docs)
+    wide = docs.sparkSession.sparkContext.broadcast(wide)
     key, told_name = fresh_name(docs, "pii_key"), fresh_name(docs, "pii_terms")
     rows = docs.join(terms.select(F.col("term_key").alias(key), F.col("terms").alias(told_name)), row_key(docs) == F.col(key), "left").drop(key)
     small_batches(docs.sparkSession)
@@ -220,7 +256,9 @@ def sanitise(docs: DataFrame) -> DataFrame:
             for i, told in enumerate(b.column(n).to_pylist()):
                 if not texts[i]:
                     continue
-                spans = [(k, x, y) for k, found in base_spans(texts[i]).items() for x, y in found] + [("term", x["start"], x["end"]) for x in told or ()]
+                base = base_spans(texts[i])
+                spans = [(k, x, y) for k, found in base.items() for x, y in found] + [("term", x["start"], x["end"]) for x in told or ()]
+                spans += [("term", x, y) for x, y in places_of(texts[i], wide.value, base)]
                 if spans:
                     texts[i] = replaced(texts[i], spans)
             columns = list(b.columns[:n])

@@ -212,6 +212,20 @@ def test_disclosing_terms(spark):
     assert [r["text"] for r in clean] == ["mail [EMAIL] now", None, "nothing here"] and clean[0]["terms"] == "clash"
 
 
+def test_disclosing_terms_go_everywhere(spark):
+    told = [f"line {w} about zorblax boss@corp.example says {w}" for w in ("uno", "dos", "tres", "cuatro", "cinco", "seis")]
+    other = [f"line about says {w} mail{i}@x.example" for i, w in enumerate(["uno", "dos", "tres", "cuatro"] * 30)]
+    texts = told + other + told[:1] * 50 + ["once Zorblax said uno dos", "rarely seen a qwyzzle", "line uno qwyzzle about 10.1.2.3 says uno", "line frimtook about 10.9.8.7 says uno"]
+    found = {r["doc_id"]: {texts[r["doc_id"]][s["start"] : s["end"]] for s in r["found"] if s["kind"] == "term"} for r in pii.find_pii(docs(spark, texts)).collect()}
+    far, last = len(texts) - 4, len(texts) - 1
+    assert all(found[i] == {"zorblax"} for i in [*range(6), *range(126, 176)])
+    assert found[far] == {"Zorblax"}  # no entity near
+    assert found[last] == {"frimtook"}  # one context is enough for a term that stands nowhere else
+    assert not any(found[i] for i in [*range(6, 126), far + 1, far + 2])
+    clean = pii.sanitise(docs(spark, texts)).where(F.col("doc_id").isin(0, far, last)).orderBy("doc_id").collect()
+    assert [r["text"] for r in clean] == ["line uno about [REDACTED] [EMAIL] says uno", "once [REDACTED] said uno dos", "line [REDACTED] about [IP] says uno"]
+
+
 # ---- substring dedup -------------------------------------------------------------------------------
 
 
