@@ -19,6 +19,7 @@ gives an empty one. Texts are read whole.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -90,25 +91,41 @@ def normal_entity(kind: str, value: str) -> str:
     return f"{kind}:{value.lower()}" if kind in ("email", "ip") else f"{kind}:" + re.sub("[^0-9]", "", value)
 
 
+def outside(words: list[re.Match], spans: list[tuple]) -> list[bool]:
+    """Which of the words, in order, meet none of the (start, end, ...) spans, in order of start."""
+    out, k, reach = [], 0, 0
+    for m in words:
+        while k < len(spans) and spans[k][0] < m.end():
+            reach = max(reach, spans[k][1])
+            k += 1
+        out.append(reach <= m.start())
+    return out
+
+
 def contexts(text: str, window: int = WINDOW) -> Iterator[tuple[str, str, int, int, int, int, int]]:
-    """(entity, term, start, end, hash of the context, new, times) for each term near an entity, in the same line.
+    """(entity, term, start, end, hash of the context, new, times) for each term near an entity: the `window` words on either side
+    in the same line, however far they are. A word that an entity cuts is none.
 
     new is 1 at the first mention of the entity that a place is near, else 0; times are the new places of the term at this mention.
     """
     import xxhash
 
-    found = base_spans(text)
-    spans = sorted((a, b, k) for k, x in found.items() for a, b in x)
+    spans = sorted((a, b, k) for k, x in base_spans(text).items() for a, b in x)
     told: set[tuple[str, int]] = set()
+    stop, words = -1, []
     for a, b, k in spans:
-        line = max(text.rfind("\n", 0, a) + 1, a - 40 * window)
-        stop = text.find("\n", b)
-        stop = min(len(text) if stop < 0 else stop, b + 40 * window)
-        before = [m for m in _TERM.finditer(text, line, a)][-window:]
-        after = [m for m in _TERM.finditer(text, b, stop)][:window]
-        h = xxhash.xxh3_64_intdigest(" ".join(m[0].lower() for m in before + after)) - (1 << 63)
+        if a > stop:  # a new line: its words once, whatever number of entities it has
+            stop = text.find("\n", b)
+            stop = len(text) if stop < 0 else stop
+            start = text.rfind("\n", 0, a) + 1
+            words = list(_TERM.finditer(text, start, stop))
+            free = outside(words, spans[bisect_left(spans, (start,)) : bisect_left(spans, (stop,))])  # no span has a line end
+        first = bisect_right(words, a, key=re.Match.end)
+        last = bisect_left(words, b, key=re.Match.start)
+        near = [*range(max(0, first - window), first), *range(last, min(len(words), last + window))]
+        h = xxhash.xxh3_64_intdigest(" ".join(words[i][0].lower() for i in near)) - (1 << 63)
         entity = normal_entity(k, text[a:b])
-        places = [(m[0].lower(), *m.span()) for m in before + after if not any(x < m.end() and m.start() < y for x, y, _ in spans)]
+        places = [(words[i][0].lower(), *words[i].span()) for i in near if free[i]]
         new = {x for _, x, _ in places if (entity, x) not in told}
         times = Counter(t for t, x, _ in places if x in new)
         told.update((entity, x) for x in new)
@@ -190,8 +207,8 @@ def places_of(text: str, terms: frozenset[str], base: dict[str, list[tuple[int,
     """(start, end) of every place of these terms outside base spans."""
     if not terms or terms.isdisjoint(w.lower() for w in set(_TERM.findall(text))):
         return []
-    spans = [x for found in base.values() for x in found]
-    return [m.span() for m in _TERM.finditer(text) if m[0].lower() in terms and not any(x < m.end() and m.start() < y for x, y in spans)]
+    words = [m for m in _TERM.finditer(text) if m[0].lower() in terms]
+    return [m.span() for m, free in zip(words, outside(words, sorted(x for found in base.values() for x in found))) if free]
 
 
 def find_pii(docs: DataFrame) -> DataFrame:

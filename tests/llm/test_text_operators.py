@@ -226,6 +226,16 @@ def test_disclosing_terms_go_everywhere(spark):
     assert [r["text"] for r in clean] == ["line uno about [REDACTED] [EMAIL] says uno", "once [REDACTED] said uno dos", "line [REDACTED] about [IP] says uno"]
 
 
+def test_words_are_found_however_far():
+    for gap in (" " + "7" * 300 + " ", " https://x.yy/" + "9/" * 200 + " ", " " * 500):
+        got = {x[1] for x in pii.contexts(f"far\nabcdef ghijkl{gap}a@x.yy{gap}mnopqr stuvwx\nfar")}
+        assert got >= {"abcdef", "ghijkl", "mnopqr", "stuvwx"} and "far" not in got
+    long = "z" * 300
+    assert {x[1] for x in pii.contexts(f"{long} a@x.yy {long}")} == {long}  # whole, no fragment
+    assert [x[:4] for x in pii.contexts("éééa@x.yy one 1.2.3.4 two", window=1)] == [("email:a@x.yy", "one", 10, 13), ("ip:1.2.3.4", "one", 10, 13), ("ip:1.2.3.4", "two", 22, 25)]
+    assert len(list(pii.contexts("a@x.yy 1.2.3.4 " * 20000))) == 0 and len(list(pii.contexts("a@x.yy abc " * 5000))) > 5000
+
+
 # ---- substring dedup -------------------------------------------------------------------------------
 
 
