@@ -5,7 +5,8 @@ at its edges. Every run of several consecutive sentences is hashed: from each se
 `least_words` words, and the shortest such run that ends at each sentence, so a repeated passage is covered to its last
 sentence. (One sentence that long is a run of its own.) Equal runs meet by hash over the whole table; the first, by doc_id
 and place, stays. Sentences that any other one covers are removed from their documents, with the white space after them,
-where they make up a stretch of at least `least_stretch` words: short phrases that recur stay.
+where they make up a stretch of at least `least_stretch` words. That is no more than a run has, so every repeated run goes:
+the first and the last sentence of a passage may be fused with the text around it, and what lies between can be short.
 
 Runs travel packed by hash bucket, fourteen bytes a run, so a passage that very many documents share is a few bytes from
 each, not a group of rows. A removal names its hash, and a document removes a run only if that hash stands at that place.
@@ -28,7 +29,7 @@ from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from .common import batches, bucket_count, fresh_name, sentence_spans, small_batches, texts_of
 
-LEAST_WORDS, LEAST_STRETCH = 12, 25
+LEAST_WORDS, LEAST_STRETCH = 12, 12
 LAST_ID = (1 << 63) - 1
 
 

@@ -296,3 +296,16 @@ def test_passages_of_fifty_words_go(spark):
     got = substring.dedup_substrings(docs(spark, texts)).orderBy("doc_id").collect()
     middle = " ".join(passage.split()[12:40])
     assert middle in got[0]["text"] and not any(middle in r["text"] for r in got[1:])
+
+
+def test_fused_passages_of_fifty_words_go(spark):
+    """Passages that start in lower case and end without punctuation, so that only the middle clauses are equal."""
+    rnd = random.Random(9)
+    prose = lambda n: " ".join("".join(rnd.choice("abcdefghij") for _ in range(6)) for _ in range(n))
+    inner = f"{prose(7)}, {prose(8)},"
+    passage = f"{prose(18)}, {inner} {prose(18)}"
+    texts = [f"{prose(20)} {passage} {prose(20)}" for _ in range(6)]
+    got = [r["text"] for r in substring.dedup_substrings(docs(spark, texts)).orderBy("doc_id").collect()]
+    assert got[0] == texts[0] and got[1:] == [t.replace(inner + " ", "") for t in texts[1:]]
+    windows = lambda t: {tuple(t.split()[i : i + 50]) for i in range(len(t.split()) - 49)}
+    assert not any(windows(a) & windows(b) for i, a in enumerate(got) for b in got[:i])
