@@ -31,10 +31,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest doc_id of each component, once; rows without a doc_id belong to none and stay."""
+    """Keeps the smallest doc_id of each component, each of its texts once; rows without a doc_id belong to none and stay."""
     found = jaccard.jaccard_components(docs)
     keep = found.where("doc_id = component_id").select("doc_id").distinct()
-    one = docs.where("doc_id is not null").join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    one = docs.where("doc_id is not null").join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
     return one.unionByName(docs.where("doc_id is null"))
 
 

@@ -210,6 +210,14 @@ def test_top_k_small_and_large(spark):
 # ---- pipeline --------------------------------------------------------------------------------------
 
 
+def test_near_copies_keep_other_texts_of_an_id(spark):
+    pytest.importorskip("public_tokenizers")
+    pipeline = pytest.importorskip("corpus_pipeline")
+    rows = [(1, "a b c d e f"), (1, "a b c d e f"), (2, "A B C D E F"), (3, "q"), (3, "r"), (3, "r"), (5, None), (5, None), (None, "z"), (None, "z")]
+    got = sorted((tuple(r) for r in pipeline.drop_near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()), key=str)
+    assert got == sorted([(1, "a b c d e f"), (3, "q"), (3, "r"), (5, None), (None, "z"), (None, "z")], key=str)
+
+
 def test_pipeline(spark, tmp_path):
     pytest.importorskip("public_tokenizers")
     pipeline = pytest.importorskip("corpus_pipeline")
