@@ -196,6 +196,20 @@ def test_top_k(spark, blocks):
     assert not got
 
 
+def test_walk_stops_before_all_rows_are_scored():
+    """Blocks above step * dims rows, where the lists are walked until the bound holds."""
+    rng = np.random.default_rng(7)
+    x, ids = np.floor(64 * rng.standard_normal((6000, 3))), rng.permutation(6000)
+    lists, scored = embeddings.SortedLists(ids, x), []
+    plain = lists._scores
+    lists._scores = lambda rows, q, exact: (scored.append(len(rows)), plain(rows, q, exact))[1]
+    for i in range(0, 6000, 500):
+        scored.clear()
+        want = sorted((-int(x[i] @ y), int(j)) for j, y in zip(ids, x) if j != ids[i])[:20]
+        assert lists.top(int(ids[i]), x[i], 20) == [(-s, j) for s, j in want]
+        assert sum(scored) < 5999
+
+
 def test_top_k_small_and_large(spark):
     rows = [(0, [1e20, -3e18], 0), (1, [5e19, 1.0], 0), (20, [0.0, 0.0], 0), (21, [1.0, 1.0, 1.0], 0)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").where("vec_id > 1")
