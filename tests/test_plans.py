@@ -94,3 +94,16 @@ def test_readers(spark, tmp_path):
     files = spark.createDataFrame([("p", bytearray(b"hi")), ("q", bytearray(b"\xff"))], "path string, content binary")
     got = readers.convert_documents(files, lambda b: b.decode()).orderBy("path").collect()
     assert got[0]["text"] == "hi" and got[1]["text"] is None and "Unicode" in got[1]["error"]
+
+
+def test_all_events_reach_the_retry_schedule(spark, tmp_path, monkeypatch):
+    """Series end by the operator's own rule at the sixth attempt, not by a filter before it."""
+    from folioforge import queries
+
+    rows = [(u, 8 * i + u) for u in (0, 1, 3) for i in range(9)]
+    spark.createDataFrame(rows, "user_id long, event_id long").write.parquet(str(tmp_path / "events.parquet"))
+    given, plain = [], sync.retry_schedule
+    monkeypatch.setattr(sync, "retry_schedule", lambda e, keys: (given.append(e.count()), plain(e, keys))[1])
+    got = sorted(tuple(r) for r in queries.k_retries(spark, str(tmp_path)).collect())
+    assert given == [27]
+    assert got == [(0, "exhausted", 1, 3.0), (0, "retry", 5, 15.0), (1, "failed", 1, 0.0), (1, "retry", 5, 31.0), (3, "done", 1, 0.0)]
