@@ -36,10 +36,14 @@ def function_words(c: Column) -> Column:
     return F.regexp_extract_all(c, F.lit(java(P.SPANISH_FUNCTION_WORD, "i")), F.lit(0))
 
 
+def reads_as_prose(residue: Column) -> Column:
+    words = F.array_distinct(F.transform(function_words(residue), F.lower))
+    return (word_count(residue) >= 3) & (F.size(words) >= 2)
+
+
 def mixed_prose(c: Column) -> Column:
     """Prose that quotes code: without its syntax a skeleton of function words is left."""
-    residue = prose_residue(c)
-    return (word_count(residue) >= 3) & (F.size(F.array_distinct(F.transform(function_words(residue), F.lower))) >= 2)
+    return reads_as_prose(prose_residue(c))
 
 
 def is_file_path_label(c: Column) -> Column:
@@ -47,13 +51,21 @@ def is_file_path_label(c: Column) -> Column:
     return ~matches(t, r"\s") & ~matches(t, P.URL_SCHEME, "i") & named(t, "file_path_label")
 
 
-def is_spanish_label(c: Column) -> Column:
-    t = trimmed(replaced(without_file_tokens(trimmed(strip_whole_line_bold(c))), r"\s+", " "))
+def label_text(c: Column) -> Column:
+    """What a label is judged by: without bold marks and file names, white space evened."""
+    return trimmed(replaced(without_file_tokens(trimmed(strip_whole_line_bold(c))), r"\s+", " "))
+
+
+def reads_as_label(t: Column) -> Column:
     words = word_count(t)
-    plain = (words >= 2) & named(t, "pure_text") & ~named(t, "keyword_start") & ~named(t, "shell_start")
+    plain = named(t, "pure_text") & (words >= 2) & ~named(t, "keyword_start") & ~named(t, "shell_start")
     return plain & (((words >= 4) & matches(t, r"[.:]$")) | named(t, "spanish_word"))
 
 
+def is_spanish_label(c: Column) -> Column:
+    return reads_as_label(label_text(c))
+
+
 def looks_like_call(c: Column) -> Column:
     argument = trimmed(F.regexp_extract(c, java(P.FIRST_CALL), 1))
     return matches(c, P.FIRST_CALL) & ((argument == "") | matches(argument, P.CALL_ARGUMENT) | matches(argument, P.DOTTED_NAME) | matches(argument, P.NUMBER))

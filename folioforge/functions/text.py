@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -83,14 +85,9 @@ def prose_residue(c: Column) -> Column:
     return trimmed(c)
 
 
-#: Letters that decompose, by their base letter; what a canonical decomposition without its marks gives for Latin text.
-_ACCENTS = {
-    "a": "àáâãäåāăąǎ", "c": "çćĉċč", "d": "ď", "e": "èéêëēĕėęě", "g": "ĝğġģ", "h": "ĥ", "i": "ìíîïĩīĭį", "j": "ĵ",
-    "k": "ķ", "l": "ĺļľ", "n": "ñńņň", "o": "òóôõöōŏő", "r": "ŕŗř", "s": "śŝşš", "t": "ţť", "u": "ùúûüũūŭůűų",
-    "w": "ŵ", "y": "ýÿŷ", "z": "źżž",
-}
-_FROM = "".join(_ACCENTS.values())
-_TO = "".join(k * len(v) for k, v in _ACCENTS.items())
+#: Lower-case letters whose canonical decomposition is an ASCII letter and marks, and that letter; from the Unicode tables.
+_FOLDS = {c: d[0] for c in map(chr, range(0xC0, 0x2C00)) if (d := unicodedata.normalize("NFD", c))[0].isascii() and d[0].islower() and d[1:] and all("\u0300" <= m <= "\u036f" for m in d[1:])}
+_FROM, _TO = "".join(_FOLDS), "".join(_FOLDS.values())
 _MARKS = "".join(chr(x) for x in range(0x300, 0x370))
 
 

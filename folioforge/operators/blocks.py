@@ -78,9 +78,10 @@ def block_rows(modules: DataFrame, keys: list[str], text: str = "text", image_mo
         F.when(F.col("kind") == "image", F.regexp_extract(first, java(P.BLOCK_IMAGE), 1)).alias("token"),
         F.when(is_list, F.floor(F.length(item(1)) / 4).cast("int")).alias("depth"),
     )
-    lists = effective_depth(b.where("depth is not null").select("k", "run", "block_no", "depth"), ["k", "run"], "block_no").select("k", "block_no", F.col("level").alias("depth"), F.col("parent").alias("parent_no"))
-    x = b.drop("depth").join(lists, ["k", "block_no"], "left")
-    return x.select("k.*", "block_no", "type", "content", "language", "token", F.coalesce("depth", F.lit(0)).alias("depth"), "parent_no")
+    # A run is all list items or none; what the windows say of the others is put aside.
+    x = effective_depth(b.withColumn("item_depth", F.coalesce("depth", F.lit(0))), ["k", "run"], "block_no", "item_depth")
+    item_only = lambda c: F.when(F.col("depth").isNotNull(), F.col(c))
+    return x.select("k.*", "block_no", "type", "content", "language", "token", F.coalesce(item_only("level"), F.lit(0)).alias("depth"), item_only("parent").alias("parent_no"))
 
 
 def with_runs(rows: DataFrame) -> DataFrame:

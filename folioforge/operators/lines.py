@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..functions.dialect import java
-from ..functions.predicates import code_score, is_file_path_label, is_spanish_label, looks_like_call, mixed_prose, named
-from ..functions.text import has_nbsp_indent, is_autolink_line, matches, nbsp_ratio, strip_line_comment, trimmed, unescape_all, word_count
+from ..functions.predicates import code_score, is_file_path_label, label_text, looks_like_call, named, reads_as_label, reads_as_prose
+from ..functions.text import has_nbsp_indent, is_autolink_line, matches, nbsp_ratio, prose_residue, strip_line_comment, trimmed, unescape_all, word_count
 
 
 def split_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", newline: str = r"\r?\n") -> DataFrame:
@@ -42,14 +42,18 @@ def line_features(lines: DataFrame, line: str = "line") -> DataFrame:
     return x.withColumn("comment_tail", (F.length("body") > 0) & (F.length("body") < F.length("tt")))
 
 
-def kind_of_line(raw: Column) -> Column:
-    """'code', 'prose' or 'unknown'; the first rule that applies decides. Takes the columns of `line_features`."""
-    t, tt, words, ends_code, tail = (F.col(c) for c in ("t", "tt", "words", "ends_code", "comment_tail"))
+def classify_lines(lines: DataFrame, line: str = "line") -> DataFrame:
+    """Adds `line_kind`: 'code', 'prose' or 'unknown'; the first rule that applies decides. A null line is unknown.
+
+    Rules go in steps, and what a later step looks at (the label's text, the residue, the score) is worked out once and
+    only for lines that no earlier step has decided. The last steps before the score all say prose, so the cheap ones go first.
+    """
+    x = line_features(lines.withColumn("raw_line", F.coalesce(F.col(line), F.lit(""))), "raw_line")
+    raw, t, tt, words, ends_code, tail = (F.col(c) for c in ("raw_line", "t", "tt", "words", "ends_code", "comment_tail"))
     inner = trimmed(F.regexp_extract(tt, java(P.BOLD_LINE), 1))
     bold_code = named(inner, "hard_syntax") | named(inner, "keyword_start") | matches(inner, P.ARROW) | matches(inner, P.STATEMENT_END) | looks_like_call(inner)
-    score = code_score(t, tt, ends_code, words, tail)
-    code, prose = F.lit("code"), F.lit("prose")
-    return (
+    code, prose, open_ = F.lit("code"), F.lit("prose"), F.col("decided").isNull()
+    decided = (
         F.when(tt == "", F.lit("unknown"))
         .when(is_autolink_line(raw) | matches(tt, P.BARE_URL), prose)
         .when(matches(raw, P.ANCHOR_LINK) | matches(raw, P.ONLY_LINKS), prose)
@@ -57,19 +61,15 @@ def kind_of_line(raw: Column) -> Column:
         .when(matches(t, P.HTML_TAG_START) | matches(t, P.DOCTYPE_START, "i"), code)
         .when(matches(tt, P.ONLY_CLOSERS) | matches(tt, P.LONE_OPENER), code)
         .when(matches(tt, P.BOLD_LINE), F.when(bold_code, code).otherwise(prose))
-        .when((words >= 7) & named(t, "connectors") & ~ends_code & ~named(t, "hard_syntax"), prose)
-        .when(is_spanish_label(t), prose)
-        .when(mixed_prose(t), prose)
+        .when((words >= 7) & ~ends_code & named(t, "connectors") & ~named(t, "hard_syntax"), prose)
+        .when((words >= 6) & ~ends_code & matches(tt, P.SENTENCE_COLON_END) & named(t, "accented"), prose)
         .when(is_file_path_label(t), prose)
-        .when((words >= 6) & named(t, "accented") & matches(tt, P.SENTENCE_COLON_END) & ~ends_code, prose)
-        .when((score >= 4) | ((score >= 3) & (words <= 8)), code)
-        .otherwise(F.lit("unknown"))
     )
-
-
-
-
-def classify_lines(lines: DataFrame, line: str = "line") -> DataFrame:
-    """Adds `line_kind`. A null line is unknown."""
-    x = line_features(lines.withColumn("raw_line", F.coalesce(F.col(line), F.lit(""))), "raw_line")
-    return x.select(*lines.columns, kind_of_line(F.col("raw_line")).alias("line_kind"))
+    x = x.withColumn("decided", decided)
+    x = x.withColumn("label", F.when(open_, label_text(t)))
+    x = x.withColumn("decided", F.when(open_ & reads_as_label(F.col("label")), prose).otherwise(F.col("decided")))
+    x = x.withColumn("residue", F.when(open_, prose_residue(t)))
+    x = x.withColumn("decided", F.when(open_ & reads_as_prose(F.col("residue")), prose).otherwise(F.col("decided")))
+    x = x.withColumn("score", F.when(open_, code_score(t, tt, ends_code, words, tail)))
+    scored = F.when((F.col("score") >= 4) | ((F.col("score") >= 3) & (words <= 8)), code).otherwise(F.lit("unknown"))
+    return x.select(*lines.columns, F.coalesce("decided", scored).alias("line_kind"))

@@ -22,30 +22,41 @@ def is_index(title: Column, anchors: Column, units: Column) -> Column:
     return matches(title, P.INDEX_TITLE, "i") | (anchors >= F.greatest(F.lit(3.0), units * 0.6))
 
 
-def list_modules(units: DataFrame, key: str = "doc_id", keep_index: bool = False, only: int | None = None) -> DataFrame:
-    """(key, module_seq, module_no, title, n_units): modules after a leading index has gone; empty ones stay.
+def place_units(units: DataFrame, key: str = "doc_id", keep_index: bool = False, only: int | None = None) -> DataFrame:
+    """The units with `opens_module`, `module_no`, `module_title` and `n_units`, after a leading index has gone.
 
-    `only` keeps one module and its number.
+    A module's first row is the heading that opens it, so a module without units has that row alone. `only` keeps one
+    module and its number. All windows go by the document or a part of it: nothing is dealt again.
     """
     x = number_modules(units, key)
     anchored = ~F.col("opens_module") & F.coalesce(F.exists("lines", lambda line: matches(line, P.ANCHOR_LINK)), F.lit(False))
-    m = x.groupBy(key, "module_seq").agg(
-        F.max(F.when(F.col("opens_module"), F.col("text"))).alias("title"),
-        F.sum((~F.col("opens_module")).cast("int")).alias("n_units"),
-        F.sum(anchored.cast("int")).alias("anchors"),
-    )
-    first = (F.col("module_seq") == 1) & is_index(F.col("title"), F.col("anchors"), F.col("n_units"))
-    m = m.withColumn("dropped", F.lit(False) if keep_index else first)
-    shift = F.max(F.col("dropped").cast("int")).over(Window.partitionBy(key))
-    m = m.withColumn("module_no", F.col("module_seq") - shift).where(~F.col("dropped"))
+    module = Window.partitionBy(key, "module_seq")
+    x = x.withColumn("module_title", F.max(F.when(F.col("opens_module"), F.col("text"))).over(module))
+    x = x.withColumn("n_units", F.sum((~F.col("opens_module")).cast("int")).over(module)).withColumn("anchors", F.sum(anchored.cast("int")).over(module))
+    first = (F.col("module_seq") == 1) & is_index(F.col("module_title"), F.col("anchors"), F.col("n_units"))
+    x = x.withColumn("dropped", F.lit(False) if keep_index else F.coalesce(first, F.lit(False)))
+    x = x.withColumn("module_no", F.col("module_seq") - F.max(F.col("dropped").cast("int")).over(Window.partitionBy(key))).where(~F.col("dropped"))
     if only is not None:
-        m = m.where(F.col("module_no") == only)
-    return m.select(key, "module_seq", "module_no", "title", "n_units")
+        x = x.where(F.col("module_no") == only)
+    return x.select(*units.columns, "opens_module", "module_no", "module_title", "n_units")
+
+
+def modules_of(placed: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, module_no, title, n_units), empty modules too."""
+    return placed.where("opens_module").select(key, "module_no", F.col("module_title").alias("title"), "n_units")
+
+
+def inner_units(placed: DataFrame) -> DataFrame:
+    """The units inside modules, without the headings that open them."""
+    return placed.where("not opens_module").drop("opens_module", "n_units")
+
+
+def list_modules(units: DataFrame, key: str = "doc_id", keep_index: bool = False, only: int | None = None) -> DataFrame:
+    """(key, module_no, title, n_units) of a document's modules."""
+    return modules_of(place_units(units, key, keep_index, only), key)
 
 
 def split_modules(units: DataFrame, key: str = "doc_id", keep_index: bool = False, only: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(modules, units with module_no and module_title)."""
-    modules = list_modules(units, key, keep_index, only)
-    inner = number_modules(units, key).where(~F.col("opens_module")).drop("opens_module")
-    placed = inner.join(modules.select(key, "module_seq", "module_no", F.col("title").alias("module_title")), [key, "module_seq"]).drop("module_seq")
-    return modules, placed
+    placed = place_units(units, key, keep_index, only)
+    return modules_of(placed, key), inner_units(placed)

@@ -58,10 +58,11 @@ def code_segments(units: DataFrame, keys: list[str]) -> DataFrame:
 def code_blocks(units: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, unit_no of the segment's first unit, piece, code, language): the fences of a module, in order."""
     seg = code_segments(units, keys)
-    group = [*keys, "run", "segment"]
-    lines = seg.select(*group, "unit_no", "module_title", F.posexplode("code_lines").alias("pos", "line"))
-    head = lines.groupBy(*group).agg(F.min("unit_no").alias("unit_no"), F.first("module_title").alias("module_title"))
-    merged = join_dangling(lines.select(*group, "unit_no", "pos", "line"), group, ["unit_no", "pos"])
+    # A segment goes by the number of its first unit from here on.
+    seg = seg.withColumn("first_unit", F.min("unit_no").over(Window.partitionBy(*keys, "run", "segment")))
+    group = [*keys, "module_title", "first_unit"]
+    lines = seg.select(*group, "unit_no", F.posexplode("code_lines").alias("pos", "line"))
+    merged = join_dangling(lines, group, ["unit_no", "pos"])
     # A closing html tag ends a document: what follows in the segment is another one.
     before = Window.partitionBy(*group).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     x = merged.withColumn("piece", F.coalesce(F.sum(matches(F.col("line"), P.DOCUMENT_END, "i").cast("int")).over(before), F.lit(0)))
@@ -70,8 +71,8 @@ def code_blocks(units: DataFrame, keys: list[str]) -> DataFrame:
     last = F.max("piece").over(Window.partitionBy(*group))
     x = x.withColumn("code", F.when(F.col("piece") == 0, F.regexp_replace("code", r"^\n+", "")).otherwise(F.col("code")))
     x = x.withColumn("code", F.when(F.col("piece") == last, F.regexp_replace("code", r"\n+\z", "")).otherwise(F.col("code")))
-    x = x.where(trimmed(F.col("code")) != "").join(head, group)
-    return x.select(*keys, "unit_no", "piece", "code", detect_language(F.col("code"), F.col("module_title")).alias("language"))
+    x = x.where(trimmed(F.col("code")) != "")
+    return x.select(*keys, F.col("first_unit").alias("unit_no"), "piece", "code", detect_language(F.col("code"), F.col("module_title")).alias("language"))
 
 
 def text_chunks(units: DataFrame, keys: list[str]) -> DataFrame:

@@ -11,6 +11,7 @@ from .functions import predicates as pr
 from .functions import text as tx
 from .operators import blocks, context, language, lines, modules, render, units
 from .plans import sync
+from .sources.staging import spread
 from .streaming.jobs import structure
 
 KEYS = ["doc_id", "module_no"]
@@ -25,6 +26,11 @@ def corpus_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.split_lines(conversation_markdown(spark, sf_dir))
 
 
+def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(line): the lines of all documents."""
+    return lines.split_lines(spread(table(spark, sf_dir, "documents").select("doc_id", "text"))).select("line")
+
+
 def corpus_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     return units.tokenize(conversation_markdown(spark, sf_dir))
 
@@ -90,7 +96,7 @@ def f_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often each predicate holds, over the lines of the corpus and of all documents."""
-    x = corpus_lines(spark, sf_dir).select("line").unionByName(lines.split_lines(table(spark, sf_dir, "documents")).select("line"))
+    x = corpus_lines(spark, sf_dir).select("line").unionByName(document_lines(spark, sf_dir))
     tests = {n: pr.named(F.col("line"), n) for n in pr.NAMED} | {"file_token": tx.matches(F.col("line"), P.FILE_TOKEN, "i"), "function_word": tx.matches(F.col("line"), P.SPANISH_FUNCTION_WORD, "i")}
     sums = x.agg(*[F.sum(c.cast("long")).alias(n) for n, c in tests.items()])
     return sums.select(F.explode(F.map_from_arrays(F.array(*map(F.lit, tests)), F.array(*tests))).alias("predicate", "n"))
@@ -98,15 +104,15 @@ def p_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def c_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """C1, C2, C3 and C5 over the lines of the corpus and of all documents."""
-    x = corpus_lines(spark, sf_dir).select("line").unionByName(lines.split_lines(table(spark, sf_dir, "documents")).select("line"))
+    x = corpus_lines(spark, sf_dir).select("line").unionByName(document_lines(spark, sf_dir))
     c = F.col("line")
     return x.groupBy("line").agg(F.count("*").alias("n")).select("line", "n", pr.mixed_prose(c).alias("mixed"), pr.is_file_path_label(c).alias("path_label"), pr.is_spanish_label(c).alias("label"), pr.is_gloss(c).alias("gloss"))
 
 
 def c_line_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The kind of every line of the corpus, of all documents and of all pages."""
-    pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), F.col("html").alias("text"))
-    x = corpus_lines(spark, sf_dir).select("line").unionByName(lines.split_lines(table(spark, sf_dir, "documents")).select("line")).unionByName(lines.split_lines(pages).select("line"))
+    pages = spread(table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), F.col("html").alias("text")))
+    x = corpus_lines(spark, sf_dir).select("line").unionByName(document_lines(spark, sf_dir)).unionByName(lines.split_lines(pages).select("line"))
     return lines.classify_lines(x).groupBy("line_kind").agg(F.count("*").alias("n"), F.sum(F.length("line")).alias("chars"))
 
 
@@ -185,7 +191,7 @@ def l_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def r_modules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rendered modules with their statistics."""
     x = structure(conversation_markdown(spark, sf_dir))
-    return x.select(*KEYS, "title", "file", "text", F.array_join("images", ",").alias("images"), *[F.col("stats")[s].alias(s) for s in render.STATS], "report")
+    return x.select(*KEYS, "title", "file", "text", F.array_join("images", ",").alias("images"), *[F.col("stats")[s].alias(f"n_{s}") for s in render.STATS], "report")
 
 
 def r_join_dangling(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,15 +9,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from ..operators.context import settle_kinds
-from ..operators.modules import split_modules
+from ..operators.modules import inner_units, modules_of, place_units
 from ..operators.render import render_modules
 from ..operators.units import tokenize
+from ..sources.staging import staged
+
+
+def settled_units(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Documents to units with their modules and final kinds, the headings that open modules included."""
+    return settle_kinds(place_units(tokenize(docs, key), key), key)
 
 
 def structure(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Documents to rendered modules."""
-    modules, units = split_modules(tokenize(docs, key), key)
-    return render_modules(modules, settle_kinds(units, key), key)
+    """Documents to rendered modules. The settled units are staged: rendering reads them several times, the documents once."""
+    units, _ = staged(settled_units(docs, key), "settled-units")
+    return render_modules(modules_of(units, key), inner_units(units), key)
 
 
 def structure_stream(docs: DataFrame, path: str, checkpoint: str, key: str = "doc_id"):
