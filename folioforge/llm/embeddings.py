@@ -1,21 +1,26 @@
 """Vector operators: near-duplicates by Euclidean p-stable hashing, and exact top-k by the threshold algorithm.
 
-Near-duplicates. Normalised vectors are projected on random Gaussian directions and cut into cells of width `width`; a
-table's code is the cells of `projections` directions, and vectors that share a code in any table are compared by exact
-cosine in double precision. Unit vectors of cosine c are sqrt(2 - 2c) apart, so the chance to share a code is known:
-`recall_bound` gives it, and the default tables keep it above 0.99 at the threshold.
-
-Equal vectors of a label are one entry with a count, so copies never meet. A code's entries are cut into blocks by hash
-and each pair of blocks is a task's work; a pair counts in the first table whose code it shares. What leaves a task are
-link counts and enough links to connect what is connected in it, not all pairs.
-
-Top-k. Every component x becomes floor(64 x). Candidates are cut into blocks; a block holds one sorted list per dimension.
-A query walks its lists from their best ends in steps, scores what it meets, and stops when the sum of the scores at the
-lists' present depth cannot reach the kth score (Fagin's threshold algorithm). The best of all blocks are merged.
+Near-duplicates. Normalised vectors are projected on random Gaussian directions and cut into cells of width `WIDTH`; a
+table's code is the cells of some directions, and vectors that share a code in any table are compared by exact cosine in
+double precision. Unit vectors of cosine c are sqrt(2 - 2c) apart, so the chance to share a code is known: `plan` takes as
+many directions a code as keep the strangers in a bucket few, so more for a larger table, and as many tables as
+`recall_bound` needs to stay above 0.99 at the threshold. Comparisons so grow with n^1.23, not with its square.
+
+Equal vectors of a label are one entry with a count, so copies never meet. Codes travel alone first; only entries whose
+code another has fetch their vectors. A code's entries are cut into blocks by hash and each pair of blocks is a task's
+work; a pair counts in the first table whose code it shares. What leaves a task are link counts and enough links to
+connect what is connected in it, not all pairs.
+
+Top-k. Every component x becomes floor(64 x). Candidates are cut into blocks; a block holds one sorted list per dimension,
+built once, and the queries stream past it. A query walks its lists from their best ends, scores each row when a list
+first shows it, and stops when the sum of the scores at the lists' present depth cannot reach the kth score (Fagin's
+threshold algorithm). The best of all blocks are merged. How far a walk goes depends on the vectors: where few dimensions
+carry a query's score it ends early, where all weigh alike the lists show nearly every row before the bound falls.
 
 Rows: vectors that are null, empty, zero or hold null or non-finite components take no part (near-duplicates: a component
 of their own; top-k: neither query nor candidate, a zero vector does take part there). Vectors of other lengths never
-meet. A null id takes no part; repeated ids are rows of their own in the counts. Extra columns are dropped.
+meet. A null id takes no part; repeated ids are rows of their own in the counts. Extra columns are dropped. Equal scores
+rank by the smaller id. An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -31,23 +36,32 @@ from pyspark.sql import functions as F
 from .common import batches, components, mix, mix_int, small_batches, snapshot
 
 COSINE = 0.93
-TABLES, PROJECTIONS, WIDTH, SEED = 16, 8, 2.4, 20240607
+WIDTH, SEED, RECALL, STRANGERS = 2.4, 20240607, 0.99, 16
 BLOCK = 512
 SCALE, TOP, QUERY_EVERY = 64, 20, 20
-QUERY_BLOCK, CANDIDATE_BLOCK = 512, 8192
+CANDIDATE_BLOCK, LEAST_BLOCK = 8192, 1024
+
 
+def same_cell(cosine: float, width: float = WIDTH) -> float:
+    """The chance that two unit vectors of this cosine fall into one cell of a random direction."""
+    r = width / math.sqrt(max(1e-18, 2 - 2 * cosine))
+    return math.erf(r / math.sqrt(2)) - 2 / (math.sqrt(2 * math.pi) * r) * (1 - math.exp(-r * r / 2))
 
-def recall_bound(cosine: float = COSINE, tables: int = TABLES, projections: int = PROJECTIONS, width: float = WIDTH) -> float:
+
+def recall_bound(cosine: float, tables: int, projections: int) -> float:
     """The chance that two unit vectors of this cosine share a code in some table."""
-    c = math.sqrt(max(1e-18, 2 - 2 * cosine))
-    r = width / c
-    p = math.erf(r / math.sqrt(2)) - 2 / (math.sqrt(2 * math.pi) * r) * (1 - math.exp(-r * r / 2))
-    return 1 - (1 - p**projections) ** tables
+    return 1 - (1 - same_cell(cosine) ** projections) ** tables
+
 
+def plan(n: int, cosine: float = COSINE) -> tuple[int, int]:
+    """(tables, projections) for n vectors: a bucket holds about STRANGERS unrelated vectors, and links are met with RECALL."""
+    projections = min(48, max(6, math.ceil(math.log(max(1.0, n / STRANGERS)) / -math.log(same_cell(0.0)))))
+    return math.ceil(math.log(1 - RECALL) / math.log1p(-(same_cell(cosine) ** projections))), projections
 
-def directions(dim: int, tables: int = TABLES, projections: int = PROJECTIONS, width: float = WIDTH) -> tuple[np.ndarray, np.ndarray]:
+
+def directions(dim: int, tables: int, projections: int) -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng([SEED, dim])
-    return rng.standard_normal((dim, tables * projections)), rng.uniform(0, width, tables * projections)
+    return rng.standard_normal((dim, tables * projections)), rng.uniform(0, WIDTH, tables * projections)
 
 
 def _vectors(column: pa.Array) -> list[np.ndarray | None]:
@@ -72,74 +86,94 @@ def unit_rows(raw: list[bytes]) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def hashed(vectors: DataFrame) -> DataFrame:
-    """(vec_id, label, raw binary, codes binary): usable vectors (f or d, then their components) with a 32-bit code for each table."""
+def usable_rows(vectors: DataFrame) -> DataFrame:
+    """(vec_id, label, raw binary): usable vectors, f or d and then their components."""
     small_batches(vectors.sparkSession, 2000)
-    schema = pa.schema([("vec_id", pa.int64()), ("label", pa.int64()), ("raw", pa.binary()), ("codes", pa.binary())])
+    schema = pa.schema([("vec_id", pa.int64()), ("label", pa.int64()), ("raw", pa.binary())])
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wrap, made = batches(schema), {}
-        salt = np.array([mix_int(t + 1) | 1 for t in range(PROJECTIONS)], dtype=np.uint64)
+        wrap = batches(schema)
         for b in parts:
-            rows: list[list] = [[], [], [], []]
+            rows: list[list] = [[], [], []]
             short = pa.types.is_float32(b.column(2).type.value_type)
             for vec, label, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), _vectors(b.column(2))):
                 if vec is None or label is None or x is None or not x.any():
                     continue
-                raw = b"f" + x.astype(np.float32).tobytes() if short else b"d" + x.tobytes()
-                if len(x) not in made:
-                    made[len(x)] = directions(len(x))
-                a, shift = made[len(x)]
-                cells = np.floor((unit_rows([raw])[0] @ a + shift) / WIDTH).astype(np.int64).view(np.uint64).reshape(TABLES, PROJECTIONS)
-                codes = mix((cells * salt).sum(axis=1, dtype=np.uint64) + np.uint64(len(raw)))
-                for column, value in zip(rows, (vec, label, raw, codes.astype(np.uint32).tobytes())):
+                for column, value in zip(rows, (vec, label, b"f" + x.astype(np.float32).tobytes() if short else b"d" + x.tobytes())):
                     column.append(value)
             yield wrap(rows)
 
-    return vectors.select(F.col("vec_id").cast("long"), F.col("label").cast("long"), "embedding").mapInArrow(run, "vec_id long, label long, raw binary, codes binary")
+    return vectors.select(F.col("vec_id").cast("long"), F.col("label").cast("long"), "embedding").mapInArrow(run, "vec_id long, label long, raw binary")
 
 
-def compared(entries: DataFrame, cosine: float) -> DataFrame:
-    """(a, b, n) rows: vector a has n linked vectors that it met here, and b (or null) is one to connect it to.
+def coded(entries: DataFrame, tables: int, projections: int) -> DataFrame:
+    """`entries` (rep, key, copies, label, raw) with `codes` binary: a 32-bit code for each table."""
+    small_batches(entries.sparkSession, 2000)
+    schema = pa.schema([("rep", pa.int64()), ("key", pa.int64()), ("copies", pa.int64()), ("label", pa.int64()), ("raw", pa.binary()), ("codes", pa.binary())])
 
-    `entries`: rep, copies, label, raw, codes.
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wrap, made = batches(schema), {}
+        salt = np.array([mix_int(t + 1) | 1 for t in range(projections)], dtype=np.uint64)
+        for b in parts:
+            raw = b.column(4).to_pylist()
+            codes: list[bytes] = [b""] * len(raw)
+            for size in {(x[:1], len(x)) for x in raw}:
+                which = [i for i, x in enumerate(raw) if (x[:1], len(x)) == size]
+                unit = unit_rows([raw[i] for i in which])
+                if unit.shape[1] not in made:
+                    made[unit.shape[1]] = directions(unit.shape[1], tables, projections)
+                a, shift = made[unit.shape[1]]
+                cells = np.floor((unit @ a + shift) / WIDTH).astype(np.int64).view(np.uint64).reshape(len(which), tables, projections)
+                found = mix((cells * salt).sum(axis=2, dtype=np.uint64) + np.uint64(size[1])).astype(np.uint32)
+                for i, c in zip(which, found):
+                    codes[i] = c.tobytes()
+            yield wrap([*b.columns, codes])
+
+    return entries.select("rep", "key", "copies", "label", "raw").mapInArrow(run, "rep long, key long, copies long, label long, raw binary, codes binary")
+
+
+def compared(entries: DataFrame, cosine: float, tables: int) -> DataFrame:
+    """(a, key, b, n) rows: entry (a, key) has n linked vectors that it met here, and b (or null) is one to connect it to.
+
+    `entries`: rep, key, copies, label, raw, codes. An id may be repeated with other vectors: rep and key name an entry.
     """
     small_batches(entries.sparkSession, 2000)
-    schema = pa.schema([("rep", pa.int64()), ("label", pa.int64()), ("t", pa.int32()), ("code", pa.int32()), ("copies", pa.int64()), ("raw", pa.binary()), ("codes", pa.binary())])
+    schema = pa.schema([("rep", pa.int64()), ("key", pa.int64()), ("label", pa.int64()), ("t", pa.int32()), ("code", pa.int32())])
 
     def by_table(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wrap = batches(schema)
         for b in parts:
             if not b.num_rows:
                 continue
-            codes = np.frombuffer(b"".join(x.as_py() for x in b.column(4)), dtype=np.int32).reshape(-1, TABLES)
-            n = len(codes)
-            for t in range(TABLES):
-                yield wrap([b.column(0), b.column(2), np.full(n, t, dtype=np.int32), codes[:, t], b.column(1), b.column(3), b.column(4)])
-
-    coded = entries.select("rep", "copies", "label", "raw", "codes").mapInArrow(by_table, "rep long, label long, t int, code int, copies long, raw binary, codes binary")
-    counts = coded.groupBy("label", "t", "code").agg(F.count("*").alias("members")).where("members > 1").select(F.col("label").alias("l"), F.col("t").alias("tt"), F.col("code").alias("c"), F.ceil(F.col("members") / F.lit(BLOCK)).cast("int").alias("blocks"))
-    met = coded.join(counts, (F.col("label") == F.col("l")) & (F.col("t") == F.col("tt")) & (F.col("code") == F.col("c")))
+            codes = np.frombuffer(b"".join(b.column(3).to_pylist()), dtype=np.int32).reshape(-1, tables)
+            for t in range(tables):
+                yield wrap([*b.columns[:3], np.full(len(codes), t, dtype=np.int32), codes[:, t]])
+
+    held = entries.select("rep", "key", "label", "codes").mapInArrow(by_table, "rep long, key long, label long, t int, code int")
+    counts = held.groupBy("label", "t", "code").agg(F.count("*").alias("members")).where("members > 1").select(F.col("label").alias("l"), F.col("t").alias("tt"), F.col("code").alias("c"), F.ceil(F.col("members") / F.lit(BLOCK)).cast("int").alias("blocks"))
+    met = held.join(counts, (F.col("label") == F.col("l")) & (F.col("t") == F.col("tt")) & (F.col("code") == F.col("c"))).select("rep", "key", "t", "code", "blocks")
+    met = met.join(entries, ["rep", "key"])
     placed = met.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    spread = placed.select("label", "t", "code", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "copies", "raw", "codes")
+    spread = placed.select("label", "t", "code", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "key", "copies", "raw", "codes")
 
     def compare(key, table):
         t, i, j = key[1].as_py(), key[3].as_py(), key[4].as_py()
-        rep, copies, block = (table.column(c).to_numpy() for c in ("rep", "copies", "block"))
+        rep, keys, copies, block = (table.column(c).to_numpy() for c in ("rep", "key", "copies", "block"))
         unit = unit_rows(table.column("raw").to_pylist())
-        codes = np.frombuffer(b"".join(x.as_py() for x in table.column("codes")), dtype=np.int32).reshape(len(rep), TABLES)
+        codes = np.frombuffer(b"".join(x.as_py() for x in table.column("codes")), dtype=np.int32).reshape(len(rep), tables)
         left, right = (np.arange(len(rep)), np.arange(len(rep))) if i == j else (np.flatnonzero(block == i), np.flatnonzero(block == j))
         near = unit[left] @ unit[right].T >= cosine
         for earlier in range(t):
             near &= codes[left, earlier][:, None] != codes[right, earlier][None, :]
         if i == j:
             np.fill_diagonal(near, False)
-        a, b, n = [], [], []
+        a, k_of, b, n = [], [], [], []
 
         def counted(rows, matrix, weights):
             some = matrix @ weights
             for k in np.flatnonzero(some):
                 a.append(int(rep[rows[k]]))
+                k_of.append(int(keys[rows[k]]))
                 b.append(None)
                 n.append(int(some[k]))
 
@@ -159,22 +193,24 @@ def compared(entries: DataFrame, cosine: float) -> DataFrame:
             label = least
         for x in np.flatnonzero(label != np.arange(len(rep))):
             a.append(int(rep[x]))
+            k_of.append(int(keys[x]))
             b.append(int(rep[label[x]]))
             n.append(0)
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "n": pa.array(n, pa.int64())})
+        return pa.table({"a": pa.array(a, pa.int64()), "key": pa.array(k_of, pa.int64()), "b": pa.array(b, pa.int64()), "n": pa.array(n, pa.int64())})
 
-    return spread.groupBy("label", "t", "code", "i", "j").applyInArrow(compare, "a long, b long, n long")
+    return spread.groupBy("label", "t", "code", "i", "j").applyInArrow(compare, "a long, key long, b long, n long")
 
 
 def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row of `vectors`."""
     vectors = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "label", "embedding")
-    usable = snapshot(hashed(vectors))
-    entries = snapshot(usable.groupBy("label", "raw").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first("codes").alias("codes")))
-    found = snapshot(compared(entries, cosine))
-    links = found.groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("links"))
-    named = usable.join(entries.select(F.col("label").alias("l"), F.col("raw").alias("r"), "rep", "copies"), (F.col("label") == F.col("l")) & (F.col("raw") == F.col("r"))).select("vec_id", "rep", "copies")
-    named = snapshot(named.join(links, "rep", "left").select("vec_id", "rep", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links")))
+    usable = snapshot(usable_rows(vectors))
+    equal = snapshot(usable.groupBy("label", "raw").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")).withColumn("key", F.xxhash64("label", "raw")))
+    tables, projections = plan(equal.count(), cosine)
+    found = snapshot(compared(snapshot(coded(equal, tables, projections)), cosine, tables))
+    links = found.groupBy(F.col("a").alias("rep"), "key").agg(F.sum("n").alias("links"))
+    named = usable.join(equal.select(F.col("label").alias("l"), F.col("raw").alias("r"), "rep", "key", "copies"), (F.col("label") == F.col("l")) & (F.col("raw") == F.col("r"))).select("vec_id", "rep", "key", "copies")
+    named = snapshot(named.join(links, ["rep", "key"], "left").select("vec_id", "rep", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links")))
     edges = found.where("b is not null").select("a", "b").unionByName(named.where("vec_id <> rep").select(F.col("vec_id").alias("a"), F.col("rep").alias("b")))
     labels = components(edges)
     per_id = named.groupBy("vec_id").agg(F.sum("links").alias("links"))
@@ -201,93 +237,114 @@ def quantised(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
 
 
 class SortedLists:
-    """A block of candidates with one list per dimension, from the greatest component to the smallest."""
+    """A block of candidates with one list per dimension, from the greatest component to the smallest.
+
+    A list is kept as `edges` (its components in order) and `rank` (each row's place in it).
+    """
 
     def __init__(self, ids: np.ndarray, x: np.ndarray):
         order = np.argsort(ids, kind="stable")
         self.ids, self.x = ids[order], x[order]
-        self.lists = np.argsort(-self.x, axis=0, kind="stable").astype(np.int32)
-        # Products of doubles are exact below 2^53; larger components are multiplied as Python integers.
+        lists = np.argsort(-self.x, axis=0, kind="stable")
+        n, dims = self.x.shape
+        self.edges = np.take_along_axis(self.x, lists, axis=0)
+        self.rank = np.empty((dims, n), dtype=np.int32)
+        np.put_along_axis(self.rank, lists.T, np.broadcast_to(np.arange(n, dtype=np.int32), (dims, n)), axis=1)
+        # Products of doubles are exact below 2^53, of floats below 2^24; larger components are multiplied as Python integers.
         self.most = float(np.abs(self.x).max(initial=0))
-
-    def _scores(self, rows: np.ndarray, q: np.ndarray, exact: bool) -> np.ndarray:
-        if exact:
-            return (self.x @ q)[rows] if 4 * len(rows) > len(self.x) else self.x[rows] @ q
+        self.small = self.x.astype(np.float32) if self.most < 2**24 else None
+        self.scored = self.stops = 0
+
+    def _scores(self, rows: np.ndarray, q: np.ndarray, reach: float) -> np.ndarray:
+        self.scored += len(rows)
+        if reach < 2**24 and self.small is not None:
+            return (self.small[rows] @ q.astype(np.float32)).astype(np.float64)
+        if reach < 2**53:
+            return self.x[rows] @ q
         ints = [int(c) for c in q]
         return np.array([sum(int(c) * d for c, d in zip(self.x[r], ints)) for r in rows], dtype=object)
 
-    def top(self, query_id: int, q: np.ndarray, k: int, step: int = 64) -> list[tuple[int, int]]:
-        """(score, id) of the k best other rows: greatest score, then smallest id."""
-        n, dims = len(self.ids), np.flatnonzero(q)
-        exact = float(np.abs(q).max(initial=0)) * self.most * max(1, len(q)) < 2**53
-        seen = np.zeros(n, dtype=bool)
+    def top(self, query_id: int, q: np.ndarray, k: int, first_depth: int = 64) -> list[tuple[int, int]]:
+        """(score, id) of the k best other rows: greatest score, then smallest id.
+
+        The lists are walked together, all to one depth, which doubles from `first_depth`. A row is scored when the first list
+        shows it. No row that is still unseen has a component beyond a list's edge there, which bounds its score.
+        """
+        n, up, down = len(self.ids), np.flatnonzero(q > 0), np.flatnonzero(q < 0)
+        reach = float(np.abs(q).max(initial=0)) * self.most * max(1, len(q))
+        exact = reach < 2**53
+        shown = np.zeros(n, dtype=np.int32)  # how deep the first list shows a row; a zero query's rows are all shown at once
+        if len(up) or len(down):
+            shown.fill(n)
+            if len(up):
+                np.minimum(shown, self.rank[up].min(axis=0), out=shown)
+            if len(down):
+                np.minimum(shown, n - 1 - self.rank[down].max(axis=0), out=shown)
         best_rows, best_scores = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=float if exact else object)
-        depth = 0 if len(dims) else n
-        if not len(dims):  # every score is 0: the smallest ids
-            best_rows = np.flatnonzero(self.ids != query_id)[:k]
-            best_scores = np.zeros(len(best_rows))
-        down = q[dims] < 0
-        up_dims, down_dims = dims[~down], dims[down]
-        while depth < n:
-            end = min(n, depth + step)
-            if n - int(seen.sum()) <= step * len(dims):
-                # No more rows are left than this step would look up: the walk ends by scoring them all.
-                fresh, end = ~seen, n
-            else:
-                fresh = np.zeros(n, dtype=bool)
-                fresh[self.lists[depth:end][:, up_dims].ravel()] = True
-                fresh[self.lists[n - end : n - depth][:, down_dims].ravel()] = True
-                fresh &= ~seen
-            seen |= fresh
-            rows = np.flatnonzero(fresh)
+        done, depth, seen = 0, min(n, first_depth), 0
+        while seen < n:
+            rows = np.flatnonzero((shown >= done) & (shown < depth))
+            seen += len(rows)
             rows = rows[self.ids[rows] != query_id]
             if len(rows):
-                scores = self._scores(rows, q, exact)
-                if exact and len(rows) > 4 * k:  # only what reaches the kth of them can matter
-                    good = scores >= np.partition(scores, len(scores) - k)[len(scores) - k]
-                    rows, scores = rows[good], scores[good]
+                scores = self._scores(rows, q, reach)
+                if exact:  # only what reaches the kth score so far, and the kth of these, can matter
+                    least = best_scores[-1] if len(best_scores) == k else -np.inf
+                    if len(rows) > 4 * k:
+                        least = max(least, np.partition(scores, len(scores) - k)[len(scores) - k])
+                    rows, scores = rows[scores >= least], scores[scores >= least]
                 best_rows, best_scores = np.r_[best_rows, rows], np.r_[best_scores, scores]
                 order = np.lexsort((best_rows, -best_scores))[:k] if exact else np.array(sorted(range(len(best_rows)), key=lambda i: (-best_scores[i], best_rows[i]))[:k], dtype=np.int64)
                 best_rows, best_scores = best_rows[order], best_scores[order]
-            if end < n and len(best_rows) == k:
+            if seen < n and len(best_rows) == k:
                 # Rows are in order of id, so an unseen row that ties could still win: only a lower bound stops the walk.
-                at = np.where(down, self.lists[n - end, dims], self.lists[end - 1, dims])
-                edge = self.x[at, dims]
-                bound = float(edge @ q[dims]) if exact else sum(int(c) * int(d) for c, d in zip(edge, q[dims]))
+                ends = [(d, self.edges[depth - 1, d]) for d in up] + [(d, self.edges[n - depth, d]) for d in down] if not exact else ()
+                bound = float(self.edges[depth - 1, up] @ q[up] + self.edges[n - depth, down] @ q[down]) if exact else sum(int(c) * int(q[d]) for d, c in ends)
                 if bound < best_scores[-1]:
+                    self.stops += 1
                     break
-            depth = end
-            step = min(step * 2, 2048)
+            done, depth = depth, min(n, 2 * depth)
         return [(int(s), int(self.ids[r])) for s, r in zip(best_scores, best_rows)]
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = TOP, scale: int = SCALE, query_block: int = QUERY_BLOCK, candidate_block: int = CANDIDATE_BLOCK) -> DataFrame:
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = TOP, scale: int = SCALE, candidate_block: int = CANDIDATE_BLOCK) -> DataFrame:
     """(query_id, rank, vec_id, score): the k best other rows of `vectors` for each row of `queries`.
 
-    Each block of queries meets each block of candidates once; both have a bounded size.
+    A candidate moves once, to its block; each query moves once to each block and streams past the lists there, so a task
+    holds one block of candidates and one batch of queries, whatever the tables' size.
     """
     spark = vectors.sparkSession
     everything, asked = snapshot(quantised(vectors, scale)), snapshot(quantised(queries, scale))
-    n_c, n_q = max(1, -(-everything.count() // candidate_block)), max(1, -(-asked.count() // query_block))
+    n = everything.count()
+    # Small tables are cut finer, so that all cores have a block.
+    blocks = max(1, -(-n // candidate_block), min(2 * spark.sparkContext.defaultParallelism, n // LEAST_BLOCK))
     small_batches(spark, 2000)
-    cb = F.pmod(F.xxhash64("vec_id"), F.lit(n_c)).cast("int")
-    qb = F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(n_q)).cast("int")
-    candidates = everything.select("vec_id", "dim", "v", cb.alias("cb"), F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))).alias("qb"), F.lit(False).alias("asks"))
-    askers = asked.select("vec_id", "dim", "v", F.explode(F.sequence(F.lit(0), F.lit(n_c - 1))).alias("cb"), qb.alias("qb"), F.lit(True).alias("asks"))
-
-    def search(key, table):
-        ids, asks, raw = table.column("vec_id").to_numpy(), table.column("asks").to_numpy(zero_copy_only=False), table.column("v").to_pylist()
-        x = np.frombuffer(b"".join(raw), dtype=np.float64).reshape(len(ids), -1)
-        out: list[list[int]] = [[], [], []]
-        if asks.any() and not asks.all():
-            lists = SortedLists(ids[~asks], x[~asks])
-            for query_id, q in zip(ids[asks], x[asks]):
-                for score, i in lists.top(int(query_id), q, k):
-                    for column, value in zip(out, (int(query_id), i, score)):
-                        column.append(value)
-        return pa.table({n: pa.array(c, pa.int64()) for n, c in zip(("query_id", "vec_id", "score"), out)})
-
-    met = candidates.unionByName(askers).groupBy("dim", "cb", "qb").applyInArrow(search, "query_id long, vec_id long, score long")
+    candidates = everything.select("dim", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block"), F.lit(False).alias("asks"), "vec_id", "v")
+    askers = asked.select("dim", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(True).alias("asks"), "vec_id", "v")
+    schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
+
+    def search(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wrap = batches(schema)
+        now, ids, raw, lists = None, [], [], None
+        for b in parts:
+            out: list[list[int]] = [[], [], []]
+            for dim, block, asks, vec, v in zip(*(c.to_pylist() for c in b.columns)):
+                if (dim, block) != now:
+                    now, ids, raw, lists = (dim, block), [], [], None
+                if not asks:
+                    ids.append(vec)
+                    raw.append(v)
+                elif ids:
+                    if lists is None:
+                        lists = SortedLists(np.array(ids, dtype=np.int64), np.frombuffer(b"".join(raw), dtype=np.float64).reshape(len(ids), -1))
+                        raw = []
+                    for score, i in lists.top(vec, np.frombuffer(v, dtype=np.float64), k):
+                        for column, value in zip(out, (vec, i, score)):
+                            column.append(value)
+            yield wrap(out)
+
+    dealt = candidates.unionByName(askers).repartition(blocks, "dim", "block").sortWithinPartitions("dim", "block", "asks")
+    met = dealt.mapInArrow(search, "query_id long, vec_id long, score long")
     # Spark keeps the first k of a query in each task before it shuffles them.
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("vec_id")))
     return met.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -154,8 +154,12 @@ def vector_rows(n=400, dim=16):
 SCHEMA = "vec_id long, embedding array<float>, label int"
 
 
-def test_recall_bound():
-    assert embeddings.recall_bound() > 0.99
+def test_plan_keeps_recall_and_grows_slowly():
+    made = [embeddings.plan(n) for n in (0, 1, 400, 50_000, 10**6, 10**9)]
+    assert all(embeddings.recall_bound(embeddings.COSINE, *x) >= embeddings.RECALL for x in made)
+    assert made == sorted(made) and made[-1][0] < 1000
+    # Strangers in a bucket: cosine 0, the mean over the projections.
+    assert all(n * embeddings.same_cell(0.0) ** p <= embeddings.STRANGERS for n, p in ((50_000, made[3][1]), (10**6, made[4][1])))
 
 
 def test_near_vectors(spark):
@@ -181,12 +185,12 @@ def test_near_vectors_in_blocks(spark, monkeypatch):
     assert {r["vec_id"]: tuple(r) for r in embeddings.near_duplicates(spark.createDataFrame(vector_rows(), SCHEMA)).collect()} == whole
 
 
-@pytest.mark.parametrize("blocks", [(512, 8192), (7, 50)])
-def test_top_k(spark, blocks):
+@pytest.mark.parametrize("block", [8192, 50])
+def test_top_k(spark, block):
     rows = vector_rows()
     df = spark.createDataFrame(rows, SCHEMA)
     got = {}
-    for r in embeddings.top_k(df, df.where("vec_id % 20 = 0"), 20, 64, *blocks).collect():
+    for r in embeddings.top_k(df, df.where("vec_id % 20 = 0"), 20, 64, block).collect():
         got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
     ok = [(i, np.floor(64 * np.array(v, dtype=float))) for i, v, _ in rows if v and None not in v and np.isfinite(v).all()]
     for q, x in ok:
@@ -196,18 +200,38 @@ def test_top_k(spark, blocks):
     assert not got
 
 
-def test_walk_stops_before_all_rows_are_scored():
-    """Blocks above step * dims rows, where the lists are walked until the bound holds."""
+@pytest.mark.parametrize("spread", [[1.0] * 3, [2.0**-i for i in range(16)]])
+def test_bound_ends_walks(spread):
+    """Vectors whose scores few dimensions carry: the bound ends the walks, and the results are those of a full scan."""
     rng = np.random.default_rng(7)
-    x, ids = np.floor(64 * rng.standard_normal((6000, 3))), rng.permutation(6000)
-    lists, scored = embeddings.SortedLists(ids, x), []
-    plain = lists._scores
-    lists._scores = lambda rows, q, exact: (scored.append(len(rows)), plain(rows, q, exact))[1]
-    for i in range(0, 6000, 500):
-        scored.clear()
+    x, ids = np.floor(64 * rng.standard_normal((8000, len(spread))) * np.array(spread)), rng.permutation(8000)
+    lists = embeddings.SortedLists(ids, x)
+    for i in range(0, 8000, 500):
         want = sorted((-int(x[i] @ y), int(j)) for j, y in zip(ids, x) if j != ids[i])[:20]
         assert lists.top(int(ids[i]), x[i], 20) == [(-s, j) for s, j in want]
-        assert sum(scored) < 5999
+    assert lists.stops >= 12 and lists.scored < 0.6 * 16 * 8000
+
+
+def test_walk_scores_only_what_it_shows():
+    """The rows scored are those that the lists show down to the depth where the walk stopped."""
+    rng = np.random.default_rng(8)
+    x = np.floor(64 * rng.standard_normal((3000, 2)))
+    lists = embeddings.SortedLists(np.arange(3000), x)
+    q = np.array([100.0, -1.0])
+    assert lists.top(-1, q, 5)[0][0] == int((x @ q).max())
+    depth = next(d for d in (64 << i for i in range(10)) if lists.scored <= 2 * d)
+    assert lists.stops == 1 and lists.scored <= 2 * depth < 3000
+
+
+def test_vector_tables_may_be_empty(spark):
+    none = spark.createDataFrame([], SCHEMA)
+    assert embeddings.top_k(none, none).count() == 0 and embeddings.near_duplicates(none).count() == 0
+
+
+def test_repeated_ids_with_other_vectors(spark):
+    rows = [(1, [1.0, 0.0], 0), (1, [0.0, 1.0], 0), (2, [1.0, 0.01], 0), (3, [0.0, 1.0], 0), (4, [-1.0, 0.0], 0)]
+    got = {(r["vec_id"], r["n_links"], r["component_id"]) for r in embeddings.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {(1, 2, 1), (2, 1, 1), (3, 1, 1), (4, 0, 4)}
 
 
 def test_top_k_small_and_large(spark):
