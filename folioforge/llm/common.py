@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import re
-import tempfile
-import uuid
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.staging import shared_folder, staged
+
 #: Rows in an Arrow batch. Documents may be long, so a batch is kept far below Spark's default.
 BATCH_ROWS = 1000
 
@@ -22,35 +22,20 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Bounds the rows, and so the bytes, that a Python worker holds at once."""
+    """Bounds the rows, and so the bytes, that a Python worker holds at once. The setting is the session's and the last one counts
+    for all plans, so it bears on memory only: no result depends on where batches are cut."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
-def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in spark.checkpoint.dir; a folder of our own only where it names none."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        root = spark.sparkContext.getCheckpointDir()
-        if not root:
-            root = tempfile.mkdtemp(prefix="folioforge-")
-            spark.sparkContext.setCheckpointDir(root)
-    elif not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(root)
-    return root.rstrip("/")
-
-
 def snapshot(df: DataFrame) -> DataFrame:
     """Cuts the lineage through the shared folder; for narrow tables."""
-    checkpoint_root(df.sparkSession)
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
 def write_table(df: DataFrame, name: str) -> DataFrame:
     """Writes a compressed table to the shared folder and reads it again; for wide tables that are read more than once."""
-    spark = df.sparkSession
-    path = f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex}.parquet"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return staged(df, name)[0]
 
 
 def release_shuffles(spark: SparkSession) -> None:
@@ -68,7 +53,8 @@ def plan_bytes(df: DataFrame) -> int | None:
 
 
 def bucket_count(df: DataFrame, bytes_per_bucket: int = 8 << 20) -> int:
-    """Buckets that grow with the input, so that the memory of one bucket doesn't."""
+    """Buckets that grow with the input, so that the memory of one bucket doesn't. Spark plans a million tasks at most well, so
+    from 8 TB on buckets grow instead: at 100 TB one holds what 100 MB of input gives."""
     least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return max(least, min(1_000_000, -(-(plan_bytes(df) or 0) // bytes_per_bucket)))
 
@@ -157,7 +143,8 @@ def components(edges: DataFrame) -> DataFrame:
     Each round every class hooks onto its smallest neighbour and pointers are doubled until they end at roots; the edges are
     then rewritten to roots and those inside a class go, so a round at least halves the classes and a path of n nodes
     takes log n doublings. Hooking is a minimum by key, which is combined before the shuffle, so a hub with
-    a third of all edges is no hot task. Nothing but a row count comes to the driver.
+    a third of all edges is no hot task. In the joins on pointers a hub's nodes have one key: the rows are two numbers, both
+    sides are checkpointed scans, and AQE splits such a partition once it is large. Only a row count comes to the driver.
     """
     e = snapshot(edges.where("a is not null and b is not null and a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     labels = None

@@ -12,10 +12,14 @@ many of them to be sure also enters a prefix index, which has no such case, so n
 What agrees becomes groups, not pairs. A group's smallest document is compared with the others, linked sets are joined to
 components, and only groups that still hold several components are compared further, across components, in blocks of
 bounded size. A parity sketch (each token flips one bit, so the bits that differ never exceed the true difference) drops
-pairs that cannot link; the rest are verified exactly on their texts.
+pairs that cannot link; the rest are verified on the 64-bit hashes of all their shingles, made again from their texts.
+
+Copies of a set meet first by (set, salt) and then by set, and a leader's pairs are dealt in parts, so neither a set nor a
+leader that very many documents share is one task's work.
 
 Rows: null and empty texts have an empty set and link with nothing; rows with a null doc_id get a null component and link
-with nothing; repeated rows are one node, and rows that share a doc_id are linked by it; extra columns are dropped.
+with nothing; repeated rows are one node, and rows that share a doc_id are linked by it; extra columns are dropped; an empty
+table gives an empty one. Texts are read whole, whatever their length.
 """
 
 from __future__ import annotations
@@ -30,11 +34,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import HashTable, batches, bucket_count, components, mix, mix_int, release_shuffles, small_batches, snapshot, texts_of, write_table
+from .common import M64, HashTable, batches, bucket_count, components, mix, mix_int, release_shuffles, small_batches, snapshot, texts_of, write_table
 
 WORDS = 5
 LAST_SIZE = 1 << 31
 BLOCK = 512
+SALTS, LEADER_PAIRS = 64, 256
 _INDEX_BITS = np.uint64(20)
 _INDEX_MASK = np.uint64((1 << 20) - 1)
 _FACTORS = [pow(0x9E3779B97F4A7C15, k + 1, 1 << 64) for k in range(WORDS)]
@@ -174,7 +179,7 @@ def signatures(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         sums, counts = np.add.reduceat(value, starts), np.diff(np.r_[starts, len(place)])
         cell = place[starts]
         who, segment = cell // m, cell % m
-        salt = mix(segment.astype(np.uint64) + seed * np.uint64(3))
+        salt = mix(segment.astype(np.uint64) + np.uint64(3 * int(seed) & M64))
         sigs.append(mix(sums ^ salt))
         owners.append(who)
         soft = segment < ones  # the first segments have allowance 1
@@ -336,7 +341,12 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
                     keep_b.append(b)
             yield wrap([keep_a, keep_b])
 
-    wide = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
+    # A leader with many pairs goes in parts, with its text in each of them.
+    hot = snapshot(pairs.groupBy("a").agg(F.ceil(F.count("*") / F.lit(LEADER_PAIRS)).cast("int").alias("parts")).where("parts > 1"))
+    dealt = pairs.join(hot, "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), F.coalesce("parts", F.lit(1))).cast("int").alias("part"))
+    leaders = texts.select(F.col("id").alias("a"), F.col("text").alias("ta")).join(hot, "a", "left")
+    leaders = leaders.select("a", "ta", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part"))
+    wide = dealt.join(leaders, ["a", "part"]).join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
     return snapshot(wide.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long").distinct())
 
 
@@ -384,15 +394,21 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     buckets = bucket_count(docs)
     info = write_table(described(docs), "jaccard-sets")
     known = info.where("doc_id is not null and n > 0")
-    reps = known.groupBy("set_key").agg(F.min("doc_id").alias("rep"))
-    named = known.join(reps, "set_key").select("doc_id", "rep")
+    salted = known.select("doc_id", "set_key", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).alias("salt"))
+    firsts = snapshot(salted.groupBy("set_key", "salt").agg(F.min("doc_id").alias("first")))
+    reps = snapshot(firsts.groupBy("set_key").agg(F.min("first").alias("rep"), F.count("*").alias("salts")))
+    near = salted.join(firsts, ["set_key", "salt"]).where("doc_id <> first").select("doc_id", F.col("first").alias("to"))
+    far = firsts.join(reps.where("salts > 1"), "set_key").select(F.col("first").alias("doc_id"), "set_key", F.col("rep").alias("to"))
     nodes = snapshot(reps.join(known.select(F.col("doc_id").alias("rep"), F.col("set_key").alias("k"), "n", "sketch"), "rep").where("set_key = k").select("rep", "n", "sketch").dropDuplicates(["rep"]))
-    copies = snapshot(named.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).distinct())
+    # A document points to the first copy with its salt, that one to the first copy of all.
+    copies = snapshot(near.unionByName(far.select("doc_id", "to")).where("doc_id <> to").select(F.col("doc_id").alias("a"), F.col("to").alias("b")).distinct())
 
     groups = snapshot(grouped(indexed(docs, buckets), buckets))
     release_shuffles(docs.sparkSession)
-    rep_of = copies.groupBy(F.col("a").alias("doc_id")).agg(F.min("b").alias("rep"))
-    groups = groups.join(rep_of, "doc_id", "left").select("fp", F.coalesce("rep", "doc_id").alias("rep")).distinct()
+    step = copies.groupBy(F.col("a").alias("doc_id")).agg(F.min("b").alias("rep"))
+    for _ in range(2):  # two steps lead to the first copy of all
+        groups = groups.join(step, "doc_id", "left").select("fp", F.coalesce("rep", "doc_id").alias("doc_id"))
+    groups = groups.withColumnRenamed("doc_id", "rep").distinct()
     leaders = groups.groupBy("fp").agg(F.min("rep").alias("a"))
     stars = groups.join(leaders, "fp").where("rep <> a").select("a", F.col("rep").alias("b")).distinct()
     links = verified(snapshot(sketch_filtered(stars, nodes)), docs)

@@ -10,10 +10,11 @@ information -log2(P(e)) is a disclosure: the term is generalised wherever it sta
 however often a text is copied, in n(t, e), in n(t) and in P(e).
 
 Counts cover the whole corpus: terms are counted in each worker and summed by term, a pair's contexts are combined by key.
-Terms all of whose places are near their entity need no search; only the others are sent to the workers to be looked up.
+Terms all of whose places are near their entity need no search. The others are looked up in every text: while they are few
+(`BROADCAST_TERMS` and `BROADCAST_CHARS`) they are sent to the workers, beyond that texts' distinct terms are joined to them.
 
-Rows: null and empty texts hold nothing; a null or repeated doc_id is a row like any other; extra columns are kept by `sanitise` and dropped by `find_pii`; an empty table
-gives an empty one. Texts are read whole.
+Rows: null and empty texts hold nothing; a null or repeated doc_id is a row like any other; repeated rows count once; extra
+columns are kept by `sanitise` and dropped by `find_pii`; an empty table gives an empty one. Texts are read whole.
 """
 
 from __future__ import annotations
@@ -33,6 +34,7 @@ KINDS = ("email", "ip", "card", "phone")
 PLACEHOLDERS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "term": "[REDACTED]"}
 WINDOW, LEAST_CONTEXTS, LEAST_SHARE, LEAST_BITS = 6, 1, 0.5, 0.5
 COUNTER_WORDS = 300_000
+BROADCAST_TERMS, BROADCAST_CHARS = 200_000, 4_000_000
 
 _LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -134,14 +136,14 @@ def contexts(text: str, window: int = WINDOW) -> Iterator[tuple[str, str, int, i
 
 
 def row_key(docs: DataFrame) -> Column:
-    """The same for repeated rows only, so that spans go to the text they were found in."""
-    return F.xxhash64(docs["doc_id"].cast("long"), docs["text"]).alias("key")
+    """The same for repeated rows only, so that spans go to the text they were found in: the id and a hash of the text."""
+    return F.concat_ws(":", F.coalesce(docs["doc_id"].cast("long").cast("string"), F.lit("-")), F.xxhash64(docs["text"]).cast("string")).alias("key")
 
 
 def context_rows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """(key, entity, term, start, end, context, new, times): the terms near entities; key is the row's, by doc_id and text."""
     small_batches(docs.sparkSession)
-    schema = pa.schema([("key", pa.int64()), ("entity", pa.string()), ("term", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("context", pa.int64()), ("new", pa.int64()), ("times", pa.int64())])
+    schema = pa.schema([("key", pa.string()), ("entity", pa.string()), ("term", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("context", pa.int64()), ("new", pa.int64()), ("times", pa.int64())])
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wrap = batches(schema)
@@ -149,7 +151,7 @@ def context_rows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             rows = [(d, *x) for d, t in zip(b.column(0).to_pylist(), texts_of(b.column(1))) for x in contexts(t, window)]
             yield wrap([list(c) for c in zip(*rows)] if rows else [[] for _ in schema])
 
-    return docs.select(row_key(docs), "text").mapInArrow(run, "key long, entity string, term string, start long, end long, context long, new long, times long")
+    return docs.select(row_key(docs), "text").mapInArrow(run, "key string, entity string, term string, start long, end long, context long, new long, times long")
 
 
 def term_counts(docs: DataFrame) -> DataFrame:
@@ -195,12 +197,38 @@ def disclosures(rows: DataFrame, docs: DataFrame, least_contexts: int = LEAST_CO
     return judged.where((F.col("share") >= least_share) & (F.col("bits") >= least_bits * F.col("own"))).drop("own")
 
 
-def term_spans(docs: DataFrame) -> tuple[DataFrame, frozenset[str]]:
-    """(term_key, terms array<struct<start,end>>): where disclosing terms stand near their entities, by row key; and the terms that stand elsewhere too."""
+def terms_of_rows(docs: DataFrame, wide: DataFrame) -> DataFrame:
+    """(key, term) for every row that holds a term of `wide`; the distinct terms of each text move, not the texts."""
+    small_batches(docs.sparkSession)
+    schema = pa.schema([("key", pa.string()), ("term", pa.string())])
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wrap = batches(schema)
+        for b in parts:
+            keys, words = [], []
+            for key, t in zip(b.column(0).to_pylist(), texts_of(b.column(1))):
+                found = {w.lower() for w in set(_TERM.findall(t))}
+                keys += [key] * len(found)
+                words += found
+            yield wrap([keys, words])
+
+    return docs.select(row_key(docs), "text").mapInArrow(run, "key string, term string").join(wide, "term", "left_semi")
+
+
+def term_spans(docs: DataFrame) -> tuple[DataFrame, frozenset[str] | None]:
+    """(term_key, terms array<struct<start,end>>, words array<string>): where disclosing terms stand near their entities, by row
+    key, with those to look up in the whole row; and the terms to look up in all rows, or None where words names them by row."""
     rows = snapshot(context_rows(docs))
     told = snapshot(disclosures(rows, docs).select("entity", "term", "elsewhere"))
-    wide = frozenset(r["term"] for r in told.where("elsewhere").select("term").distinct().toLocalIterator())
-    return rows.join(told, ["entity", "term"]).groupBy(F.col("key").alias("term_key")).agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("terms")), wide
+    near = rows.join(told, ["entity", "term"]).groupBy(F.col("key").alias("term_key")).agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("terms"))
+    wide = snapshot(told.where("elsewhere").select("term").distinct())
+    size = wide.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("term")), F.lit(0)).alias("chars")).first()
+    if size["n"] <= BROADCAST_TERMS and size["chars"] <= BROADCAST_CHARS:
+        return near.withColumn("words", F.array().cast("array<string>")), frozenset(r["term"] for r in wide.collect())
+    words = terms_of_rows(docs, wide).groupBy(F.col("key").alias("word_key")).agg(F.collect_set("term").alias("words"))
+    both = near.join(words, F.col("term_key") == F.col("word_key"), "full_outer")
+    empty = F.array().cast("array<struct<start:bigint,end:bigint>>")
+    return both.select(F.coalesce("term_key", "word_key").alias("term_key"), F.coalesce("terms", empty).alias("terms"), F.coalesce("words", F.array().cast("array<string>")).alias("words")), None
 
 
 def places_of(text: str, terms: frozenset[str], base: dict[str, list[tuple[int, int]]]) -> list[tuple[int, int]]:
@@ -212,26 +240,35 @@ def places_of(text: str, terms: frozenset[str], base: dict[str, list[tuple[int,
 
 
 def find_pii(docs: DataFrame) -> DataFrame:
-    """(doc_id, found array<struct<kind,start,end>>): base spans by kind as listed, then start, then terms. Texts don't move."""
+    """(doc_id, found array<struct<kind,start,end>>): base spans by kind as listed, then start, then terms.
+
+    Texts don't move, unless the terms are too many to be sent to them: then each row's own terms are joined to it.
+    """
+    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     terms, wide = term_spans(docs)
-    wide = docs.sparkSession.sparkContext.broadcast(wide)
-    small_batches(docs.sparkSession)
+    by_row = wide is None
+    shared = docs.sparkSession.sparkContext.broadcast(wide)
     struct = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
     place = pa.struct([("start", pa.int64()), ("end", pa.int64())])
-    schema = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("base", pa.list_(struct)), ("more", pa.list_(place))])
+    schema = pa.schema([("doc_id", pa.int64()), ("key", pa.string()), ("base", pa.list_(struct)), ("more", pa.list_(place))])
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wrap = batches(schema)
         for b in parts:
             found, more = [], []
-            for t in texts_of(b.column(2)):
+            words = b.column(3).to_pylist() if by_row else None
+            for i, t in enumerate(texts_of(b.column(2))):
                 base = base_spans(t)
                 found.append([{"kind": k, "start": x, "end": y} for k, spans in base.items() for x, y in spans])
-                more.append([{"start": x, "end": y} for x, y in places_of(t, wide.value, base)])
+                more.append([{"start": x, "end": y} for x, y in places_of(t, frozenset(words[i] or ()) if by_row else shared.value, base)])
             yield wrap([b.column(0), b.column(1), found, more])
 
-    types = "doc_id long, key long, base array<struct<kind:string,start:long,end:long>>, more array<struct<start:long,end:long>>"
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key(docs), "text").mapInArrow(run, types)
+    rows = narrow.select("doc_id", row_key(narrow), "text")
+    if by_row:
+        some = terms.where(F.size("words") > 0).select(F.col("term_key").alias("word_key"), "words")
+        rows = rows.join(some, F.col("key") == F.col("word_key"), "left").drop("word_key")
+    small_batches(docs.sparkSession)
+    rows = rows.mapInArrow(run, "doc_id long, key string, base array<struct<kind:string,start:long,end:long>>, more array<struct<start:long,end:long>>")
     rows = rows.join(terms, F.col("key") == F.col("term_key"), "left")
     every = F.array_sort(F.when(F.col("terms").isNull(), F.col("more")).otherwise(F.array_union("terms", "more")))
     return rows.select("doc_id", F.concat("base", F.transform(every, lambda x: F.struct(F.lit("term").alias("kind"), x["start"].alias("start"), x["end"].alias("end")))).alias("found"))
@@ -261,21 +298,21 @@ def replaced(text: str, spans: list[tuple[str, int, int]]) -> str:
 def sanitise(docs: DataFrame) -> DataFrame:
     """The rows of `docs`, all columns kept, with every span generalised in their text."""
     terms, wide = term_spans(docs)
-    wide = docs.sparkSession.sparkContext.broadcast(wide)
-    key, told_name = fresh_name(docs, "pii_key"), fresh_name(docs, "pii_terms")
-    rows = docs.join(terms.select(F.col("term_key").alias(key), F.col("terms").alias(told_name)), row_key(docs) == F.col(key), "left").drop(key)
+    by_row, shared = wide is None, docs.sparkSession.sparkContext.broadcast(wide)
+    key, near, words = (fresh_name(docs, c) for c in ("pii_key", "pii_terms", "pii_words"))
+    rows = docs.join(terms.select(F.col("term_key").alias(key), F.col("terms").alias(near), F.col("words").alias(words)), row_key(docs) == F.col(key), "left").drop(key)
     small_batches(docs.sparkSession)
     at, n = docs.columns.index("text"), len(docs.columns)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in parts:
             texts = b.column(at).to_pylist()
-            for i, told in enumerate(b.column(n).to_pylist()):
+            for i, (told, own) in enumerate(zip(b.column(n).to_pylist(), b.column(n + 1).to_pylist())):
                 if not texts[i]:
                     continue
                 base = base_spans(texts[i])
                 spans = [(k, x, y) for k, found in base.items() for x, y in found] + [("term", x["start"], x["end"]) for x in told or ()]
-                spans += [("term", x, y) for x, y in places_of(texts[i], wide.value, base)]
+                spans += [("term", x, y) for x, y in places_of(texts[i], frozenset(own or ()) if by_row else shared.value, base)]
                 if spans:
                     texts[i] = replaced(texts[i], spans)
             columns = list(b.columns[:n])

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.staging import shared_folder
 from . import chat, embeddings, jaccard, pack, pii, secrets, substring, tokenize, toxicity
 from .common import read_table
 from .oracles import ORACLES as ORACLES
@@ -24,7 +27,8 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
-    return secrets.secret_digests(secrets.findings_by_path(docs, secrets.scan_new_blobs(docs)))
+    ledger = secrets.scan_increment(docs, f"{shared_folder(spark)}/secret-ledger-{uuid.uuid4().hex}")
+    return secrets.secret_digests(secrets.findings_by_path(docs, ledger))
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,24 +1,26 @@
 """Secret scans over an incremental blob ledger, with DataFrame functions only.
 
 A text is a version of a path (here a document). Its blob address is the SHA-256 of the text. The ledger holds one row
-for each (blob, rule, rule version) that was ever scanned, with the spans found. A scan takes the distinct blobs of the
-versions at hand, drops the pairs that the ledger has, scans each remaining blob once, and joins the spans back to every
-path that holds the blob.
+for each (blob, rule, rule version) that was ever scanned, with the spans found, and is a folder of Parquet files that
+scans add to. A scan takes the distinct blobs of the versions at hand, drops the pairs that the ledger has, scans each
+remaining blob once, and joins the spans back to every path that holds the blob.
 
 Positions come from two passes of the same pattern: the gaps (`split`) and the matches (`regexp_extract_all`) of a text
-alternate, so their lengths add up to code point offsets.
+alternate, so their running sum gives code point offsets. Only texts with matches are taken apart for it.
 
 Rows: a null text counts as empty; a null or repeated doc_id is a path like any other; extra columns are dropped; an
-empty table gives an empty one. Texts are scanned whole.
+empty table gives an empty one. Texts are scanned whole, whatever their length and number of matches.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .common import write_table
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -48,26 +50,30 @@ RULES = BASE_RULES + MORE_RULES
 LEDGER_SCHEMA = "blob string, kind string, version int, spans array<struct<start:int,end:int>>"
 
 
-def _spans(text: Column, rule: Rule) -> Column:
-    """array<struct<start,end>> of a rule in a text."""
+_SPANS = "array<struct<start:int,end:int>>"
+
+
+def _parts(text: Column, rule: Rule) -> Column:
+    """The gaps and matches of a rule in a text, in order; null without a match."""
     pattern = F.lit(rule.pattern)
     whole = F.regexp_extract_all(text, pattern, F.lit(0))
     kept = F.regexp_extract_all(text, pattern, F.lit(rule.group)) if rule.group else whole
     parts = F.arrays_zip(F.transform(F.split(text, rule.pattern, -1), F.length).alias("gap"), F.transform(whole, F.length).alias("size"), F.transform(kept, F.length).alias("kept"))
-    none = F.array().cast("array<struct<start:int,end:int,kept:int>>")
-    placed = F.aggregate(
-        parts,
-        F.struct(F.lit(0).alias("at"), none.alias("found")),
-        lambda acc, x: F.struct(
-            (acc["at"] + x["gap"] + F.coalesce(x["size"], F.lit(0))).alias("at"),
-            F.when(
-                x["size"].isNotNull(),
-                F.concat(acc["found"], F.array(F.struct((acc["at"] + x["gap"]).alias("start"), (acc["at"] + x["gap"] + x["size"]).alias("end"), x["kept"].alias("kept")))),
-            ).otherwise(acc["found"]).alias("found"),
-        ),
-    )["found"]
-    long_enough = F.transform(F.filter(placed, lambda x: x["kept"] >= rule.least), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end")))
-    return F.when(text.rlike(rule.pattern), long_enough).otherwise(F.array().cast("array<struct<start:int,end:int>>"))
+    return F.when(text.rlike(rule.pattern), parts)
+
+
+def _placed(scans: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """`scans` (blob, kind, version, parts) with `spans` in place of parts: running sums over the matches of a blob."""
+    least = F.create_map(*[x for r in rules for x in (F.lit(r.kind), F.lit(r.least))])
+    hits = scans.where("parts is not null").dropDuplicates(["blob", "kind", "version"])
+    x = hits.select("blob", "kind", "version", F.posexplode("parts").alias("no", "p")).where("p.size is not null")
+    upto = Window.partitionBy("blob", "kind", "version").orderBy("no")
+    x = x.select("blob", "kind", "version", F.sum(F.col("p.gap") + F.col("p.size")).over(upto).cast("int").alias("end"), "p.size", "p.kept")
+    x = x.where(F.col("kept") >= least[F.col("kind")])
+    found = x.groupBy("blob", "kind", "version").agg(F.array_sort(F.collect_set(F.struct((F.col("end") - F.col("size")).alias("start"), "end"))).cast(_SPANS).alias("spans"))
+    # A blob whose candidates were all too short has been scanned as well, and so has one without any.
+    nothing = scans.where("parts is null").select("blob", "kind", "version", F.array().cast(_SPANS).alias("spans"))
+    return nothing.unionByName(hits.select("blob", "kind", "version", F.array().cast(_SPANS).alias("spans")).join(found.select("blob", "kind", "version"), ["blob", "kind", "version"], "left_anti")).unionByName(found)
 
 
 def blobs_of(versions: DataFrame) -> DataFrame:
@@ -93,11 +99,27 @@ def scan_new_blobs(versions: DataFrame, ledger: DataFrame | None = None, rules:
     texts = addressed.join(first, F.col("doc_id").eqNullSafe(F.col("rep")) & (F.col("blob") == F.col("b"))).select("blob", "text", "todo")
     def row(r: Rule) -> Column:
         due = F.array_contains("todo", F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version")))
-        spans = _spans(F.col("text"), r)
-        return F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version"), (spans if ledger is None else F.when(due, spans)).alias("spans"))
+        return F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version"), (F.lit(True) if ledger is None else due).alias("due"), _parts(F.col("text"), r).alias("parts"))
 
     # A path that is repeated brings its blob's rows twice, and alike: the ledger is read as a set.
-    return texts.select("blob", F.inline(F.filter(F.array(*map(row, rules)), lambda x: x["spans"].isNotNull())))
+    scans = texts.select("blob", F.inline(F.filter(F.array(*map(row, rules)), lambda x: x["due"]))).drop("due")
+    return _placed(write_table(scans, "secret-scans"), rules)
+
+
+def read_ledger(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(LEDGER_SCHEMA).parquet(path)
+
+
+def scan_increment(versions: DataFrame, path: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """Scans what the ledger at `path` hasn't, adds it there, and returns the whole ledger. The first scan makes the ledger.
+
+    Rows of a scan that was cut off are there twice after the next one, and alike; the ledger is read as a set.
+    """
+    spark = versions.sparkSession
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    there = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder)
+    scan_new_blobs(versions, read_ledger(spark, path) if there else None, rules).write.mode("append").option("compression", "zstd").parquet(path)
+    return read_ledger(spark, path)
 
 
 def findings_by_path(versions: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:

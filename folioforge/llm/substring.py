@@ -1,19 +1,21 @@
 """Substring deduplication by sliding sentence spans.
 
 Sentences here end at commas, semicolons and colons too: a passage pasted into the middle of a sentence then loses little
-at its edges. Every run of several consecutive sentences is hashed: from each sentence the shortest run that holds
-`least_words` words, and the shortest such run that ends at each sentence, so a repeated passage is covered to its last
-sentence. (One sentence that long is a run of its own.) Equal runs meet by hash over the whole table; the first, by doc_id
-and place, stays. Sentences that any other one covers are removed from their documents, with the white space after them,
-where they make up a stretch of at least `least_stretch` words. That is no more than a run has, so every repeated run goes:
-the first and the last sentence of a passage may be fused with the text around it, and what lies between can be short.
-
-Runs travel packed by hash bucket, fourteen bytes a run, so a passage that very many documents share is a few bytes from
-each, not a group of rows. A removal names its hash, and a document removes a run only if that hash stands at that place.
-
-Rows: null and empty texts have no sentence and stay as they are; rows with a null doc_id count as the last document;
-rows that share a doc_id count as one document for who is first; repeated rows keep or lose the same; other columns are
-kept; an empty table gives an empty one.
+at its edges. A span is a run of consecutive sentences with at least `least_words` words. Every span that stands anywhere
+in the table before (by doc_id and place) is repeated, and its sentences are removed, with the white space after them.
+
+Of all runs only the least ones need to be hashed: from each sentence the shortest run that holds `least_words` words, and
+the shortest such run that ends at each sentence. A repeated longer run consists of least runs, each repeated where it is,
+and the forward and backward ones cover it to both ends, so the same sentences go (tests hold this against all runs).
+
+Runs travel packed by hash bucket, fourteen bytes a run. Of a run that a batch holds several times only the first goes to
+its hash's bucket; the others are repeats whatever comes, so they bypass it, and a passage in a third of all documents
+makes no hot bucket. A removal names its hash, and a document removes a run only if that hash stands at that place.
+
+Rows: null and empty texts have no sentence and stay as they are; a text of any length is read whole, and a sentence of
+`least_words` words or more is a run of its own; rows with a null doc_id count as the last document; rows that share a
+doc_id count as one document for who is first; repeated rows keep or lose the same; other columns are kept; an empty table
+gives an empty one.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from .common import batches, bucket_count, fresh_name, sentence_spans, small_batches, texts_of
 
-LEAST_WORDS, LEAST_STRETCH = 12, 12
+LEAST_WORDS = 12
 LAST_ID = (1 << 63) - 1
 
 
@@ -60,36 +62,51 @@ def runs_of(text: str, least_words: int = LEAST_WORDS) -> tuple[list[tuple[int,
     return spans, both[:, 0], both[:, 1], h
 
 
+def pack(ids: np.ndarray, texts: list[str], buckets: int, least_words: int) -> list | None:
+    """The columns of `packed_runs` for these documents, or None without a run."""
+    hashes, owners, firsts = [], [], []
+    for k, t in enumerate(texts):
+        _, first, _, h = runs_of(t, least_words)
+        hashes.append(h)
+        owners.append(np.full(len(h), k, dtype=np.uint32))
+        firsts.append(first.astype(np.uint32))
+    h, o, f = np.concatenate(hashes), np.concatenate(owners), np.concatenate(firsts)
+    if not len(h):
+        return None
+    order = np.lexsort((f, ids[o], h))
+    h, o, f = h[order], o[order], f[order]
+    start = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+    group = np.repeat(start, np.diff(np.r_[start, len(h)]))
+    # Equal places (a repeated row) are no repeats of each other: they stand or fall with the first.
+    again = (ids[o] != ids[o[group]]) | (f != f[group])
+    bucket = np.where(again, ids[o].view(np.uint64) % np.uint64(buckets), h % np.uint64(buckets)).astype(np.int32)
+    keep = again.copy()
+    keep[start] = True
+    order = np.lexsort((bucket[keep], again[keep]))
+    h, o, f, bucket, again = (x[keep][order] for x in (h, o, f, bucket, again))
+    cuts = np.flatnonzero(np.r_[True, (bucket[1:] != bucket[:-1]) | (again[1:] != again[:-1])])
+    rows: list[list] = [[], [], [], []]
+    for i, j in zip(cuts, np.r_[cuts[1:], len(h)]):
+        used, owner = np.unique(o[i:j], return_inverse=True)
+        for column, x in zip(rows, (h[i:j], owner.astype(np.uint32), f[i:j], ids[used])):
+            column.append(x.tobytes())
+    return [bucket[cuts], pa.array(again[cuts]), *rows]
+
+
 def packed_runs(docs: DataFrame, buckets: int, least_words: int) -> DataFrame:
-    """(bucket, hashes, owners, firsts, ids): the runs of a batch by bucket; owners are places in ids, firsts the first sentences."""
+    """(bucket, repeated, hashes, owners, firsts, ids): the runs of a batch by bucket; owners are places in ids, firsts the first
+    sentences. `repeated` rows hold runs that the batch has before; their bucket only spreads them."""
     small_batches(docs.sparkSession)
-    schema = pa.schema([("bucket", pa.int32()), ("hashes", pa.binary()), ("owners", pa.binary()), ("firsts", pa.binary()), ("ids", pa.binary())])
+    schema = pa.schema([("bucket", pa.int32()), ("repeated", pa.bool_()), ("hashes", pa.binary()), ("owners", pa.binary()), ("firsts", pa.binary()), ("ids", pa.binary())])
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wrap = batches(schema)
         for b in parts:
             ids = np.array([LAST_ID if d is None else d for d in b.column(0).to_pylist()], dtype=np.int64)
-            hashes, owners, firsts = [], [], []
-            for k, t in enumerate(texts_of(b.column(1))):
-                _, first, _, h = runs_of(t, least_words)
-                hashes.append(h)
-                owners.append(np.full(len(h), k, dtype=np.uint16))
-                firsts.append(first.astype(np.uint32))
-            h, o, f = np.concatenate(hashes), np.concatenate(owners), np.concatenate(firsts)
-            if not len(h):
-                continue
-            bucket = (h % np.uint64(buckets)).astype(np.int32)
-            order = np.argsort(bucket, kind="stable")
-            bucket, h, o, f = bucket[order], h[order], o[order], f[order]
-            cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
-            rows: list[list] = [[], [], [], []]
-            for i, j in zip(cuts, np.r_[cuts[1:], len(h)]):
-                used, owner = np.unique(o[i:j], return_inverse=True)
-                for column, x in zip(rows, (h[i:j], owner.astype(np.uint16), f[i:j], ids[used])):
-                    column.append(x.tobytes())
-            yield wrap([bucket[cuts], *rows])
-
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "bucket int, hashes binary, owners binary, firsts binary, ids binary")
+            if len(ids) and (columns := pack(ids, texts_of(b.column(1)), buckets, least_words)):
+                yield wrap(columns)
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "bucket int, repeated boolean, hashes binary, owners binary, firsts binary, ids binary")
 
 
 def repeats(packed: DataFrame, buckets: int) -> DataFrame:
@@ -101,10 +118,16 @@ def repeats(packed: DataFrame, buckets: int) -> DataFrame:
         wrap = batches(schema)
         hs, ds, fs = [], [], []
         for b in parts:
-            for hashes, owners, firsts, ids in zip(*(b.column(i) for i in range(1, 5))):
-                hs.append(np.frombuffer(hashes.as_buffer(), dtype=np.uint64))
-                ds.append(np.frombuffer(ids.as_buffer(), dtype=np.int64)[np.frombuffer(owners.as_buffer(), dtype=np.uint16)])
-                fs.append(np.frombuffer(firsts.as_buffer(), dtype=np.uint32))
+            for again, hashes, owners, firsts, ids in zip(b.column(1).to_pylist(), *(b.column(i) for i in range(2, 6))):
+                h = np.frombuffer(hashes.as_buffer(), dtype=np.uint64)
+                d = np.frombuffer(ids.as_buffer(), dtype=np.int64)[np.frombuffer(owners.as_buffer(), dtype=np.uint32)]
+                f = np.frombuffer(firsts.as_buffer(), dtype=np.uint32)
+                if again:
+                    yield wrap([d, f.astype(np.int64), h.view(np.int64)])
+                else:
+                    hs.append(h)
+                    ds.append(d)
+                    fs.append(f)
         if not hs:
             return
         h, d, f = np.concatenate(hs), np.concatenate(ds), np.concatenate(fs)
@@ -131,7 +154,7 @@ def repeats(packed: DataFrame, buckets: int) -> DataFrame:
     return packed.repartition(buckets, "bucket").mapInArrow(run, "id long, first long, hash long")
 
 
-def removed_spans(text: str, marks: set[tuple[int, int]], least_words: int, least_stretch: int) -> list[tuple[int, int]]:
+def removed_spans(text: str, marks: set[tuple[int, int]], least_words: int) -> list[tuple[int, int]]:
     """(start, end) of the stretches of a text to remove; marks: (first sentence, signed hash) of runs."""
     if not marks:
         return []
@@ -147,8 +170,7 @@ def removed_spans(text: str, marks: set[tuple[int, int]], least_words: int, leas
         if len(part):
             i, j = int(part[0]), int(part[-1])
             end = spans[j + 1][0] if j + 1 < len(spans) else len(text)
-            if sum(text.count(" ", *spans[k]) + 1 for k in range(i, j + 1)) >= least_stretch:
-                out.append((spans[i][0], end))
+            out.append((spans[i][0], end))
     return out
 
 
@@ -160,7 +182,7 @@ def without(text: str, spans: list[tuple[int, int]]) -> str:
     return "".join([*kept, text[at:]])
 
 
-def dedup_substrings(docs: DataFrame, least_words: int = LEAST_WORDS, least_stretch: int = LEAST_STRETCH) -> DataFrame:
+def dedup_substrings(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """The rows of `docs` with their text cleaned, all columns kept, and `removed_spans` array<struct<start,end>> of the text before."""
     spark = docs.sparkSession
     buckets = bucket_count(docs)
@@ -182,7 +204,7 @@ def dedup_substrings(docs: DataFrame, least_words: int = LEAST_WORDS, least_stre
             for i, m in enumerate(b.column(n)):
                 spans = []
                 if m.is_valid and texts[i]:
-                    spans = removed_spans(texts[i], {(x["first"], x["hash"]) for x in m.as_py()}, least_words, least_stretch)
+                    spans = removed_spans(texts[i], {(x["first"], x["hash"]) for x in m.as_py()}, least_words)
                     texts[i] = without(texts[i], spans)
                 gone.append([{"start": x, "end": y} for x, y in spans])
             columns = [*b.columns[:n], pa.array(gone, span_pa)]

@@ -9,11 +9,15 @@ words that the training sample has in several documents get a weight, and an L1
 the model is a small table.
 
 Training takes a bounded sample of the labelled rows (`sample_positive`, `sample_negative`: at most so many of either
-label, by hash of doc_id); rows that are weighted back to the labels' own shares. Scoring covers every document whole.
+label, by hash of doc_id); rows that are weighted back to the labels' own shares. Its texts are taken apart on the
+executors; what comes to the driver is the vocabulary and, for each document, the vocabulary's features by sentence. The
+same tables give the same model. Scoring covers every document whole.
 
 Rows: a null or empty text has no sentence and scores 0; rows with a null doc_id are scored, never learnt from; labels
-that are null are skipped, and a document with several labels is toxic if one says so; repeated rows are scored alike;
-extra columns are dropped. Without labels of both kinds every score is 0.
+that are null are skipped, and a document with several labels is toxic if one says so; of several texts with one doc_id
+the least is learnt from; copies of a text are learnt once; repeated rows are scored alike; extra columns are dropped by
+`score_documents` and kept by `flag_documents`. An empty table gives an empty one. Without labels of both kinds every
+score is 0.
 """
 
 from __future__ import annotations
@@ -29,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, fresh_name, sentence_spans, small_batches, texts_of
+from .common import batches, fresh_name, sentence_spans, small_batches, texts_of, write_table
 
 BIAS = -9.0
 THRESHOLD = 0.3
@@ -56,80 +60,112 @@ class Model:
     bias: float = BIAS
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, positive: int = SAMPLE_POSITIVE, negative: int = SAMPLE_NEGATIVE) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """(texts, labels, weights). Ids are chosen among the labels first; only the chosen documents' texts move."""
-    spark = docs.sparkSession
+def training_sample(docs: DataFrame, labels: DataFrame, positive: int = SAMPLE_POSITIVE, negative: int = SAMPLE_NEGATIVE) -> tuple[DataFrame | None, tuple[float, float]]:
+    """((text, y) table or None, weight of a clean and of a toxic document). Ids are chosen among the labels first; only the
+    chosen documents' texts move."""
     usable = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic")).where(~held_out_column(F.col("doc_id")))
     totals = {r["toxic"]: r["n"] for r in usable.groupBy((F.col("toxic") > 0).cast("int").alias("toxic")).agg(F.count("*").alias("n")).collect()}
     if not totals.get(0) or not totals.get(1):
-        return [], np.zeros(0), np.zeros(0)
-    parts = [usable.where(F.col("toxic") > 0 if y else F.col("toxic") <= 0).orderBy(F.xxhash64("doc_id")).limit(n) for y, n in ((1, positive), (0, negative))]
+        return None, (1.0, 1.0)
+    parts = [usable.where(F.col("toxic") > 0 if y else F.col("toxic") <= 0).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for y, n in ((1, positive), (0, negative))]
     # At most sample_positive + sample_negative rows of two numbers: that bound is what makes the broadcast safe.
     chosen = parts[0].select("doc_id", F.lit(1).alias("y")).unionByName(parts[1].select("doc_id", F.lit(0).alias("y")))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
-    small_batches(spark)
-    got = rows.select("text", "y").toArrow()
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    rows = rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("y").alias("y"))
+    sample = write_table(rows.groupBy("text").agg(F.max("y").alias("y"), F.count("*").alias("n"), F.sum("y").alias("n1")), "toxicity-sample")
+    found = sample.agg(F.sum("n").alias("n"), F.sum("n1").alias("n1")).first()
+    n1 = found["n1"] or 0
+    return sample.select("text", "y"), (totals[0] / max(1, (found["n"] or 0) - n1), totals[1] / max(1, n1))
+
+
+def vocabulary_of(sample: DataFrame) -> dict[str, int]:
+    """Feature -> its number, for the features that toxic documents have clearly more often: only such can raise a score."""
+    shares = {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    small_batches(sample.sparkSession, 500)
+    schema = pa.schema([("feature", pa.string()), ("n0", pa.int64()), ("n1", pa.int64())])
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wrap = batches(schema)
+        for b in parts:
+            counts: tuple[Counter, Counter] = (Counter(), Counter())
+            for t, y in zip(texts_of(b.column(0)), b.column(1).to_pylist()):
+                counts[y].update({f for w in set(_WORD.findall(t.lower())) for f in features(w)})
+            names = list(counts[0] | counts[1])
+            yield wrap([names, [counts[0][f] for f in names], [counts[1][f] for f in names]])
+
+    x = sample.select("text", "y").mapInArrow(run, "feature string, n0 long, n1 long").groupBy("feature").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    often = F.col("n1") / F.lit(float(max(1, shares.get(1, 0)))) > 4 * (F.col("n0") + 0.5) / F.lit(float(max(1, shares.get(0, 0))))
+    names = sorted(r["feature"] for r in x.where((F.col("n1") >= LEAST_DOCUMENTS) & often).select("feature").collect())
+    return {f: i for i, f in enumerate(names)}
+
+
+@dataclass
+class Bags:
+    """Documents as bags of sentences: feature `col[i]` stands in sentence `sen[i]`, sentence s in document `doc[s]`; `plain` counts
+    each document's sentences without a feature, `y` are the labels and `weight` sums to 1."""
+
+    col: np.ndarray
+    sen: np.ndarray
+    doc: np.ndarray
+    plain: np.ndarray
+    y: np.ndarray
+    weight: np.ndarray
+
+
+def bags_of(sample: DataFrame, vocabulary: dict[str, int], weights: tuple[float, float]) -> Bags:
+    small_batches(sample.sparkSession, 500)
+    shared = sample.sparkSession.sparkContext.broadcast(vocabulary)  # bounded by the sample
+    schema = pa.schema([("order", pa.int64()), ("y", pa.int64()), ("plain", pa.int64()), ("sizes", pa.list_(pa.int32())), ("columns", pa.list_(pa.int32()))])
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wrap, known = batches(schema), shared.value
+        for b in parts:
+            rows: list[list] = [[], [], []]
+            for t in texts_of(b.column(2)):
+                plain, sizes, columns = 0, [], []
+                for x, y in sentence_spans(t):
+                    found = {known[f] for w in set(_WORD.findall(t[x:y].lower())) for f in features(w) if f in known}
+                    if found:
+                        sizes.append(len(found))
+                        columns += sorted(found)
+                    else:
+                        plain += 1
+                for column, value in zip(rows, (plain, sizes, columns)):
+                    column.append(value)
+            yield wrap([*b.columns[:2], *rows])
+
+    got = sample.select(F.xxhash64("text"), F.col("y").cast("long"), "text").mapInArrow(run, "order long, y long, plain long, sizes array<int>, columns array<int>").orderBy("order").toArrow()
     y = got.column("y").to_numpy().astype(float)
-    weight = np.where(y > 0, totals[1] / max(1, (y > 0).sum()), totals[0] / max(1, (y == 0).sum()))
-    return [t or "" for t in got.column("text").to_pylist()], y, weight / weight.mean()
+    sizes = [np.array(x, dtype=np.int64) for x in got.column("sizes").to_pylist()]
+    col = np.concatenate([np.array(x, dtype=np.int64) for x in got.column("columns").to_pylist()])
+    per_sentence = np.concatenate(sizes)
+    weight = np.where(y > 0, weights[1], weights[0])
+    return Bags(col, np.repeat(np.arange(len(per_sentence)), per_sentence), np.repeat(np.arange(len(sizes)), [len(x) for x in sizes]), got.column("plain").to_numpy(), y, weight / weight.sum())
 
 
-def train(texts: list[str], y: np.ndarray, weight: np.ndarray, epochs: int = 150, rate: float = 0.15, l1: float = 2e-4) -> Model:
-    """Weights that maximise the likelihood of the labels under noisy-or, by full-batch Adam with a proximal L1 step."""
-    if not len(texts):
-        return Model({})
-    import xxhash
-
-    # Copies of a text count as one document here, or a copied word would look common.
-    first: dict[int, int] = {}
-    for d, t in enumerate(texts):
-        first.setdefault(xxhash.xxh3_64_intdigest(t.encode()), d)
-    rows = sorted(first.values())
-    shares = [max(1, sum(1 for d in rows if y[d] == v)) for v in (0, 1)]
-    counts: tuple[Counter, Counter] = (Counter(), Counter())
-    for d in rows:
-        counts[int(y[d])].update({f for w in set(_WORD.findall(texts[d].lower())) for f in features(w)})
-    # A feature can raise a score only if toxic documents have it clearly more often.
-    vocabulary: dict[str, int] = {}
-    for f, n1 in counts[1].items():
-        if n1 >= LEAST_DOCUMENTS and n1 / shares[1] > 4 * (counts[0][f] + 0.5) / shares[0]:
-            vocabulary[f] = len(vocabulary)
-    del counts
-    if not vocabulary:
-        return Model({})
-    columns, sentence_of, doc_of, plain = [], [], [], []
-    for k, d in enumerate(rows):
-        clean = 0
-        for a, b in sentence_spans(texts[d]):
-            found = {vocabulary[f] for w in set(_WORD.findall(texts[d][a:b].lower())) for f in features(w) if f in vocabulary}
-            if found:
-                sentence_of.extend([len(doc_of)] * len(found))
-                columns.extend(found)
-                doc_of.append(k)
-            else:
-                clean += 1
-        plain.append(clean)
-    col, sen, doc = (np.array(x, dtype=np.int64) for x in (columns, sentence_of, doc_of))
-    target, wt = y[rows], weight[rows] / weight[rows].sum()
-    n_s, n_d, n_f = len(doc), len(rows), len(vocabulary)
-    plain = np.array(plain)
+def loss(w: np.ndarray, bags: Bags) -> tuple[float, np.ndarray]:
+    """(negative log likelihood of the labels under noisy-or, its gradient)."""
     p0 = 1 / (1 + math.exp(-BIAS))
-    w = np.full(n_f, 0.5)
-    m, v = np.zeros(n_f), np.zeros(n_f)
+    z = BIAS + np.bincount(bags.sen, weights=w[bags.col], minlength=len(bags.doc))
+    p = 1 / (1 + np.exp(-z))
+    log_q = np.bincount(bags.doc, weights=np.log1p(-np.minimum(p, 1 - 1e-12)), minlength=len(bags.y)) + bags.plain * math.log1p(-p0)
+    score = np.clip(-np.expm1(log_q), 1e-9, 1 - 1e-9)
+    value = -float(bags.weight @ np.where(bags.y > 0, np.log(score), np.log1p(-score)))
+    # By a sentence's z: p for clean documents, -(1 - score) / score * p for toxic ones.
+    slope = bags.weight * np.where(bags.y > 0, -(1 - score) / score, 1.0)
+    return value, np.bincount(bags.col, weights=(slope[bags.doc] * p)[bags.sen], minlength=len(w))
+
+
+def fit(bags: Bags, n_features: int, epochs: int = 150, rate: float = 0.15, l1: float = 2e-4) -> np.ndarray:
+    """Weights that maximise the likelihood of the labels, by full-batch Adam with a proximal L1 step."""
+    w, m, v = np.full(n_features, 0.5), np.zeros(n_features), np.zeros(n_features)
     for step in range(1, epochs + 1):
-        z = BIAS + np.bincount(sen, weights=w[col], minlength=n_s)
-        p = 1 / (1 + np.exp(-z))
-        log_q = np.bincount(doc, weights=np.log1p(-np.minimum(p, 1 - 1e-12)), minlength=n_d) + plain * math.log1p(-p0)
-        score = np.clip(-np.expm1(log_q), 1e-9, 1 - 1e-9)
-        # d(-log likelihood)/dz: p for clean documents, -(1 - score) / score * p for toxic ones
-        slope = wt * np.where(target > 0, -(1 - score) / score, 1.0)
-        grad = np.bincount(col, weights=(slope[doc] * p)[sen], minlength=n_f)
+        _, grad = loss(w, bags)
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
         move = rate / (np.sqrt(v / (1 - 0.999**step)) + 1e-6)
         w = w - move * m / (1 - 0.9**step)
-        w = np.sign(w) * np.maximum(0, np.abs(w) - move * l1 * 0.01)
-        w = np.clip(w, 0.0, 14.0)
-    return Model({f: round(float(w[i]), 4) for f, i in vocabulary.items() if w[i] > 0.05})
+        w = np.clip(np.sign(w) * np.maximum(0, np.abs(w) - move * l1 * 0.01), 0.0, 14.0)
+    return w
 
 
 class Scorer:
@@ -217,5 +253,9 @@ def flag_documents(docs: DataFrame, model: Model, threshold: float = THRESHOLD)
 
 
 def learn(docs: DataFrame, labels: DataFrame) -> Model:
-    return train(*training_sample(docs, labels))
-
+    sample, weights = training_sample(docs, labels)
+    vocabulary = vocabulary_of(sample) if sample is not None else {}
+    if not vocabulary:
+        return Model({})
+    w = fit(bags_of(sample, vocabulary, weights), len(vocabulary))
+    return Model({f: round(float(w[i]), 4) for f, i in vocabulary.items() if w[i] > 0.05})

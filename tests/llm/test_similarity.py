@@ -110,6 +110,17 @@ def test_jaccard(spark):
     assert {i: r["n_shingles"] for i, r in got.items()} == {i: len(s) for i, s in enumerate(sets)}
 
 
+def test_jaccard_of_many_copies_in_parts(spark, monkeypatch):
+    """One set in many documents and a leader with many pairs, dealt in small parts."""
+    monkeypatch.setattr(jaccard, "SALTS", 5)
+    monkeypatch.setattr(jaccard, "LEADER_PAIRS", 3)
+    base = [f"w{i}" for i in range(60)]
+    texts = [" ".join(base)] * 40 + [" ".join([*base[:i], "other", *base[i + 1 :]]) for i in range(30)] + ["x y z u v w"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.jaccard_components(df).collect()}
+    assert got == {i: 0 for i in range(70)} | {70: 70}
+
+
 def test_jaccard_compares_across_components_in_blocks(spark, monkeypatch):
     """Chains whose ends don't link, all in common groups, with blocks of two."""
     monkeypatch.setattr(jaccard, "BLOCK", 2)

@@ -1,6 +1,7 @@
 """Chat formatting, tokenising, secrets, packing, toxicity, PII and substring dedup against brute force."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -139,6 +140,28 @@ def test_ledger_scans_only_what_it_has_not_seen(spark):
     assert {(r["kind"], r["version"]) for r in again.collect()} == {("assign", 2)} and again.count() == 2
 
 
+def test_ledger_is_stored_and_grows_by_increments(spark, tmp_path):
+    path = str(tmp_path / "ledger")
+    first, second = docs(spark, ["token=abcdefg", "plain", "token=abcdefg", None]), docs(spark, ["plain", "secret: 123456789", "token=abcdefg"])
+    assert secrets.scan_increment(first, path).count() == 3 * len(secrets.RULES)
+    assert secrets.scan_new_blobs(second, secrets.read_ledger(spark, path)).select("blob").distinct().count() == 1
+    ledger = secrets.scan_increment(second, path)
+    assert ledger.count() == 4 * len(secrets.RULES) and secrets.scan_increment(second, path).count() == ledger.count()
+    for d in (first, second):
+        whole = {r["doc_id"]: r["spans"] for r in secrets.secret_digests(secrets.findings_by_path(d, secrets.scan_new_blobs(d))).collect()}
+        assert {r["doc_id"]: r["spans"] for r in secrets.secret_digests(secrets.findings_by_path(d, ledger)).collect()} == whole
+    bumped = (secrets.Rule("assign", secrets.RULES[0].pattern, 2, 8, version=2), *secrets.RULES[1:])
+    assert secrets.scan_increment(first, path, bumped).where("version = 2").count() == 3
+    assert secrets.findings_by_path(first, secrets.read_ledger(spark, path), bumped).where("size(found) > 0").count() == 0
+
+
+def test_secrets_of_a_text_with_very_many(spark):
+    text = "é token=abcdefgh password: short1 " * 20_000
+    got = secrets.secret_digests(secrets.findings_by_path(docs(spark, [text]), secrets.scan_new_blobs(docs(spark, [text])))).first()
+    assert got["n_assign"] == 40_000 and got["base_sha256"] == SHA(secret_base(text))
+    assert secrets.scan_new_blobs(docs(spark, [])).count() == 0
+
+
 # ---- toxicity --------------------------------------------------------------------------------------
 
 
@@ -171,6 +194,54 @@ def test_toxicity(spark):
     assert all(r["h"] == (r["doc_id"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) for r in held_col)
 
 
+def test_scores_are_the_noisy_or_of_their_sentences():
+    """Scores recomputed plainly: one minus the product of what each sentence leaves."""
+    rnd = random.Random(11)
+    words = ["scum", "scumbag", "nitwit", "alpha", "beta", "é"]
+    model = toxicity.Model({"scum": 3.5, "scum*": 4.0, "nitwit": 8.5, "alpha": 0.7})
+    scorer = toxicity.Scorer(model)
+    for _ in range(300):
+        sentences = [" ".join(rnd.choice(words) for _ in range(rnd.randint(1, 5))) + "." for _ in range(rnd.randint(0, 7))]
+        left, located = 1.0, []
+        for k, x in enumerate(sentences):
+            found = {w.lower() for w in x[:-1].split(" ")}
+            z = -9 + (3.5 if "scum" in found else 0) + (4.0 if "scumbag" in found else 0) + (8.5 if "nitwit" in found else 0) + (0.7 if "alpha" in found else 0)
+            p = 1 / (1 + math.exp(-z)) if found & {"scum", "scumbag", "nitwit", "alpha"} else 0.0
+            left *= 1 - p
+            if p >= 0.3:
+                located.append(k)
+        text = "\n".join(sentences)
+        score, spans = scorer.score(text)
+        assert abs(score - (1 - left)) < 1e-9
+        assert [text[a:b] for a, b, _ in spans] == [sentences[k] for k in located]
+
+
+def test_gradient_of_the_bags():
+    rng = np.random.default_rng(5)
+    sen = np.sort(rng.integers(0, 12, 40))
+    doc = np.sort(rng.integers(0, 6, 12))
+    y = np.array([1, 0, 1, 0, 1, 0.0])
+    bags = toxicity.Bags(rng.integers(0, 8, 40), sen, doc, rng.integers(0, 3, 6), y, np.full(6, 1 / 6))
+    w = rng.uniform(0, 4, 8)
+    value, grad = toxicity.loss(w, bags)
+    for i in range(8):
+        step = np.zeros(8)
+        step[i] = 1e-5
+        assert abs((toxicity.loss(w + step, bags)[0] - toxicity.loss(w - step, bags)[0]) / 2e-5 - grad[i]) < 1e-6
+    assert toxicity.loss(toxicity.fit(bags, 8), bags)[0] < value
+
+
+def test_learning_does_not_depend_on_the_order_of_rows(spark):
+    rows = [(i, f"alpha beta. you scum{i % 3} gamma." if i % 2 else f"alpha beta {i}. gamma delta.", i % 2) for i in range(120)]
+    rows += [(1, "another text of one id", 1), (None, "x", 0)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    one = toxicity.learn(d.select("doc_id", "text"), d.select("doc_id", "toxic"))
+    other = toxicity.learn(d.orderBy(F.desc("doc_id")).select("doc_id", "text").repartition(7), d.select("doc_id", "toxic").repartition(3))
+    assert one.weights and one == other
+    none = d.limit(0)
+    assert toxicity.score_documents(none, one).count() == 0 and toxicity.learn(none, d.select("doc_id", "toxic")).weights == {}
+
+
 # ---- PII -------------------------------------------------------------------------------------------
 
 
@@ -204,7 +275,7 @@ def test_disclosing_terms(spark):
     texts = told + other + told[:1] * 50
     found = pii.find_pii(docs(spark, texts)).collect()
     words = {texts[r["doc_id"]][s["start"] : s["end"]] for r in found for s in r["found"] if s["kind"] == "term"}
-    assert words == set() or words == {"zorblax"}
+    assert words == {"zorblax"}
     rows = pii.context_rows(docs(spark, texts))
     pairs = pii.disclosures(rows, docs(spark, texts), least_bits=0.5).collect()
     assert {(r["entity"], r["term"]) for r in pairs} == {("email:boss@corp.example", "zorblax")} and pairs[0]["n_contexts"] == 6
@@ -212,7 +283,10 @@ def test_disclosing_terms(spark):
     assert [r["text"] for r in clean] == ["mail [EMAIL] now", None, "nothing here"] and clean[0]["terms"] == "clash"
 
 
-def test_disclosing_terms_go_everywhere(spark):
+@pytest.mark.parametrize("broadcast", [pii.BROADCAST_TERMS, 0])
+def test_disclosing_terms_go_everywhere(spark, monkeypatch, broadcast):
+    """Sent to the workers, or joined to the rows that hold them: the same."""
+    monkeypatch.setattr(pii, "BROADCAST_TERMS", broadcast)
     told = [f"line {w} about zorblax boss@corp.example says {w}" for w in ("uno", "dos", "tres", "cuatro", "cinco", "seis")]
     other = [f"line about says {w} mail{i}@x.example" for i, w in enumerate(["uno", "dos", "tres", "cuatro"] * 30)]
     texts = told + other + told[:1] * 50 + ["once Zorblax said uno dos", "rarely seen a qwyzzle", "line uno qwyzzle about 10.1.2.3 says uno", "line frimtook about 10.9.8.7 says uno"]
@@ -226,6 +300,56 @@ def test_disclosing_terms_go_everywhere(spark):
     assert [r["text"] for r in clean] == ["line uno about [REDACTED] [EMAIL] says uno", "once [REDACTED] said uno dos", "line [REDACTED] about [IP] says uno"]
 
 
+def plain_disclosures(texts):
+    """(entity, term) pairs that disclose, from plain loops over places."""
+    total, places_of, seen = 0, {}, {}
+    for t in texts:
+        base = [x.split(":") for x in pii_base(t).split(",") if x]
+        spans = [(int(a), int(b), k) for k, a, b in base]
+        words = [(m[0].lower(), m.start(), m.end()) for m in re.finditer(r"[^\W\d_]{3,}", t)]
+        total += len(words)
+        for w, _, _ in words:
+            places_of[w] = places_of.get(w, 0) + 1
+        told = set()
+        for a, b, k in sorted(spans):
+            line = (t.rfind("\n", 0, a) + 1, t.find("\n", b) if "\n" in t[b:] else len(t))
+            mine = [w for w in words if line[0] <= w[1] and w[2] <= line[1]]
+            near = [w for w in mine if w[2] <= a][-6:] + [w for w in mine if w[1] >= b][:6]
+            entity = f"{k}:{t[a:b].lower()}" if k in ("email", "ip") else f"{k}:" + "".join(c for c in t[a:b] if c in "0123456789")
+            free = [w for w in near if all(w[2] <= x or w[1] >= y for x, y, _ in spans)]
+            fresh = [w for w in free if (entity, w[1]) not in told]
+            told.update((entity, w[1]) for w in free)
+            for w in {w[0] for w in free}:
+                new = sum(x[0] == w for x in fresh)
+                context = seen.setdefault((entity, w), {}).setdefault(tuple(x[0] for x in near), [0, 0])
+                context[0] += new
+                context[1] = max(context[1], new)
+    once = {pair: sum(c[1] for c in contexts.values()) for pair, contexts in seen.items()}
+    out = set()
+    for (entity, w), contexts in seen.items():
+        n = places_of[w] - sum(c[0] for c in contexts.values()) + once[entity, w]
+        share = min(len(contexts), n) / (n + 1)
+        p = sum(x for (e, _), x in once.items() if e == entity) / total
+        if share >= 0.5 and math.log2(share / p) >= -0.5 * math.log2(p):
+            out.add((entity, w))
+    return out
+
+
+def test_disclosures_against_plain_loops(spark):
+    rnd = random.Random(12)
+    common, rare = ["uno", "dos", "tres", "cuatro", "cinco", "é", "x1", "que"], [f"rara{c}" for c in "abcdefgh"]
+    entities = ["a@x.yy", "B@x.yy", "1.2.3.4", "+1 456 555 2186", "+1(456)5552186", "4111 1111 1111 1111"]
+    texts = []
+    for _ in range(250):
+        words = [rnd.choice(rare if rnd.random() < 0.08 else common) for _ in range(rnd.randint(0, 25))]
+        for _ in range(rnd.choice([0, 0, 1, 1, 2, 3])):
+            words.insert(rnd.randint(0, len(words)), rnd.choice(entities))
+        texts.append("".join(w + rnd.choice([" ", " ", " ", ", ", "\n"]) for w in words))
+    texts += texts[:40] + ["rarac a@x.yy raracb a@x.yy rarac"]
+    got = {(r["entity"], r["term"]) for r in pii.disclosures(pii.context_rows(docs(spark, texts)), docs(spark, texts)).collect()}
+    assert got == plain_disclosures(texts) and got
+
+
 def test_words_are_found_however_far():
     for gap in (" " + "7" * 300 + " ", " https://x.yy/" + "9/" * 200 + " ", " " * 500):
         got = {x[1] for x in pii.contexts(f"far\nabcdef ghijkl{gap}a@x.yy{gap}mnopqr stuvwx\nfar")}
@@ -239,31 +363,51 @@ def test_words_are_found_however_far():
 # ---- substring dedup -------------------------------------------------------------------------------
 
 
+def walk_sentences(text):
+    """(start, end) of the sentences, character by character."""
+    ends, i = [], 0
+    while i < len(text):
+        j = i
+        if text[i] == "\n":
+            while j < len(text) and text[j] == "\n":
+                j += 1
+        elif text[i] in " \t" and i:
+            while j < len(text) and text[j] in " \t":
+                j += 1
+            before, after = text[i - 1], text[j : j + 1]
+            lower_then_capital = before.isalpha() and not "A" <= before <= "Z" and after.isalpha() and not ("a" <= after <= "z" or "ß" <= after <= "ÿ")
+            if not (before in ".!?,;:" or lower_then_capital):
+                i, j = j, j
+        if j > i:
+            ends.append((i, j))
+        i = max(j, i + 1)
+    out, at = [], 0
+    for x, y in [*ends, (len(text), len(text))]:
+        if x > at:
+            out.append((at, x))
+        at = y
+    return out
+
+
 def brute_dedup(rows, least):
-    """(doc_id, text) in order -> texts: every run's first place by (doc_id, sentence), all others removed."""
-    first = {}
-    for d, t in sorted(rows, key=lambda r: r[0]):
-        _, a, _, h = substring.runs_of(t or "", least)
-        for x, y in sorted(zip(a.tolist(), h.tolist())):
-            first.setdefault(y, (d, x))
+    """Every run of consecutive sentences of at least so many words, by its text; whatever any repeated one covers goes."""
+    first, runs = {}, {}
+    for d, t in rows:
+        spans = walk_sentences(t or "")
+        for i in range(len(spans)):
+            for j in range(i, len(spans)):
+                part = tuple((t or "")[x:y] for x, y in spans[i : j + 1])
+                if sum(len(p.split(" ")) for p in part) >= least:
+                    runs.setdefault(d, []).append((part, i, j))
+                    first[part] = min(first.get(part, (d, i)), (d, i))
     out = {}
     for d, t in rows:
-        spans, a, b, h = substring.runs_of(t or "", least)
-        gone = {k for x, y, z in zip(a.tolist(), b.tolist(), h.tolist()) if first[z] != (d, x) for k in range(x, y + 1)}
-        words = [(t or "").count(" ", x, y) + 1 for x, y in spans]
-        for k in sorted(gone):  # short stretches stay
-            i, j = k, k
-            while i - 1 in gone:
-                i -= 1
-            while j + 1 in gone:
-                j += 1
-            if sum(words[i : j + 1]) < substring.LEAST_STRETCH:
-                gone = gone - set(range(i, j + 1))
-        keep, at = [], 0
-        for k in sorted(gone):
-            keep.append((t[at : spans[k][0]]))
-            at = spans[k + 1][0] if k + 1 < len(spans) else len(t)
-        out[d] = "".join([*keep, (t or "")[at:]]) if t else t
+        spans, kept = walk_sentences(t or ""), t
+        gone = {k for part, i, j in runs.get(d, ()) if first[part] != (d, i) for k in range(i, j + 1)}
+        if gone:
+            edges = [*(x for x, _ in spans), len(t)]
+            kept = t[: edges[0]] + "".join(t[edges[k] : edges[k + 1]] for k in range(len(spans)) if k not in gone)
+        out[d] = kept
     return out
 
 
@@ -287,6 +431,25 @@ def test_substring(spark):
     assert substring.dedup_substrings(nulls).count() == len(texts)
 
 
+def test_one_sentence_of_eighteen_words_goes(spark):
+    rnd = random.Random(3)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(6))
+    sentence = " ".join(word() for _ in range(18)) + ". "
+    texts = [f"{word()} {word()}. {sentence}{word()} {word()} {word()}." for _ in range(2)]
+    got = [r["text"] for r in substring.dedup_substrings(docs(spark, texts)).orderBy("doc_id").collect()]
+    assert got == [texts[0], texts[1].replace(sentence, "")]
+
+
+def test_one_batch_may_hold_any_number_of_documents():
+    """More documents than 16 bits count: all but the first are repeats at once, and one row stands for the run in its bucket."""
+    n, shared = 70_000, " ".join(f"w{i}" for i in range(14))
+    bucket, again, hashes, owners, firsts, ids = substring.pack(np.arange(n), [shared] * n, 7, 12)
+    place = lambda k: np.frombuffer(ids[k], dtype=np.int64)[np.frombuffer(owners[k], dtype=np.uint32)].tolist()
+    again = again.to_pylist()
+    assert [place(k) for k in range(len(again)) if not again[k]] == [[0]]
+    assert sorted(x for k in range(len(again)) if again[k] for x in place(k)) == list(range(1, n))
+
+
 def test_passages_of_fifty_words_go(spark):
     rnd = random.Random(8)
     word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(6))
