@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batches, components, mix, mix_int, small_batches, snapshot
+from .common import batches, bucket_count, components, mix, mix_int, small_batches, snapshot
 
 COSINE = 0.93
 WIDTH, SEED, RECALL, STRANGERS = 2.4, 20240607, 0.99, 16
@@ -156,49 +156,105 @@ def compared(entries: DataFrame, cosine: float, tables: int) -> DataFrame:
     placed = met.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     spread = placed.select("label", "t", "code", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "key", "copies", "raw", "codes")
 
-    def compare(key, table):
-        t, i, j = key[1].as_py(), key[3].as_py(), key[4].as_py()
-        rep, keys, copies, block = (table.column(c).to_numpy() for c in ("rep", "key", "copies", "block"))
-        unit = unit_rows(table.column("raw").to_pylist())
-        codes = np.frombuffer(b"".join(x.as_py() for x in table.column("codes")), dtype=np.int32).reshape(len(rep), tables)
-        left, right = (np.arange(len(rep)), np.arange(len(rep))) if i == j else (np.flatnonzero(block == i), np.flatnonzero(block == j))
-        near = unit[left] @ unit[right].T >= cosine
-        for earlier in range(t):
-            near &= codes[left, earlier][:, None] != codes[right, earlier][None, :]
-        if i == j:
-            np.fill_diagonal(near, False)
-        a, k_of, b, n = [], [], [], []
-
-        def counted(rows, matrix, weights):
-            some = matrix @ weights
-            for k in np.flatnonzero(some):
-                a.append(int(rep[rows[k]]))
-                k_of.append(int(keys[rows[k]]))
-                b.append(None)
-                n.append(int(some[k]))
-
-        counted(left, near, copies[right])
-        if i != j:
-            counted(right, near.T, copies[left])
-        # Each vector is tied to the first vector that links met here lead to; that connects all they connect.
-        label = np.arange(len(rep))
-        while near.any():
-            least = label.copy()
-            far = len(rep)
-            least[left] = np.minimum(least[left], np.where(near, label[right][None, :], far).min(axis=1))
-            least[right] = np.minimum(least[right], np.where(near, label[left][:, None], far).min(axis=0))
-            least = least[least]
-            if (least == label).all():
-                break
-            label = least
-        for x in np.flatnonzero(label != np.arange(len(rep))):
-            a.append(int(rep[x]))
-            k_of.append(int(keys[x]))
-            b.append(int(rep[label[x]]))
-            n.append(0)
-        return pa.table({"a": pa.array(a, pa.int64()), "key": pa.array(k_of, pa.int64()), "b": pa.array(b, pa.int64()), "n": pa.array(n, pa.int64())})
-
-    return spread.groupBy("label", "t", "code", "i", "j").applyInArrow(compare, "a long, key long, b long, n long")
+    order = ["label", "t", "code", "i", "j"]
+    dealt = spread.repartition(bucket_count(entries), *order).sortWithinPartitions(*order)
+    out = pa.schema([("a", pa.int64()), ("key", pa.int64()), ("b", pa.int64()), ("n", pa.int64())])
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wrap, rest = batches(out), None
+        for b in parts:
+            rows = pa.Table.from_batches([b] if rest is None else [*rest.to_batches(), b]).combine_chunks()
+            if not rows.num_rows:
+                continue
+            starts = group_starts(rows, order)
+            rest = rows.slice(int(starts[-1]))  # the last group may go on in the next batch
+            if starts[-1]:
+                yield wrap(links_within(rows.slice(0, int(starts[-1])), starts[:-1], cosine, tables))
+        if rest is not None:
+            yield wrap(links_within(rest, np.zeros(1, dtype=np.int64), cosine, tables))
+
+    return dealt.mapInArrow(run, "a long, key long, b long, n long")
+
+
+def group_starts(rows: pa.Table, columns: list[str]) -> np.ndarray:
+    """Where groups of equal values in these columns begin, in sorted rows."""
+    new = np.ones(rows.num_rows, dtype=bool)
+    new[1:] = False
+    for c in columns:
+        x = rows.column(c).to_numpy()
+        new[1:] |= x[1:] != x[:-1]
+    return np.flatnonzero(new)
+
+
+#: Groups of at most so many rows are compared together, by distance of rows; larger ones one by one, as matrices.
+SMALL_GROUP = 12
+
+
+def links_within(rows: pa.Table, starts: np.ndarray, cosine: float, tables: int) -> list[np.ndarray]:
+    """The columns of `compared` for whole groups: link counts, and links that connect what is connected in a group."""
+    n_rows = rows.num_rows
+    rep, key, copies, block, t, i, j = (rows.column(c).to_numpy() for c in ("rep", "key", "copies", "block", "t", "i", "j"))
+    codes = np.frombuffer(b"".join(rows.column("codes").to_pylist()), dtype=np.int32).reshape(n_rows, tables)
+    raw = rows.column("raw").to_pylist()
+    length = np.array([len(x) if x[:1] == b"d" else -len(x) for x in raw])
+    sizes = np.diff(np.r_[starts, n_rows])
+    group = np.repeat(np.arange(len(starts)), sizes)
+    small = np.repeat(sizes <= SMALL_GROUP, sizes)
+    a, n, linked = [], [], []
+
+    def fresh(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Pairs that share no code in an earlier table."""
+        return ~((codes[x] == codes[y]) & (np.arange(tables) < t[x][:, None])).any(axis=1)
+
+    for size in np.unique(length):
+        here = np.flatnonzero(length == size)
+        unit = unit_rows([raw[k] for k in here])
+        few = small[here]
+        for apart in range(1, min(SMALL_GROUP, len(here))):
+            x, y = np.arange(len(here) - apart), np.arange(apart, len(here))
+            gx, gy = here[:-apart], here[apart:]
+            ok = few[x] & (group[gx] == group[gy]) & ((i[gx] == j[gx]) | (block[gx] != block[gy]))
+            x, y = x[ok], y[ok]
+            if not len(x):
+                continue
+            near = np.einsum("ij,ij->i", unit[x], unit[y]) >= cosine
+            x, y = here[x[near]], here[y[near]]
+            keep = fresh(x, y)
+            x, y = x[keep], y[keep]
+            a += [x, y]
+            n += [copies[y], copies[x]]
+            linked.append((x, y))
+        for g in np.unique(group[here[~few]]):
+            some = np.flatnonzero(group[here] == g)
+            at, u = here[some], unit[some]
+            crossed = i[at[0]] != j[at[0]]
+            left, right = (np.flatnonzero(block[at] == i[at[0]]), np.flatnonzero(block[at] == j[at[0]])) if crossed else (np.arange(len(at)), np.arange(len(at)))
+            near = u[left] @ u[right].T >= cosine
+            for earlier in range(int(t[at[0]])):
+                near &= codes[at[left], earlier][:, None] != codes[at[right], earlier][None, :]
+            if not crossed:
+                np.fill_diagonal(near, False)
+            a += [at[left], at[right]] if crossed else [at[left]]
+            n += [near @ copies[at[right]], copies[at[left]] @ near] if crossed else [near @ copies[at[right]]]
+            # Each vector is tied to the first vector that links met here lead to; that connects all they connect.
+            label = np.arange(len(at))
+            while near.any():
+                least = label.copy()
+                least[left] = np.minimum(least[left], np.where(near, label[right][None, :], len(at)).min(axis=1))
+                least[right] = np.minimum(least[right], np.where(near, label[left][:, None], len(at)).min(axis=0))
+                least = least[least]
+                if (least == label).all():
+                    break
+                label = least
+            tied = np.flatnonzero(label != np.arange(len(at)))
+            linked.append((at[tied], at[label[tied]]))
+    one = lambda x: np.concatenate(x) if x else np.zeros(0, dtype=np.int64)
+    counted, n = one(a), one(n)
+    counted, n = counted[n > 0], n[n > 0]
+    x, y = one([p for p, _ in linked]), one([q for _, q in linked])
+    nothing = pa.nulls(len(counted), pa.int64())
+    b = pa.concat_arrays([nothing, pa.array(rep[y].astype(np.int64))])
+    return [np.r_[rep[counted], rep[x]], np.r_[key[counted], key[x]], b, np.r_[n, np.zeros(len(x), dtype=np.int64)].astype(np.int64)]
 
 
 def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
@@ -343,7 +399,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = TOP, scale: int = SCA
                             column.append(value)
             yield wrap(out)
 
-    dealt = candidates.unionByName(askers).repartition(blocks, "dim", "block").sortWithinPartitions("dim", "block", "asks")
+    # Blocks are dealt by hash: with more partitions than blocks few of them share one.
+    dealt = candidates.unionByName(askers).repartition(4 * blocks, "dim", "block").sortWithinPartitions("dim", "block", "asks")
     met = dealt.mapInArrow(search, "query_id long, vec_id long, score long")
     # Spark keeps the first k of a query in each task before it shuffles them.
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("vec_id")))

@@ -196,6 +196,33 @@ def test_near_vectors_in_blocks(spark, monkeypatch):
     assert {r["vec_id"]: tuple(r) for r in embeddings.near_duplicates(spark.createDataFrame(vector_rows(), SCHEMA)).collect()} == whole
 
 
+def test_small_and_large_groups_find_the_same_links(monkeypatch):
+    """Groups compared by distance of rows, and as matrices: the same counts, and the same vectors connected."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(10)
+    base = rng.standard_normal((9, 8))
+    x = (base[rng.integers(0, 9, 60)] + 0.25 * rng.standard_normal((60, 8))).astype(np.float32)
+    group = np.sort(rng.integers(0, 9, 60))
+    crossed, block = group % 2, rng.integers(0, 2, 60)
+    block = np.where(crossed == 1, block, 0)
+    order = np.zeros(60, dtype=np.int64)
+    codes = rng.integers(0, 3, (60, 4)).astype(np.int32)
+    columns = {"label": order, "t": group % 4, "code": group, "i": order, "j": crossed, "block": block, "rep": np.arange(60), "key": order, "copies": rng.integers(1, 4, 60)}
+    rows = pa.table({**{k: pa.array(v, pa.int64()) for k, v in columns.items()}, "raw": [b"f" + v.tobytes() for v in x], "codes": [c.tobytes() for c in codes]})
+    starts = embeddings.group_starts(rows, ["label", "t", "code", "i", "j"])
+    seen = []
+    for small in (12, 0):
+        monkeypatch.setattr(embeddings, "SMALL_GROUP", small)
+        a, _, b, n = embeddings.links_within(rows, starts, 0.93, 4)
+        b = b.to_pylist()
+        counts = {}
+        for p, q, k in zip(a.tolist(), b, n.tolist()):
+            counts[p] = counts.get(p, 0) + k
+        seen.append(({p: k for p, k in counts.items() if k}, classes(range(60), [(p, q) for p, q in zip(a.tolist(), b) if q is not None])))
+    assert seen[0] == seen[1] and len(seen[0][0]) > 20
+
+
 @pytest.mark.parametrize("block", [8192, 50])
 def test_top_k(spark, block):
     rows = vector_rows()
