@@ -98,23 +98,6 @@ def gloss(c: str) -> str:
 
 PREDICATES = [(n, named("line", n)) for n in pr.NAMED] + [("file_token", m("line", P.FILE_TOKEN, "i")), ("function_word", m("line", P.SPANISH_FUNCTION_WORD, "i"))]
 
-#: Fences by walking each text's fence lines: a state that a recursive query would carry is a fold over the list here.
-FENCED = f"""{WITH}, marked AS (SELECT *, CASE WHEN {m('line', P.FENCE_BARE)} THEN 'B' WHEN starts_with(line, '```') THEN 'O' ELSE 'N' END AS k FROM lines),
-counted AS (SELECT *, sum(CAST(k = 'B' AS INT)) OVER w AS b FROM marked WINDOW w AS (PARTITION BY doc_id ORDER BY line_no)),
-opened AS (SELECT *, last_value(CASE WHEN k = 'O' THEN b END IGNORE NULLS) OVER w AS o FROM counted WINDOW w AS (PARTITION BY doc_id ORDER BY line_no)),
-stated AS (SELECT *, coalesce((b - o) % 2 = 0, b % 2 = 1) AS after FROM opened),
-fenced AS (SELECT *, coalesce(lag(after) OVER (PARTITION BY doc_id ORDER BY line_no), false) AS before FROM stated),
-x AS (SELECT doc_id, line_no, line, before OR k <> 'N' AS in_fence, NOT before AND k <> 'N' AS opens FROM fenced)"""
-
-HEADINGS = f"""{FENCED}, y AS (SELECT *, NOT in_fence AND {trim('line')} = '' AS blank FROM x),
-z AS (SELECT *, coalesce(lag(blank OR in_fence) OVER w, true) AS alone_before, coalesce(lead(blank OR in_fence) OVER w, true) AS alone_after FROM y WINDOW w AS (PARTITION BY doc_id ORDER BY line_no)),
-h AS (SELECT doc_id, line_no, CAST(length({ext('line', P.HEADING, 1)}) AS BIGINT) AS level, {trim(prose(ext('line', P.HEADING, 2)))} AS text FROM z
-WHERE NOT in_fence AND NOT blank AND alone_before AND alone_after AND {m('line', P.HEADING)})"""
-
-MODULES = f"""{HEADINGS}, m AS (SELECT doc_id, line_no, text AS title, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS seq FROM h WHERE level = 1),
-d AS (SELECT *, max(CAST(seq = 1 AND {m('title', P.INDEX_TITLE, 'i')} AS INT)) OVER (PARTITION BY doc_id) AS shift FROM m)
-SELECT doc_id, seq - shift AS module_no, title FROM d WHERE seq > shift"""
-
 _SEQUENCES = """seqs AS (SELECT l_suppkey AS seq_id, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice) AS pos, CASE WHEN l_returnflag = 'R' THEN 'list'
 WHEN CAST(l_quantity AS INT) % 4 = 0 THEN 'code' WHEN CAST(l_quantity AS INT) % 4 = 1 THEN 'prose' ELSE 'unknown' END AS kind FROM lineitem)"""
 
@@ -161,12 +144,6 @@ SELECT name, n, CASE WHEN lower(trim(name)) IN ({', '.join(map(sql, P.SAFE_LANGU
     "p_predicates": f"{WITH}, x AS (SELECT * FROM {DOC_LINES}) " + " UNION ALL ".join(f"SELECT {sql(n)} AS predicate, coalesce(sum(CAST({c} AS BIGINT)), 0)::BIGINT AS n FROM x" for n, c in PREDICATES),
     "c_labels": f"{WITH}, x AS (SELECT line, count(*) AS n FROM {DOC_LINES} GROUP BY 1) SELECT line, n, {mixed('line')} AS mixed, {path_label('line')} AS path_label, {label('line')} AS label, {gloss('line')} AS gloss FROM x",
     "t_lines": f"SELECT doc_id, count(*) AS n_lines, max(length(line))::BIGINT AS longest FROM {lines_of('documents')} GROUP BY 1",
-    "t_fences": f"{FENCED} SELECT doc_id, sum(CAST(in_fence AS INT))::BIGINT AS fenced, sum(CAST(opens AS INT))::BIGINT AS fences FROM x GROUP BY 1",
-    "t_headings": f"{HEADINGS} SELECT doc_id, level, text FROM h",
-    "m_modules": MODULES,
-    "u_resolve_unknowns": f"""WITH {_SEQUENCES}, near AS (SELECT *, last_value(CASE WHEN kind <> 'unknown' THEN kind END IGNORE NULLS) OVER (PARTITION BY seq_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b,
-first_value(CASE WHEN kind <> 'unknown' THEN kind END IGNORE NULLS) OVER (PARTITION BY seq_id ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS a FROM seqs)
-SELECT seq_id, CASE WHEN kind <> 'unknown' THEN kind WHEN b = 'code' AND a = 'code' THEN 'code' ELSE 'prose' END AS kind, count(*) AS n, sum(pos)::BIGINT AS pos_sum FROM near GROUP BY 1, 2""",
     "l_languages": f"""WITH c AS (SELECT 'p' || page_id AS id, replace(html, '>', '>' || chr(10)) AS code FROM pages UNION ALL SELECT 'o' || o_orderkey, {_CODE} FROM orders),
 s AS (SELECT id, list_filter(list_transform(string_split(code, chr(10)), lambda x: {trim('x')}), lambda x: x <> '') AS ls FROM c),
 t AS (SELECT id, ls, array_to_string(ls, chr(10)) AS body FROM s) SELECT id, {_detect('code', "'Módulo'")} AS language FROM t""",
