@@ -202,7 +202,7 @@ def test_small_and_large_groups_find_the_same_links(monkeypatch):
 
     rng = np.random.default_rng(10)
     base = rng.standard_normal((9, 8))
-    x = (base[rng.integers(0, 9, 60)] + 0.25 * rng.standard_normal((60, 8))).astype(np.float32)
+    x = (base[rng.integers(0, 9, 60)] + 0.15 * rng.standard_normal((60, 8))).astype(np.float32)
     group = np.sort(rng.integers(0, 9, 60))
     crossed, block = group % 2, rng.integers(0, 2, 60)
     block = np.where(crossed == 1, block, 0)
