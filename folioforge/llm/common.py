@@ -121,7 +121,7 @@ def mix_int(x: int) -> int:
 class HashTable(dict):
     """Word -> 64-bit hash, each distinct word hashed once while it stays in the table."""
 
-    def __init__(self, most: int = 500_000):
+    def __init__(self, most: int = 100_000):
         super().__init__()
         self.most = most
 
@@ -134,6 +134,29 @@ class HashTable(dict):
         return h
 
 
+# ---- tables of a worker process --------------------------------------------------------------------
+
+_tables_of: dict[str, list] = {}
+
+
+def own_tables(operator: str, *tables) -> None:
+    """Called where a task starts. A worker process is used again by later operators and stages: what earlier ones keep in it
+    (anything with `clear`) goes before this one fills its own tables. Tables are named by functions of their module, since a
+    nested function takes copies of the globals it names along."""
+    others = [t for name, held in _tables_of.items() if name != operator for t in held]
+    for t in others:
+        t.clear()
+    for name in [n for n in _tables_of if n != operator]:
+        del _tables_of[name]
+    if others:
+        import gc
+
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+    if tables:
+        _tables_of[operator] = list(tables)
+
+
 # ---- connected components --------------------------------------------------------------------------
 
 

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import M64, HashTable, batches, bucket_count, components, mix, mix_int, release_shuffles, small_batches, snapshot, texts_of, write_table
+from .common import HashTable, M64, batches, bucket_count, components, mix, mix_int, own_tables, release_shuffles, small_batches, snapshot, texts_of, write_table
 
 WORDS = 5
 LAST_SIZE = 1 << 31
@@ -80,6 +80,10 @@ _table = _Words()
 _word_hash = _table.__getitem__
 
 
+def own_words() -> None:
+    own_tables("jaccard", _table)
+
+
 def set_key(s: np.ndarray) -> bytes:
     import xxhash
 
@@ -210,6 +214,7 @@ def described(docs: DataFrame) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("set_key", pa.binary()), ("sketch", pa.binary())])
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own_words()
         wrap = batches(schema)
         for b in parts:
             sets = [shingle_set(t) for t in texts_of(b.column(1))]
@@ -227,6 +232,7 @@ def indexed(docs: DataFrame, buckets: int) -> DataFrame:
     schema = pa.schema([("bucket", pa.int32()), ("rows", pa.binary()), ("ids", pa.binary())])
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own_words()
         wrap = batches(schema)
         for b in parts:
             ids, sets, seen = [], [], set()
@@ -329,6 +335,7 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own_words()
         wrap = batches(schema)
         memo = functools.lru_cache(maxsize=256)(shingle_set)
         for x in parts:

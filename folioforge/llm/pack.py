@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batches, small_batches, texts_of, write_table
+from .common import batches, own_tables, small_batches, texts_of, write_table
 
 WINDOW = 4096
 END_ID = 2
@@ -108,6 +108,7 @@ _tables: dict = {}
 
 def table_for(tokenizer_file: str, table_words: int) -> WordTable:
     """One table for all tasks of a worker process."""
+    own_tables("pack", _tables)
     key = (tokenizer_file, table_words)
     if key not in _tables:
         _tables[key] = WordTable(*key)

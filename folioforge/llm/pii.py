@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, fresh_name, small_batches, snapshot, texts_of
+from .common import batches, fresh_name, own_tables, small_batches, snapshot, texts_of
 
 KINDS = ("email", "ip", "card", "phone")
 PLACEHOLDERS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "term": "[REDACTED]"}
@@ -146,6 +146,7 @@ def context_rows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     schema = pa.schema([("key", pa.string()), ("entity", pa.string()), ("term", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("context", pa.int64()), ("new", pa.int64()), ("times", pa.int64())])
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own_tables("pii")
         wrap = batches(schema)
         for b in parts:
             rows = [(d, *x) for d, t in zip(b.column(0).to_pylist(), texts_of(b.column(1))) for x in contexts(t, window)]
@@ -169,6 +170,7 @@ def term_counts(docs: DataFrame) -> DataFrame:
             yield [list(x) for x in zip(*items[i : i + 50_000])]
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own_tables("pii")
         wrap, counts = batches(schema), Counter()
         for b in parts:
             for t in texts_of(b.column(0)):

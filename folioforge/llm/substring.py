@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
-from .common import batches, bucket_count, fresh_name, sentence_spans, small_batches, texts_of
+from .common import batches, bucket_count, fresh_name, own_tables, sentence_spans, small_batches, texts_of
 
 LEAST_WORDS = 12
 LAST_ID = (1 << 63) - 1
@@ -100,6 +100,7 @@ def packed_runs(docs: DataFrame, buckets: int, least_words: int) -> DataFrame:
     schema = pa.schema([("bucket", pa.int32()), ("repeated", pa.bool_()), ("hashes", pa.binary()), ("owners", pa.binary()), ("firsts", pa.binary()), ("ids", pa.binary())])
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own_tables("substring")
         wrap = batches(schema)
         for b in parts:
             ids = np.array([LAST_ID if d is None else d for d in b.column(0).to_pylist()], dtype=np.int64)

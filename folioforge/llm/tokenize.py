@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import batches, small_batches, texts_of
+from .common import batches, own_tables, small_batches, texts_of
 
 MARK = "▁"
 TABLE_WORDS = 400_000
@@ -92,6 +92,7 @@ _tables: dict = {}
 
 def table_for(model_file: str, table_words: int) -> MarkedWordTable:
     """One table for all tasks of a worker process."""
+    own_tables("tokenize", _tables)
     key = (model_file, table_words)
     if key not in _tables:
         _tables[key] = MarkedWordTable(*key)

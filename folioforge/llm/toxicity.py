@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, fresh_name, sentence_spans, small_batches, texts_of, write_table
+from .common import batches, fresh_name, own_tables, sentence_spans, small_batches, texts_of, write_table
 
 BIAS = -9.0
 THRESHOLD = 0.3
@@ -226,6 +226,7 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64()), ("sentences", pa.list_(struct))])
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own_tables("toxicity")
         wrap, scorer = batches(schema), Scorer(shared.value)
         for b in parts:
             scored = [scorer.score(t) for t in texts_of(b.column(1))]
@@ -242,6 +243,7 @@ def flag_documents(docs: DataFrame, model: Model, threshold: float = THRESHOLD)
     at, name = docs.columns.index("text"), fresh_name(docs, "toxic_flag")
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own_tables("toxicity")
         scorer = Scorer(shared.value)
         for b in parts:
             flags = pa.array([scorer.score(t)[0] >= threshold for t in texts_of(b.column(at))], pa.bool_())

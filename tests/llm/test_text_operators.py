@@ -100,6 +100,18 @@ def test_packing(spark, window):
     assert pack.pack_documents(docs(spark, []), WORDS).count() == 0
 
 
+def test_a_reused_worker_lets_go_of_other_tables():
+    from folioforge.llm import jaccard
+
+    pack.table_for(WORDS, 1000)
+    assert pack._tables
+    jaccard.own_words()
+    jaccard.shingle_set("a b c d e f")
+    assert not pack._tables and jaccard._table
+    tokenize.table_for(PIECES, 1000)
+    assert tokenize._tables and not jaccard._table
+
+
 # ---- secrets ---------------------------------------------------------------------------------------
 
 
