@@ -158,7 +158,7 @@ SELECT parent_id, n AS n_top, ceil(n / 100.0)::BIGINT AS n_batches, ceil(n / 100
     "k_positions": f"""WITH {_PLAN}, live AS (SELECT parent_id, module_no, page_id FROM state WHERE module_no % 3 <> 0),
 prev AS (SELECT s.parent_id, s.module_no, max(l.module_no) AS p FROM state s LEFT JOIN live l ON l.parent_id = s.parent_id AND l.module_no < s.module_no GROUP BY 1, 2)
 SELECT parent_id, module_no, CASE WHEN p IS NULL THEN 'page_start' ELSE 'after_block' END AS position, 'page-' || p AS after_id FROM prev""",
-    "k_registry": """WITH c AS (SELECT 'c-' || c_custkey AS slug, c_custkey, c_mktsegment AS seg, sha256(c_name) AS h, c_custkey % 3 = 0 AS old, c_custkey % 2 = 0 AS new, c_custkey % 5 = 0 AS other FROM customer),
+    "k_registry": """WITH c AS (SELECT 'c-' || c_custkey AS slug, c_custkey, c_mktsegment AS seg, sha256(c_name) AS h, c_custkey % 3 = 0 AS old, c_custkey % 2 = 0 OR c_custkey % 3 <> 0 AS new, c_custkey % 5 = 0 AS other FROM customer),
 x AS (SELECT *, new AND NOT (old AND other) AS fresh FROM c WHERE old OR new)
 SELECT slug, CAST(c_custkey AS VARCHAR) AS page_id, CASE WHEN fresh AND other THEN 'other' ELSE seg END AS docx_file_name, CASE WHEN fresh THEN h ELSE 'old' END AS docx_hash,
 CASE WHEN old THEN '2024-01-01' ELSE '2025-01-01' END AS created_at, CASE WHEN fresh THEN '2025-01-01' ELSE '2024-01-02' END AS last_synced_at FROM x""",
@@ -168,10 +168,25 @@ SELECT CASE WHEN up THEN 'image' ELSE 'paragraph' END AS type, count(*) AS n, co
 todo AS (SELECT parent_id, m.module_no, st, greatest(coalesce(ceil(n / 100.0), 1), 1)::INT AS b FROM mods m LEFT JOIN tops USING (module_no) WHERE st <> 'F'),
 r AS (SELECT parent_id, 'PATCH' AS method, 0 AS seq FROM todo WHERE st = 'P' UNION ALL SELECT parent_id, CASE WHEN i = 0 THEN 'POST' ELSE 'PATCH' END, i + 1 FROM (SELECT parent_id, unnest(range(b)) AS i FROM todo))
 SELECT parent_id, method, count(*) AS n, sum(seq)::BIGINT AS seq_sum FROM r GROUP BY 1, 2""",
-    "k_retries": """WITH e AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS attempt, CASE event_id % 4 WHEN 0 THEN 429 WHEN 1 THEN 503 WHEN 2 THEN 500 ELSE 200 END AS status,
-CASE WHEN event_id % 8 = 0 THEN 3 END AS after FROM events), f AS (SELECT * FROM e WHERE attempt <= 5),
+    "k_retries": """WITH i AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS i FROM events), e AS (SELECT user_id, i // 6 AS series, i % 6 AS attempt, CASE event_id % 4 WHEN 0 THEN 429 WHEN 1 THEN 503 WHEN 2 THEN 500 ELSE 200 END AS status,
+CASE WHEN event_id % 8 = 0 THEN 3 END AS after FROM i),
 o AS (SELECT *, CASE WHEN status = 200 THEN 'done' WHEN attempt < 5 THEN 'retry' WHEN status = 429 THEN 'exhausted' ELSE 'failed' END AS outcome,
-CASE WHEN status = 429 THEN coalesce(after, 1)::DOUBLE WHEN status >= 500 AND attempt < 5 THEN pow(2, attempt) ELSE 0 END AS w FROM f),
-g AS (SELECT *, coalesce(max(CAST(outcome <> 'retry' AS INT)) OVER (PARTITION BY user_id ORDER BY attempt ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ended FROM o)
+CASE WHEN status = 429 THEN coalesce(after, 1)::DOUBLE WHEN status >= 500 AND attempt < 5 THEN pow(2, attempt) ELSE 0 END AS w FROM e),
+g AS (SELECT *, coalesce(max(CAST(outcome <> 'retry' AS INT)) OVER (PARTITION BY user_id, series ORDER BY attempt ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ended FROM o)
 SELECT user_id, outcome, count(*) AS n, sum(w) AS waited FROM g WHERE ended = 0 GROUP BY 1, 2""",
+    "k_commit": f"""WITH {_PLAN} SELECT parent_id, module_no, CASE WHEN st = 'F' THEN 'page-' || module_no ELSE 'new-' || module_no END AS page_id, CASE WHEN st = 'F' THEN true ELSE module_no % 2 = 0 END AS done FROM mods""",
+    "k_uploads": """WITH p AS (SELECT p_partkey % 9 AS doc_id, 'image' || p_partkey || CASE WHEN p_size % 2 = 0 THEN '.png' ELSE '.emf' END AS token, CASE WHEN p_size % 2 = 0 THEN 'image/png' ELSE 'image/emf' END AS content_type FROM part WHERE p_size % 5 <> 0 AND p_size * 512 * 1024 <= 20 * 1024 * 1024)
+SELECT doc_id, token, 0 AS seq, 'POST' AS method, '/file_uploads' AS endpoint, content_type, NULL::INT AS attach_seconds FROM p UNION ALL SELECT doc_id, token, 1, 'POST', '/file_uploads/{upload}/send', content_type, 3600 FROM p""",
+    "k_sync_runs": """WITH mods AS (SELECT DISTINCT o_custkey % 500 AS doc_id, o_orderkey % 40 AS module_no FROM orders),
+state AS (SELECT o_custkey % 500 AS doc_id, o_orderkey % 40 AS module_no, bool_or(o_orderstatus = 'F') AS done FROM orders WHERE o_orderstatus <> 'O' GROUP BY 1, 2),
+runs AS (SELECT c_custkey AS run_id, c_custkey % 510 AS doc_id, CASE WHEN c_custkey % 3 = 0 THEN c_custkey % 45 END AS only_no, c_custkey % 4 = 0 AS force, c_custkey % 7 = 0 AS dry FROM customer),
+stopped AS (SELECT *, CASE WHEN force AND only_no IS NULL THEN 'force needs a module' WHEN doc_id NOT IN (SELECT doc_id FROM mods) THEN 'no such document'
+WHEN only_no IS NOT NULL AND NOT EXISTS (SELECT 1 FROM mods m WHERE m.doc_id = runs.doc_id AND m.module_no = only_no) THEN 'no such module; 1' END AS problem FROM runs),
+x AS (SELECT run_id, NULL AS action, problem, NULL::BIGINT AS module_no FROM stopped WHERE problem IS NOT NULL
+UNION ALL SELECT run_id, CASE WHEN dry THEN 'dry_run' WHEN s.doc_id IS NULL THEN 'create' WHEN done AND NOT force THEN 'skip' ELSE 'redo' END, NULL, m.module_no
+FROM stopped r JOIN mods m ON m.doc_id = r.doc_id AND (only_no IS NULL OR only_no = m.module_no) LEFT JOIN state s ON s.doc_id = m.doc_id AND s.module_no = m.module_no WHERE problem IS NULL)
+SELECT run_id, action, problem, count(*) AS n, sum(module_no)::BIGINT AS module_sum FROM x GROUP BY 1, 2, 3""",
+    "k_course_runs": """WITH c AS (SELECT s_name AS slug, s_suppkey % 3 = 0 AS known, s_suppkey % 6 = 0 AND s_suppkey <> 0 AS other, s_suppkey % 5 = 0 AS no_area, s_suppkey % 7 = 0 AS no_platform, CASE WHEN s_suppkey % 2 = 0 THEN 'En curso' ELSE 'Terminado' END AS status FROM supplier),
+p AS (SELECT *, CASE WHEN known AND other THEN 'slug taken by another file' WHEN known THEN NULL WHEN no_area THEN 'area missing' WHEN no_platform THEN 'platform missing' END AS problem FROM c)
+SELECT slug, CASE WHEN problem IS NULL THEN CASE WHEN known THEN 'update' ELSE 'create' END END AS action, status, problem FROM p""",
 }

@@ -10,7 +10,7 @@ from .functions import patterns as P
 from .functions import predicates as pr
 from .functions import text as tx
 from .operators import blocks, context, language, lines, modules, render, units
-from .plans import sync
+from .plans import course, sync
 from .sources.staging import spread
 from .streaming.jobs import structure
 
@@ -266,7 +266,7 @@ def k_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer")
     row = lambda hashed: (F.concat(F.lit("c-"), F.col("c_custkey").cast("string")).alias("slug"), F.col("c_custkey").cast("string").alias("page_id"), F.col("c_mktsegment").alias("docx_file_name"), hashed.alias("docx_hash"))
     old = c.where("c_custkey % 3 = 0").select(*row(F.lit("old")), F.lit("2024-01-01").alias("created_at"), F.lit("2024-01-02").alias("last_synced_at"))
-    new = c.where("c_custkey % 2 = 0").select(*row(F.sha2("c_name", 256))).withColumn("docx_file_name", F.when(F.col("page_id").cast("long") % 5 == 0, "other").otherwise(F.col("docx_file_name")))
+    new = c.where("c_custkey % 2 = 0 or c_custkey % 3 <> 0").select(*row(F.sha2("c_name", 256))).withColumn("docx_file_name", F.when(F.col("page_id").cast("long") % 5 == 0, "other").otherwise(F.col("docx_file_name")))
     merged, _ = sync.upsert_courses(old, new, F.lit("2025-01-01"))
     return merged
 
@@ -289,10 +289,47 @@ def k_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def k_retries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """K1: waits and outcomes for responses made from events."""
+    """K1: waits and outcomes for responses made from events, six in a series."""
     w = Window.partitionBy("user_id").orderBy("event_id")
-    e = table(spark, sf_dir, "events").select("user_id", "event_id", (F.row_number().over(w) - 1).alias("attempt"), F.when(F.col("event_id") % 4 == 0, 429).when(F.col("event_id") % 4 == 1, 503).when(F.col("event_id") % 4 == 2, 500).otherwise(200).alias("status"), F.when(F.col("event_id") % 8 == 0, F.lit(3)).alias("retry_after"))
-    return sync.retry_schedule(e, ["user_id"]).groupBy("user_id", "outcome").agg(F.count("*").alias("n"), F.sum("wait_seconds").alias("waited"))
+    e = table(spark, sf_dir, "events").select("user_id", "event_id", (F.row_number().over(w) - 1).alias("i"), F.when(F.col("event_id") % 4 == 0, 429).when(F.col("event_id") % 4 == 1, 503).when(F.col("event_id") % 4 == 2, 500).otherwise(200).alias("status"), F.when(F.col("event_id") % 8 == 0, F.lit(3)).alias("retry_after"))
+    e = e.withColumn("series", F.floor(F.col("i") / 6)).withColumn("attempt", F.col("i") % 6)
+    return sync.retry_schedule(e, ["user_id", "series"]).groupBy("user_id", "outcome").agg(F.count("*").alias("n"), F.sum("wait_seconds").alias("waited"))
+
+
+def k_commit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K9: the state after a push of what was open."""
+    mods, state = _plan_tables(spark, sf_dir)
+    pushed = sync.pending(mods, state).select("parent_id", "module_no", F.concat(F.lit("new-"), F.col("module_no").cast("string")).alias("page_id"), (F.col("module_no") % 2 == 0).alias("done"))
+    return sync.commit_state(state, pushed)
+
+
+def k_uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K2: the requests for images made from parts, some without a file and some too large."""
+    p = table(spark, sf_dir, "part")
+    name = F.concat(F.lit("image"), F.col("p_partkey").cast("string"), F.when(F.col("p_size") % 2 == 0, ".png").otherwise(".emf"))
+    images = p.select(F.pmod("p_partkey", F.lit(9)).alias("doc_id"), name.alias("token"))
+    files = p.where("p_size % 5 <> 0").select(F.pmod("p_partkey", F.lit(9)).alias("doc_id"), name.alias("name"), F.concat(F.lit("media/"), name).alias("path"), (F.col("p_size") * 1024 * 512).cast("long").alias("size"))
+    return course.upload_requests(sync.upload_plan(images.unionByName(images), files, ["doc_id"]), ["doc_id"])
+
+
+def k_sync_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O1: what runs made from customers do with modules made from orders, and what stops them."""
+    o, c = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
+    mods = o.select(F.pmod("o_custkey", F.lit(500)).alias("doc_id"), F.pmod("o_orderkey", F.lit(40)).cast("int").alias("module_no")).distinct()
+    state = o.where("o_orderstatus <> 'O'").groupBy(F.pmod("o_custkey", F.lit(500)).cast("string").alias("parent_id"), F.pmod("o_orderkey", F.lit(40)).cast("int").alias("module_no")).agg(F.max(F.concat(F.lit("page-"), F.col("o_orderkey").cast("string"))).alias("page_id"), F.max(F.col("o_orderstatus") == "F").alias("done"))
+    k = F.col("c_custkey")
+    runs = c.select(k.alias("run_id"), F.pmod(k, F.lit(510)).alias("doc_id"), F.pmod(k, F.lit(510)).cast("string").alias("parent_id"), F.when(k % 3 == 0, F.pmod(k, F.lit(45)).cast("int")).alias("module_no"), (k % 4 == 0).alias("force"), (k % 7 == 0).alias("dry_run"))
+    x = course.plan_sync(runs, mods, state)
+    return x.groupBy("run_id", "action", F.regexp_replace("problem", " to .*", "").alias("problem")).agg(F.count("*").alias("n"), F.sum("module_no").alias("module_sum"))
+
+
+def k_course_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O2: courses made from suppliers, some registered."""
+    s = table(spark, sf_dir, "supplier")
+    k = F.col("s_suppkey")
+    courses = s.select(F.col("s_name").alias("slug"), F.concat(F.lit("f"), k.cast("string")).alias("docx_file_name"), F.when(k % 5 != 0, F.lit("Web")).alias("area"), F.when(k % 7 == 0, "").otherwise("Libre").alias("platform"), F.when(k % 2 == 0, F.lit("En curso")).alias("status"))
+    registry = s.where("s_suppkey % 3 = 0").select(F.col("s_name").alias("slug"), F.concat(F.lit("f"), F.when(k % 6 == 0, F.lit(0)).otherwise(k).cast("string")).alias("docx_file_name"))
+    return course.plan_courses(courses, registry, F.lit("db"))
 
 
 QUERIES = {
@@ -303,5 +340,6 @@ QUERIES = {
         t_lines, t_fences, t_units, t_unit_counts, t_headings, m_modules, u_kinds, u_resolve_unknowns, l_languages,
         r_modules, r_join_dangling, b_blocks, b_page_blocks, b_list_depths, b_batches,
         k_push_actions, k_pending, k_positions, k_registry, k_images, k_requests, k_retries,
+        k_commit, k_uploads, k_sync_runs, k_course_runs,
     )
 }
