@@ -208,59 +208,48 @@ def signatures(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 # ---- stages ----------------------------------------------------------------------------------------
 
 
-def described(docs: DataFrame) -> DataFrame:
-    """(doc_id, n, set_key binary, sketch binary) of every row."""
-    small_batches(docs.sparkSession)
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("set_key", pa.binary()), ("sketch", pa.binary())])
+def described(docs: DataFrame, buckets: int) -> DataFrame:
+    """Two kinds of rows from one pass over the texts. (doc_id, n, set_key binary, sketch binary) of every row, and the index rows
+    (bucket int, rows binary, ids binary), packed by bucket, 44 bits of signature and 20 of place in `ids` each; n is null in those.
 
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own_words()
-        wrap = batches(schema)
-        for b in parts:
-            sets = [shingle_set(t) for t in texts_of(b.column(1))]
-            yield wrap([b.column(0), [len(s) for s in sets], [set_key(s) for s in sets], [sketch(s) for s in sets]])
-
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, set_key binary, sketch binary")
-
-
-def indexed(docs: DataFrame, buckets: int) -> DataFrame:
-    """(bucket int, rows binary, ids binary): index rows packed by bucket, 44 bits of signature and 20 of place in `ids` each.
-
-    Copies of a set within a batch are one entry; they are linked by their set key.
+    Copies of a set within a batch are one entry of the index; they are linked by their set key.
     """
     small_batches(docs.sparkSession)
-    schema = pa.schema([("bucket", pa.int32()), ("rows", pa.binary()), ("ids", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("set_key", pa.binary()), ("sketch", pa.binary()), ("bucket", pa.int32()), ("rows", pa.binary()), ("ids", pa.binary())])
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own_words()
         wrap = batches(schema)
         for b in parts:
-            ids, sets, seen = [], [], set()
-            for d, t in zip(b.column(0).to_pylist(), texts_of(b.column(1))):
-                if d is None:
-                    continue
-                s = shingle_set(t)
-                if len(s) >= 4 and (k := set_key(s)) not in seen:
-                    seen.add(k)
-                    ids.append(d)
-                    sets.append(s)
-            sig, owner = signatures(sets)
-            if not len(sig):
-                continue
-            bucket = (sig % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            bucket, packed = bucket[order], ((sig >> _INDEX_BITS << _INDEX_BITS) | owner.astype(np.uint64))[order]
-            cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
-            rows, names = [], []
-            all_ids = np.array(ids, dtype=np.int64)
-            for i, j in zip(cuts, np.r_[cuts[1:], len(bucket)]):
-                part = packed[i:j]
-                used, place = np.unique(part & _INDEX_MASK, return_inverse=True)
-                rows.append(((part & ~_INDEX_MASK) | place.astype(np.uint64)).tobytes())
-                names.append(all_ids[used.astype(np.int64)].tobytes())
-            yield wrap([bucket[cuts].astype(np.int32), rows, names])
-
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "bucket int, rows binary, ids binary")
+            sets = [shingle_set(t) for t in texts_of(b.column(1))]
+            keys = [set_key(s) for s in sets]
+            none = [None] * len(sets)
+            yield wrap([b.column(0), [len(s) for s in sets], keys, [sketch(s) for s in sets], none, none, none])
+            first: dict[bytes, int] = {}
+            for i, (d, s) in enumerate(zip(b.column(0).to_pylist(), sets)):
+                if d is not None and len(s) >= 4:
+                    first.setdefault(keys[i], i)
+            bucket, rows, ids = index_rows(b.column(0).take(pa.array(first.values(), pa.int64())).to_numpy(), [sets[i] for i in first.values()], buckets)
+            none = [None] * len(bucket)
+            yield wrap([none, none, none, none, bucket, rows, ids])
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, set_key binary, sketch binary, bucket int, rows binary, ids binary")
+
+
+def index_rows(all_ids: np.ndarray, sets: list[np.ndarray], buckets: int) -> tuple[np.ndarray, list[bytes], list[bytes]]:
+    """The columns bucket, rows and ids of `described` for these sets."""
+    sig, owner = signatures(sets)
+    bucket = (sig % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    bucket, packed = bucket[order], ((sig >> _INDEX_BITS << _INDEX_BITS) | owner.astype(np.uint64))[order]
+    cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
+    rows, names = [], []
+    for i, j in zip(cuts, np.r_[cuts[1:], len(bucket)]):
+        part = packed[i:j]
+        used, place = np.unique(part & _INDEX_MASK, return_inverse=True)
+        rows.append(((part & ~_INDEX_MASK) | place.astype(np.uint64)).tobytes())
+        names.append(all_ids[used.astype(np.int64)].tobytes())
+    return bucket[cuts].astype(np.int32), rows, names
 
 
 def grouped(index: DataFrame, buckets: int) -> DataFrame:
@@ -399,7 +388,9 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of `docs`; see the module's docstring."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
     buckets = bucket_count(docs)
-    info = write_table(described(docs), "jaccard-sets")
+    table = write_table(described(docs, buckets), "jaccard-sets")
+    info = table.where("n is not null").select("doc_id", "n", "set_key", "sketch")
+    index = table.where("n is null").select("bucket", "rows", "ids")
     known = info.where("doc_id is not null and n > 0")
     salted = known.select("doc_id", "set_key", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).alias("salt"))
     firsts = snapshot(salted.groupBy("set_key", "salt").agg(F.min("doc_id").alias("first")))
@@ -410,7 +401,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     # A document points to the first copy with its salt, that one to the first copy of all.
     copies = snapshot(near.unionByName(far.select("doc_id", "to")).where("doc_id <> to").select(F.col("doc_id").alias("a"), F.col("to").alias("b")).distinct())
 
-    groups = snapshot(grouped(indexed(docs, buckets), buckets))
+    groups = snapshot(grouped(index, buckets))
     release_shuffles(docs.sparkSession)
     step = copies.groupBy(F.col("a").alias("doc_id")).agg(F.min("b").alias("rep"))
     for _ in range(2):  # two steps lead to the first copy of all
