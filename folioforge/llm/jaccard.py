@@ -34,6 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.staging import drop_staged, staged
 from .common import HashTable, M64, batches, bucket_count, components, mix, mix_int, own_tables, release_shuffles, small_batches, snapshot, texts_of, write_table
 
 WORDS = 5
@@ -388,8 +389,8 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of `docs`; see the module's docstring."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
     buckets = bucket_count(docs)
-    table = write_table(described(docs, buckets), "jaccard-sets")
-    info = table.where("n is not null").select("doc_id", "n", "set_key", "sketch")
+    table, path = staged(described(docs, buckets), "jaccard-index")
+    info = write_table(table.where("n is not null").select("doc_id", "n", "set_key", "sketch"), "jaccard-sets")
     index = table.where("n is null").select("bucket", "rows", "ids")
     known = info.where("doc_id is not null and n > 0")
     salted = known.select("doc_id", "set_key", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).alias("salt"))
@@ -402,6 +403,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     copies = snapshot(near.unionByName(far.select("doc_id", "to")).where("doc_id <> to").select(F.col("doc_id").alias("a"), F.col("to").alias("b")).distinct())
 
     groups = snapshot(grouped(index, buckets))
+    drop_staged(docs.sparkSession, path)
     release_shuffles(docs.sparkSession)
     step = copies.groupBy(F.col("a").alias("doc_id")).agg(F.min("b").alias("rep"))
     for _ in range(2):  # two steps lead to the first copy of all
