@@ -1,4 +1,5 @@
-"""Sinks. A table goes out whole and atomically; a rerun overwrites what it wrote."""
+"""Sinks. A rerun overwrites what it wrote. Overwriting deletes first, so a table that is being read goes to another path, and a
+run that is cut off leaves no table until it is run again."""
 
 from __future__ import annotations
 
@@ -50,7 +51,7 @@ def blocks_json(blocks: DataFrame) -> DataFrame:
 class RequestLog(DataSource):
     """A batch sink for request plans: each task writes its rows to a file in a shared folder, and a commit names them.
 
-    Options: path. Nothing is sent; a sender reads the committed files in order at the rate the service allows.
+    Options: path, a folder that the driver and all executors have mounted. Nothing is sent; a sender reads the committed files in order at the rate the service allows.
     """
 
     @classmethod
