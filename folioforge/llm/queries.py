@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.staging import shared_folder
-from . import chat, embeddings, jaccard, pack, pii, secrets, substring, tokenize, toxicity
+from . import chat, embeddings, importance, jaccard, mixing, pack, periods, pii, secrets, substring, tokenize, toxicity
 from .common import read_table
 from .oracles import ORACLES as ORACLES
 
@@ -64,6 +64,26 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.top_k(vectors, vectors.where(F.col("vec_id") % embeddings.QUERY_EVERY == 0))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tenth of the texts, by a checksum of the id, has a period planted from one of its words on: that word and those after it, over and over."""
+    x = read_table(spark, sf_dir, "documents").select("doc_id", "text", F.crc32(F.col("doc_id").cast("string").cast("binary")).alias("h"))
+    x = x.withColumn("words", F.when(F.col("h") % 10 == 0, F.expr(r"filter(split(text, '[\\x20\\x09-\\x0D]+'), w -> w <> '')")))
+    x = x.withColumn("g", F.expr("h div 10")).withColumn("n", F.size("words")).withColumn("a", F.expr("if(n > 0, cast(g % n as int), 0)"))
+    x = x.withColumn("p", F.expr("cast(1 + (n - a) div (3 + g % 8) as int)"))
+    planted = F.expr("concat(slice(words, 1, a), slice(flatten(array_repeat(slice(words, a + 1, p), cast((n - a) div p + 1 as int))), 1, n - a))")
+    texts = x.select("doc_id", F.when(F.col("n") > 0, F.array_join(planted, " ")).otherwise(F.col("text")).alias("text"))
+    return periods.run_digests(periods.periodic_runs(texts))
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+def op13_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix_sources(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "epochs")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -77,5 +97,8 @@ QUERIES = {
         op8_pii,
         op9_embedding_dedup,
         op10_top_k,
+        op11_periodic_runs,
+        op12_importance_resampling,
+        op13_source_mixing,
     )
 }
