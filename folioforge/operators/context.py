@@ -44,12 +44,17 @@ def fuse_split_blocks(units: DataFrame, keys: list[str], order: str = "unit_no")
     w = Window.partitionBy(*keys).orderBy(order)
     between = (F.col("kind") == "prose") & (F.col("type") == "para") & (F.lag("kind").over(w) == "code") & (F.lead("kind").over(w) == "code")
     x = units.withColumn("between", F.coalesce(between, F.lit(False)))
-    x = x.withColumn("joined", F.when(F.col("between"), trimmed(unescape_all(F.array_join("lines", " ")))))
+    return take_split_code(x).select(*units.columns)
+
+
+def take_split_code(units: DataFrame) -> DataFrame:
+    """`kind` with paragraphs `between` code taken as code where they are short and neither a label nor a sentence."""
+    x = units.withColumn("joined", F.when(F.col("between"), trimmed(unescape_all(F.array_join("lines", " ")))))
     text, words = F.col("joined"), word_count(F.col("joined"))
     label = is_spanish_label(text) | mixed_prose(text) | is_file_path_label(text)
     sentence = matches(text, P.SENTENCE_END) & (words >= 5)
     fused = F.col("between") & ~label & (words <= 6) & ~sentence
-    return x.withColumn("kind", F.when(fused, "code").otherwise(F.col("kind"))).select(*units.columns)
+    return x.withColumn("kind", F.when(fused, "code").otherwise(F.col("kind")))
 
 
 def settle_kinds(units: DataFrame, key: str = "doc_id") -> DataFrame:

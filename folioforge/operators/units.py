@@ -24,9 +24,19 @@ def tokenize(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     x = x.withColumn("blank", ~F.col("in_fence") & (trimmed(F.col("line")) == ""))
     cut = F.coalesce(F.lag(F.col("blank") | F.col("in_fence")).over(w), F.lit(True))
     x = x.withColumn("starts", F.col("opens") | (~F.col("in_fence") & ~F.col("blank") & cut))
-    x = x.withColumn("gid", F.sum(F.col("starts").cast("int")).over(w)).where(~F.col("blank"))
+    x = split_elements(x.withColumn("gid", F.sum(F.col("starts").cast("int")).over(w)).where(~F.col("blank")), key)
+    order = Window.partitionBy(key).orderBy("line_no", "part")
+    x = x.withColumn("island", F.sum(F.col("e.src").isNotNull().cast("int")).over(order)).withColumn("is_image", F.col("e.src").isNotNull())
+    units = units_of_islands(x, key)
+    units = units.withColumn("unit_no", F.row_number().over(Window.partitionBy(key).orderBy("at")) - 1)
+    return units.select(key, "unit_no", "type", "level", "text", "src", "lines")
+
+
+def split_elements(lines: DataFrame, key: str) -> DataFrame:
+    """(key, gid, line_no, type, part, e struct<text,src>): lines (key, gid, line_no, line, in_fence) with their group's type, images apart from the text
+    around them. Groups of another format's fences go."""
     g = Window.partitionBy(key, "gid").orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    x = x.withColumn("first_line", F.first("line").over(g)).withColumn("n", F.count("*").over(g))
+    x = lines.withColumn("first_line", F.first("line").over(g)).withColumn("n", F.count("*").over(g))
     x = x.where(~(F.col("in_fence") & matches(F.col("first_line"), P.FENCE_HTML)))
     kind = (
         F.when(F.col("in_fence"), "fence")
@@ -44,20 +54,21 @@ def tokenize(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     whole = F.array(F.struct(F.col("line").alias("text"), nothing.alias("src")))
     x = x.withColumn("type", kind)
     x = x.withColumn("elements", F.when(F.col("type").isin("fence", "heading") | ~matches(F.col("line"), P.IMAGE), whole).otherwise(kept).cast(ELEMENTS))
-    x = x.select(key, "gid", "line_no", "type", F.posexplode("elements").alias("part", "e"))
-    order = Window.partitionBy(key).orderBy("line_no", "part")
-    x = x.withColumn("island", F.sum(F.col("e.src").isNotNull().cast("int")).over(order)).withColumn("is_image", F.col("e.src").isNotNull())
-    units = x.groupBy(key, "gid", "island", "is_image").agg(
+    return x.select(key, "gid", "line_no", "type", F.posexplode("elements").alias("part", "e"))
+
+
+def units_of_islands(elements: DataFrame, key: str) -> DataFrame:
+    """(key, at, type, level, text, src, lines): a unit for each (gid, island, is_image), `at` its place."""
+    units = elements.groupBy(key, "gid", "island", "is_image").agg(
         F.min(F.struct("line_no", "part")).alias("at"),
         F.first("type").alias("type"),
         F.first("e.src").alias("src"),
         F.transform(F.array_sort(F.collect_list(F.struct("line_no", "part", F.col("e.text").alias("text")))), lambda p: p["text"]).alias("lines"),
     )
     heading, first = F.col("type") == "heading", F.get("lines", F.lit(0))
-    units = units.withColumn("unit_no", F.row_number().over(Window.partitionBy(key).orderBy("at")) - 1)
     return units.select(
         key,
-        "unit_no",
+        "at",
         F.when(F.col("is_image"), "image").otherwise(F.col("type")).alias("type"),
         F.when(heading, F.length(F.regexp_extract(first, java(P.HEADING), 1))).alias("level"),
         F.when(heading, trimmed(unescape_prose(F.regexp_extract(first, java(P.HEADING), 2)))).alias("text"),

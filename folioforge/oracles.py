@@ -128,6 +128,34 @@ _MIME = "CASE suffix " + " ".join(f"WHEN {sql(k)} THEN {sql(v)}" for k, v in P.M
 _CODE = """CASE CAST(o_custkey % 5 AS INT) WHEN 0 THEN 'npm install p' || o_orderkey || chr(10) || 'cd p' || o_orderkey WHEN 1 THEN '{' || chr(10) || '  "total": ' || o_orderkey || chr(10) || '}'
 WHEN 2 THEN '.a {' || chr(10) || '  width: ' || o_orderkey || 'px;' || chr(10) || '}' || chr(10) || '.b {' WHEN 3 THEN 'let total: number = ' || o_orderkey || ';' ELSE 'const a = b ? c(' || o_orderkey || ') : d();' END"""
 
+#: Requests of a push as one ordered list: each has a stage, a number and a part in its module, and places are counted in that order.
+_REQUESTS = f"""WITH {_PLAN}, li AS (SELECT CAST(o_custkey % 50 AS VARCHAR) AS parent_id, CAST(l_orderkey AS INT) AS module_no, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS no, l_partkey, CAST(l_quantity AS INT) AS q FROM lineitem JOIN orders ON o_orderkey = l_orderkey),
+b AS (SELECT parent_id, module_no, no, i, (row_number() OVER (PARTITION BY parent_id, module_no ORDER BY no, i) - 1) // 100 AS batch_no, CASE WHEN no % 2 = 0 AND i = 0 THEN l_partkey END AS image FROM (SELECT *, unnest(range(q + 1)) AS i FROM li)),
+refs AS (SELECT b.*, row_number() OVER (PARTITION BY parent_id, module_no ORDER BY no) - 1 AS ref_no, p_size FROM b LEFT JOIN part ON p_partkey = image AND p_size % 5 <> 0 WHERE image IS NOT NULL),
+todo AS (SELECT * FROM mods WHERE st <> 'F' AND (parent_id, module_no) NOT IN (SELECT parent_id, module_no FROM refs WHERE p_size * 430000 > 20 * 1024 * 1024)),
+live AS (SELECT parent_id, module_no FROM state WHERE module_no % 3 <> 0),
+place AS (SELECT t.parent_id, t.module_no, max(l.module_no) AS p FROM todo t LEFT JOIN live l ON l.parent_id = t.parent_id AND l.module_no < t.module_no WHERE st = 'P' GROUP BY 1, 2),
+r AS (SELECT parent_id, module_no, 0 AS stage, 0 AS n, 0 AS part, 'listing' AS kind, 'GET' AS method, '/blocks/' || parent_id || '/children' AS endpoint, NULL::INT AS batch_no, NULL::INT AS ref_no, NULL AS token FROM todo WHERE st = 'P'
+UNION ALL SELECT parent_id, module_no, 1, 0, 0, 'archive', 'PATCH', '/pages/page-' || module_no, NULL, NULL, NULL FROM todo WHERE st = 'P'
+UNION ALL SELECT t.parent_id, t.module_no, 2, ref_no, part, CASE part WHEN 0 THEN 'reserve' ELSE 'send' END, 'POST', CASE part WHEN 0 THEN '/file_uploads' ELSE '/file_uploads/{{upload}}/send' END, batch_no, ref_no, 'image' || image || '.png' FROM todo t JOIN refs USING (parent_id, module_no), (SELECT unnest([0, 1]) AS part) WHERE p_size IS NOT NULL
+UNION ALL SELECT t.parent_id, t.module_no, 3, coalesce(batch_no, 0), 0, CASE WHEN coalesce(batch_no, 0) = 0 THEN 'page' ELSE 'append' END, CASE WHEN coalesce(batch_no, 0) = 0 THEN 'POST' ELSE 'PATCH' END, CASE WHEN coalesce(batch_no, 0) = 0 THEN '/pages' ELSE '/blocks/{{page}}/children' END, coalesce(batch_no, 0), NULL, NULL
+FROM todo t LEFT JOIN (SELECT DISTINCT parent_id, module_no, batch_no FROM b) USING (parent_id, module_no))
+SELECT r.parent_id, r.module_no, row_number() OVER (PARTITION BY r.parent_id, r.module_no ORDER BY stage, n, part) - 1 AS seq, row_number() OVER (PARTITION BY r.parent_id ORDER BY r.module_no, stage, n, part) - 1 AS parent_seq,
+row_number() OVER (ORDER BY r.parent_id, r.module_no, stage, n, part) - 1 AS run_seq, kind, method, endpoint, batch_no::INT AS batch_no, ref_no::INT AS ref_no, token,
+CASE WHEN kind = 'page' AND place.module_no IS NOT NULL THEN CASE WHEN p IS NULL THEN 'page_start' ELSE 'after_block' END END AS position, CASE WHEN kind = 'page' THEN 'page-' || p END AS after_id FROM r LEFT JOIN place ON place.parent_id = r.parent_id AND place.module_no = r.module_no"""
+
+#: Waits by places in two ordered lists: all uploads before all batches, and group by group.
+_ATTACH = """WITH li AS (SELECT CAST(l_suppkey % 5 AS VARCHAR) AS parent_id, CAST(l_suppkey AS INT) AS module_no, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice) AS no, l_partkey, CAST(l_quantity AS INT) AS q FROM lineitem),
+b AS (SELECT parent_id, module_no, no, i, (row_number() OVER (PARTITION BY module_no ORDER BY no, i) - 1) // 100 AS batch_no, CASE WHEN no % 3 = 0 AND i = 0 THEN 'image' || l_partkey END AS token FROM (SELECT *, unnest(range(q + 1)) AS i FROM li)),
+refs AS (SELECT *, row_number() OVER (PARTITION BY module_no ORDER BY no) - 1 AS ref_no FROM b WHERE token IS NOT NULL),
+c AS (SELECT parent_id, module_no, batch_no, 1 + 2 * count(*) FILTER (token NOT LIKE '%7') AS cost FROM b GROUP BY 1, 2, 3),
+g AS (SELECT *, (sum(cost) OVER (PARTITION BY module_no ORDER BY batch_no) - 1) // greatest(1, 90000 // 340 - max(cost) OVER (PARTITION BY module_no)) AS group_no FROM c),
+steps AS (SELECT module_no, batch_no, group_no, 1 AS late_stage, batch_no AS n, 0 AS part, NULL AS ref_no FROM g
+UNION ALL SELECT r.module_no, r.batch_no, group_no, 0, ref_no, part, ref_no FROM refs r JOIN g ON g.module_no = r.module_no AND g.batch_no = r.batch_no, (SELECT unnest([0, 1]) AS part) WHERE token NOT LIKE '%7'),
+placed AS (SELECT *, row_number() OVER (PARTITION BY module_no ORDER BY late_stage, n, part) AS flat, row_number() OVER (PARTITION BY module_no ORDER BY group_no, late_stage, n, part) AS grouped FROM steps)
+SELECT r.parent_id, r.module_no, r.ref_no::INT AS ref_no, r.token, r.batch_no::INT AS batch_no, (340 * (a.flat - s.flat))::BIGINT AS wait_ms, 340 * (a.flat - s.flat) > 90000 AS late, s.group_no::BIGINT AS group_no, (340 * (a.grouped - s.grouped))::BIGINT AS grouped_wait_ms, 340 * (a.grouped - s.grouped) > 90000 AS grouped_late
+FROM refs r JOIN placed s ON s.module_no = r.module_no AND s.ref_no = r.ref_no AND s.part = 1 JOIN placed a ON a.module_no = r.module_no AND a.batch_no = r.batch_no AND a.ref_no IS NULL"""
+
 ORACLES: dict[str, str] = {
     "f_unescape": f"{WITH} SELECT doc_id, CAST(line_no AS INT) AS line_no, {links('line')} AS links, {bare('line')} AS bare, {prose('line')} AS prose, {m('line', P.AUTOLINK_LINE)} AS autolink FROM lines",
     "f_line_measures": f"""{WITH}, hard AS (SELECT doc_id, line_no, CASE WHEN line_no % 3 = 0 THEN replace(line, ' ', {NBSP}) ELSE line END AS line FROM lines),
@@ -168,6 +196,8 @@ SELECT CASE WHEN up THEN 'image' ELSE 'paragraph' END AS type, count(*) AS n, co
 todo AS (SELECT parent_id, m.module_no, st, greatest(coalesce(ceil(n / 100.0), 1), 1)::INT AS b FROM mods m LEFT JOIN tops USING (module_no) WHERE st <> 'F'),
 r AS (SELECT parent_id, 'PATCH' AS method, 0 AS seq FROM todo WHERE st = 'P' UNION ALL SELECT parent_id, CASE WHEN i = 0 THEN 'POST' ELSE 'PATCH' END, i + 1 FROM (SELECT parent_id, unnest(range(b)) AS i FROM todo))
 SELECT parent_id, method, count(*) AS n, sum(seq)::BIGINT AS seq_sum FROM r GROUP BY 1, 2""",
+    "k_push_sequence": _REQUESTS,
+    "k_attach_windows": _ATTACH,
     "k_retries": """WITH i AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS i FROM events), e AS (SELECT user_id, i // 6 AS series, i % 6 AS attempt, CASE event_id % 4 WHEN 0 THEN 429 WHEN 1 THEN 503 WHEN 2 THEN 500 ELSE 200 END AS status,
 CASE WHEN event_id % 8 = 0 THEN 3 END AS after FROM i),
 o AS (SELECT *, CASE WHEN status = 200 THEN 'done' WHEN attempt < 5 THEN 'retry' WHEN status = 429 THEN 'exhausted' ELSE 'failed' END AS outcome,

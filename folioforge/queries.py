@@ -9,8 +9,8 @@ from .corpus import conversation_markdown
 from .functions import patterns as P
 from .functions import predicates as pr
 from .functions import text as tx
-from .operators import blocks, context, language, lines, modules, render, units
-from .plans import course, sync
+from .operators import blocks, context, language, lines, modules, nesting, render, segments, units
+from .plans import course, push, sync
 from .sources.staging import spread
 from .streaming.jobs import structure
 
@@ -131,6 +131,12 @@ def t_fences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.groupBy("doc_id").agg(F.sum(F.col("in_fence").cast("long")).alias("fenced"), F.sum(F.col("opens").cast("long")).alias("fences"))
 
 
+def t_fences_segmented(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T2 and T3 in blocks of eight lines, so that documents of the corpus have many."""
+    x = segments.mark_fences(corpus_lines(spark, sf_dir), "doc_id", 8)
+    return x.groupBy("doc_id").agg(F.sum(F.col("in_fence").cast("long")).alias("fenced"), F.sum(F.col("opens").cast("long")).alias("fences"))
+
+
 def t_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every unit."""
     return corpus_units(spark, sf_dir).select("doc_id", "unit_no", "type", "level", "text", "src", F.array_join("lines", "\n").alias("body"))
@@ -158,6 +164,12 @@ def u_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return context.settle_kinds(placed).groupBy(*KEYS, "type", "kind").agg(F.count("*").alias("n"))
 
 
+def u_kinds_segmented(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T1 to T7, M1 to M4 and U1 to U5 in blocks of eight: units by settled kind and module."""
+    x = segments.settled_units(conversation_markdown(spark, sf_dir), size=8).where("not opens_module")
+    return x.groupBy(*KEYS, "type", "kind").agg(F.count("*").alias("n"))
+
+
 def kind_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(seq_id, pos, kind) sequences from the lines of orders."""
     w = Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")
@@ -222,6 +234,20 @@ def b_list_depths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blocks.effective_depth(x, ["id"], "no").select("id", "no", "level", "parent")
 
 
+def b_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rendered corpus as JSON objects with children, images as markers, which is what a push starts from."""
+    x = blocks.to_blocks(structure(conversation_markdown(spark, sf_dir)), KEYS, image_mode="marker")
+    return nesting.nest_blocks(x, KEYS, markers=True)
+
+
+def b_nested_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lists made from order lines, as deep as their items ask for, in batches of three."""
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    x = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), F.row_number().over(w).cast("long").alias("no"), F.pmod(F.col("l_partkey"), F.lit(7)).cast("long").alias("depth"), F.concat(F.lit('p "'), F.col("l_partkey").cast("string"), F.lit('"\n')).alias("text"))
+    nested = nesting.nested_lists(blocks.effective_depth(x, ["id"], "no"), ["id"], "no")
+    return nesting.batch_bodies(nested, ["id"], 3)
+
+
 def b_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Batches of 100 and the requests they cost, for blocks made from order lines."""
     w = Window.partitionBy("parent_id").orderBy("l_orderkey", "l_linenumber")
@@ -288,6 +314,41 @@ def k_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sync.push_requests(sync.push_actions(mods, state), b).groupBy("parent_id", "method").agg(F.count("*").alias("n"), F.sum("seq").alias("seq_sum"))
 
 
+def _push_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Blocks made from order lines, a module for each order, some with images, and the files of those images, a few of them too large."""
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.pmod("o_custkey", F.lit(50)).cast("string").alias("parent_id"))
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    li = table(spark, sf_dir, "lineitem").withColumn("no", F.row_number().over(w)).join(orders, "l_orderkey").select("parent_id", F.col("l_orderkey").cast("int").alias("module_no"), "no", "l_partkey", "l_quantity")
+    i, no_parent = F.explode(F.sequence(F.lit(0), F.col("l_quantity").cast("int"))).alias("i"), F.lit(None).cast("int").alias("parent_no")
+    b = li.select("parent_id", "module_no", "no", "l_partkey", i)
+    token = F.when((F.col("no") % 2 == 0) & (F.col("i") == 0), F.concat(F.lit("image"), F.col("l_partkey").cast("string"), F.lit(".png")))
+    b = b.select("parent_id", "module_no", (F.col("no") * 1000 + F.col("i")).alias("block_no"), no_parent, token.alias("token"))
+    files = li.join(table(spark, sf_dir, "part").where("p_size % 5 <> 0").select(F.col("p_partkey").alias("l_partkey"), (F.col("p_size") * 430_000).cast("long").alias("size")), "l_partkey")
+    return b, files.select("parent_id", "module_no", F.concat(F.lit("image"), F.col("l_partkey").cast("string"), F.lit(".png")).alias("name"), "size").distinct()
+
+
+def k_push_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K2, K4, K5: every request of a push of modules made from orders, numbered in the module, the parent's push and the run."""
+    mods, state = _plan_tables(spark, sf_dir)
+    children = state.where("module_no % 3 <> 0").select("parent_id", F.col("module_no").alias("position"), F.col("page_id").alias("block_id"))
+    b, files = _push_tables(spark, sf_dir)
+    actions = sync.push_actions(mods, state)
+    positions = sync.page_positions(actions.where("action = 'redo'").select("parent_id", "module_no", "page_id"), children, state)
+    return push.push_sequence(actions, b, push.image_steps(b, files), positions)
+
+
+def k_attach_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K2: uploads of modules made from suppliers whose images wait too long for their page if a minute and a half is all they have."""
+    w = Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")
+    li = table(spark, sf_dir, "lineitem").select(F.pmod("l_suppkey", F.lit(5)).cast("string").alias("parent_id"), F.col("l_suppkey").cast("int").alias("module_no"), F.row_number().over(w).alias("no"), "l_partkey", "l_quantity")
+    token = F.when((F.col("no") % 3 == 0) & (F.col("i") == 0), F.concat(F.lit("image"), F.col("l_partkey").cast("string")))
+    b = li.select("parent_id", "module_no", "no", "l_partkey", F.explode(F.sequence(F.lit(0), F.col("l_quantity").cast("int"))).alias("i"))
+    b = b.select("parent_id", "module_no", (F.col("no") * 1000 + F.col("i")).alias("block_no"), F.lit(None).cast("int").alias("parent_no"), token.alias("token"))
+    files = b.where("token is not null and token not like '%7'").select("parent_id", "module_no", F.col("token").alias("name"), F.lit(1).alias("size"))
+    counts = blocks.batches(b, push.KEYS).groupBy(*push.KEYS).agg((F.max("batch_no") + 1).alias("n_batches"))
+    return push.attach_windows(push.image_steps(b, files), counts, attach_seconds=90)
+
+
 def k_retries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K1: waits and outcomes for responses made from events, six in a series."""
     w = Window.partitionBy("user_id").orderBy("event_id")
@@ -337,9 +398,9 @@ QUERIES = {
     for f in (
         f_unescape, f_line_measures, f_line_comment, f_slugs, f_paths, f_languages, f_hashes,
         p_predicates, c_labels, c_line_kinds,
-        t_lines, t_fences, t_units, t_unit_counts, t_headings, m_modules, u_kinds, u_resolve_unknowns, l_languages,
-        r_modules, r_join_dangling, b_blocks, b_page_blocks, b_list_depths, b_batches,
-        k_push_actions, k_pending, k_positions, k_registry, k_images, k_requests, k_retries,
+        t_lines, t_fences, t_fences_segmented, t_units, t_unit_counts, t_headings, m_modules, u_kinds, u_kinds_segmented, u_resolve_unknowns, l_languages,
+        r_modules, r_join_dangling, b_blocks, b_page_blocks, b_list_depths, b_nested, b_nested_lists, b_batches,
+        k_push_actions, k_pending, k_positions, k_registry, k_images, k_requests, k_push_sequence, k_attach_windows, k_retries,
         k_commit, k_uploads, k_sync_runs, k_course_runs,
     )
 }

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
-from ..operators.blocks import rich_text_json
+from ..operators.nesting import nest_blocks
 
 
 def write_modules(rendered: DataFrame, path: str, key: str = "doc_id") -> None:
@@ -42,10 +42,9 @@ def write_json_texts(values: DataFrame, path: str) -> None:
     values.select("value").write.mode("overwrite").text(path)
 
 
-def blocks_json(blocks: DataFrame) -> DataFrame:
-    """The blocks with `json`, one object per block; children point to their parents by number."""
-    body = F.struct("type", "block_no", "parent_no", "language", "token", F.from_json(rich_text_json(F.col("rich_text")), "array<struct<type:string,text:struct<content:string,link:struct<url:string>>,annotations:struct<bold:boolean,italic:boolean,code:boolean>>>").alias("rich_text"))
-    return blocks.withColumn("json", F.to_json(body))
+def write_blocks(blocks: DataFrame, keys: list[str], path: str) -> None:
+    """One JSON line for each top-level block, its children inside it, with its keys and number."""
+    nest_blocks(blocks, keys).write.mode("overwrite").json(path)
 
 
 class RequestLog(DataSource):

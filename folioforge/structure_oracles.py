@@ -200,7 +200,7 @@ _BOLD = "(length(mark) >= 4 AND starts_with(mark, '**') AND ends_with(mark, '**'
 _ITALIC = f"(length(mark) >= 3 AND starts_with(mark, '*') AND NOT {_BOLD})"
 _RUN = """'{"type":"text","text":{"content":' || to_json(content)::VARCHAR || coalesce(',"link":{"url":' || to_json(url)::VARCHAR || '}', '') || '}' || CASE WHEN bold OR italic OR code THEN ',"annotations":{' || array_to_string(list_filter([CASE WHEN bold THEN '"bold":true' END, CASE WHEN italic THEN '"italic":true' END, CASE WHEN code THEN '"code":true' END], lambda x: x IS NOT NULL), ',') || '}' ELSE '' END || '}'"""
 
-BLOCKS = f"""{RENDERED}, {blocks_of('rendered')},
+RICH = f"""{RENDERED}, {blocks_of('rendered')},
 spelled AS (SELECT doc_id, module_no, block_no, [i] AS path, marks[i] AS mark, false AS bold, false AS italic FROM (SELECT doc_id, module_no, block_no, regexp_extract_all(content, {_MARKS}) AS marks FROM block WHERE kind NOT IN ('code', 'image')) q, unnest(range(1, len(q.marks) + 1)) AS u(i)
 UNION ALL SELECT doc_id, module_no, block_no, list_append(path, i), marks[i], bold OR is_bold, italic OR NOT is_bold
 FROM (SELECT *, {_BOLD} AS is_bold, regexp_extract_all(CASE WHEN {_BOLD} THEN mark[3:-3] ELSE mark[2:-2] END, {_MARKS}) AS marks FROM spelled WHERE {_BOLD} OR {_ITALIC}) q, unnest(range(1, len(q.marks) + 1)) AS u(i)),
@@ -211,8 +211,33 @@ CASE sort WHEN 'code' THEN mark[2:-2] WHEN 'link' THEN coalesce(nullif(regexp_ex
 CASE sort WHEN 'link' THEN regexp_extract(mark, '(?s)\\]\\((.*)\\)$', 1) WHEN 'address' THEN mark END AS url FROM parted),
 runs AS (SELECT doc_id, module_no, block_no, run, string_agg(said, '' ORDER BY path) AS content, any_value(url) AS url, any_value(bold) AS bold, any_value(italic) AS italic, any_value(sort) = 'code' AS code FROM told GROUP BY 1, 2, 3, 4
 UNION ALL SELECT doc_id, module_no, block_no, 1, content, NULL, false, false, kind = 'image' FROM block WHERE kind IN ('code', 'image')),
-rich AS (SELECT doc_id, module_no, block_no, string_agg({_RUN}, ',' ORDER BY run) AS rich FROM runs GROUP BY 1, 2, 3)
-SELECT doc_id, module_no, block_no, type, language, token, depth, parent_no, '[' || coalesce(rich, '') || ']' AS rich_text FROM block LEFT JOIN rich USING (doc_id, module_no, block_no)"""
+rich AS (SELECT doc_id, module_no, block_no, string_agg({_RUN}, ',' ORDER BY run) AS rich FROM runs GROUP BY 1, 2, 3)"""
+BLOCKS = f"""{RICH} SELECT doc_id, module_no, block_no, type, language, token, depth, parent_no, '[' || coalesce(rich, '') || ']' AS rich_text FROM block LEFT JOIN rich USING (doc_id, module_no, block_no)"""
+
+
+def folded(source: str, keys: str, name: str = "fold") -> str:
+    """CTE `name` (keys, no, parent, level, open, shut, d, kids): the rows of `source` (keys, no, parent, level, open, shut), from the deepest level
+    to the top; with each level its objects go into their parents. The rows of d = 0 have all their children."""
+    same = " AND ".join(f"c.{k} = p.{k}" for k in keys.split(", "))
+    own = ", ".join(f"p.{k}" for k in keys.split(", "))
+    child = "c.open || CASE WHEN c.kids <> '' THEN ',\"children\":[' || c.kids || ']' ELSE '' END || c.shut"
+    return f"""{name} AS (SELECT {keys}, no, parent, level, open, shut, (SELECT max(level) FROM {source}) AS d, ''::VARCHAR AS kids FROM {source}
+UNION ALL SELECT {own}, p.no, p.parent, p.level, p.open, p.shut, p.d - 1, CASE WHEN p.level = p.d - 1 THEN coalesce(string_agg({child}, ',' ORDER BY c.no), '') ELSE p.kids END
+FROM {name} p LEFT JOIN {name} c ON {same} AND c.parent = p.no AND c.level = p.d AND p.level = p.d - 1 WHERE p.level < p.d GROUP BY {own}, p.no, p.parent, p.level, p.open, p.shut, p.d, p.kids)"""
+
+
+_TOP = "open || CASE WHEN kids <> '' THEN ',\"children\":[' || kids || ']' ELSE '' END || shut"
+NESTED = f"""{RICH}, object AS MATERIALIZED (SELECT doc_id, module_no, block_no AS no, parent_no AS parent, depth AS level, '{{"object":"block","type":"' || kind_ || '","' || kind_ || '":{{' || CASE WHEN kind = 'code' THEN '"language":' || to_json(language)::VARCHAR || ',' ELSE '' END
+|| '"rich_text":[' || coalesce(rich, '') || ']' || CASE WHEN kind = 'heading' THEN ',"is_toggleable":false' ELSE '' END AS open, '}}' || CASE WHEN kind = 'image' THEN ',"_marker":' || to_json(token)::VARCHAR ELSE '' END || '}}' AS shut
+FROM (SELECT *, CASE WHEN kind = 'image' THEN 'paragraph' ELSE type END AS kind_ FROM block) LEFT JOIN rich USING (doc_id, module_no, block_no)), {folded('object', 'doc_id, module_no')}
+SELECT doc_id, module_no, no AS block_no, {_TOP} AS json FROM fold WHERE d = 0"""
+
+NESTED_LISTS = f"""WITH RECURSIVE i AS (SELECT l_orderkey AS id, l_partkey, l_partkey % 7 AS depth, row_number() OVER w AS no FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice)),
+w AS (SELECT id, no, l_partkey, 0::BIGINT AS level, [no] AS stack FROM i WHERE no = 1
+UNION ALL SELECT i.id, i.no, i.l_partkey, least(i.depth, len(w.stack))::BIGINT, list_append(w.stack[1:least(i.depth, len(w.stack))::INT], i.no) FROM w JOIN i ON i.id = w.id AND i.no = w.no + 1),
+object AS MATERIALIZED (SELECT id, no, stack[len(stack) - 1] AS parent, level, '{{"object":"block","type":"bulleted_list_item","bulleted_list_item":{{"rich_text":[{{"type":"text","text":{{"content":"p \\"' || l_partkey || '\\"\\n"}}}}]' AS open, '}}}}' AS shut FROM w), {folded('object', 'id')},
+top AS (SELECT id, no, {_TOP} AS json, (row_number() OVER (PARTITION BY id ORDER BY no) - 1) // 3 AS batch_no FROM fold WHERE d = 0)
+SELECT id, batch_no::INT AS batch_no, count(*) AS n_blocks, '[' || string_agg(json, ',' ORDER BY no) || ']' AS children FROM top GROUP BY 1, 2"""
 
 _PAGES = """pages_md AS (SELECT conv_id AS doc_id, turn AS module_no, '# T' || chr(10) || chr(10) || '## ' || role || chr(10) || '- a' || chr(10) || '    - b' || chr(10) || chr(10) || '- c' || chr(10) || '1. d' || chr(10) || coalesce(text, '') AS text FROM conversations)"""
 
@@ -232,5 +257,9 @@ SELECT seq_id, CASE WHEN kind <> 'unknown' THEN kind WHEN b = 'code' AND a = 'co
 CASE CAST(l_quantity AS INT) % 5 WHEN 0 THEN 'const url =' WHEN 1 THEN '=' WHEN 2 THEN '' ELSE '  v' || l_partkey END AS line FROM lineitem), {dangling('l', 'id')},
 merged AS (SELECT id, o, arg_max(acc, r) AS line FROM dangling GROUP BY 1, 2) SELECT id, string_agg(line, {NL} ORDER BY o) AS code FROM merged GROUP BY 1""",
     "b_blocks": BLOCKS,
+    "b_nested": NESTED,
+    "b_nested_lists": NESTED_LISTS,
     "b_page_blocks": f"WITH RECURSIVE {_PAGES}, {blocks_of('pages_md')} SELECT doc_id, type, count(*) AS n, sum(depth)::BIGINT AS depths FROM block GROUP BY 1, 2",
 }
+#: The same rows, worked out in blocks.
+STRUCTURE |= {"t_fences_segmented": STRUCTURE["t_fences"], "u_kinds_segmented": STRUCTURE["u_kinds"]}
