@@ -182,6 +182,7 @@ DEFAULT_MIME = "application/octet-stream"
 GENERIC_NAMES = ("clase", "clases")
 DEFAULT_SLUG = "modulo"
 DEFAULT_STATUS = "Terminado"
+NO_TITLE = "(sin título)"
 ICON = "🖼️"
 ICON_COLOR = "gray_background"
 COURSE_PROPERTIES = ("Título", "Área", "Plataforma", "Estado", "Módulos", "Archivo origen", "Última sincronización")

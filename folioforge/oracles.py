@@ -162,8 +162,8 @@ ORACLES: dict[str, str] = {
 counted AS (SELECT *, length(line) - length(replace(line, {NBSP}, '')) AS nb, length(line) - length(replace(line, ' ', '')) AS sp FROM hard)
 SELECT doc_id, CAST(line_no AS INT) AS line_no, {words('line')} AS words, {unbold('line')} AS unbold, {m('line', P.NBSP_INDENT)} AND {m('line', P.NBSP_START)} AS indented,
 CASE WHEN nb = 0 THEN 0.0::DOUBLE ELSE nb / (nb + sp)::DOUBLE END AS ratio, {residue('line')} AS residue FROM counted""",
-    "f_slugs": f"""WITH t AS (SELECT p_partkey AS id, 'Módulo ' || p_name || ' ¿Qué es ' || p_brand || '?' AS title FROM part UNION ALL SELECT -doc_id - 1, string_split(text, chr(10))[1] FROM documents),
-s AS (SELECT id, {slug('title')} AS slug FROM t) SELECT id, slug, lpad(CAST(((id % 150) + 150) % 150 AS VARCHAR), CASE WHEN ((id % 150) + 150) % 150 > 99 THEN 3 ELSE 2 END, '0') || '-' || slug || '.md' AS file FROM s""",
+    "f_slugs": f"""WITH t AS (SELECT p_partkey AS id, 0 AS line_no, 'Módulo ' || p_name || ' ¿Qué es ' || p_brand || '?' AS title FROM part UNION ALL SELECT -doc_id - 1, line_no, line FROM {lines_of('documents')}),
+s AS (SELECT id, line_no, {slug('title')} AS slug FROM t) SELECT id, line_no::INT AS line_no, slug, lpad(CAST(((id % 150) + 150) % 150 AS VARCHAR), CASE WHEN ((id % 150) + 150) % 150 > 99 THEN 3 ELSE 2 END, '0') || '-' || slug || '.md' AS file FROM s""",
     "f_paths": f"""WITH {_PATHS}, stems AS (SELECT *, replace({slug('stem')}, '-', ' ') AS spaced FROM cut)
 SELECT path, folder, {slug("folder || '-' || stem")} AS slug, {_title("CASE WHEN lower(stem) IN ('clase', 'clases') THEN folder ELSE stem END")} AS title, '![](' || name || ')' AS marker, {_MIME} AS mime, upper(spaced[1]) || spaced[2:] AS from_file FROM stems""",
     "f_languages": f"""WITH n AS (SELECT event_type AS name, count(*) AS n FROM events GROUP BY 1 UNION ALL SELECT ' ' || upper(x) || ' ', 1 FROM (SELECT unnest([{', '.join(map(sql, P.SAFE_LANGUAGES))}]) AS x))
@@ -211,12 +211,22 @@ SELECT doc_id, token, 0 AS seq, 'POST' AS method, '/file_uploads' AS endpoint, c
 state AS (SELECT o_custkey % 500 AS doc_id, o_orderkey % 40 AS module_no, bool_or(o_orderstatus = 'F') AS done FROM orders WHERE o_orderstatus <> 'O' GROUP BY 1, 2),
 runs AS (SELECT c_custkey AS run_id, c_custkey % 510 AS doc_id, CASE WHEN c_custkey % 3 = 0 THEN c_custkey % 45 END AS only_no, c_custkey % 4 = 0 AS force, c_custkey % 7 = 0 AS dry FROM customer),
 stopped AS (SELECT *, CASE WHEN force AND only_no IS NULL THEN 'force needs a module' WHEN doc_id NOT IN (SELECT doc_id FROM mods) THEN 'no such document'
-WHEN only_no IS NOT NULL AND NOT EXISTS (SELECT 1 FROM mods m WHERE m.doc_id = runs.doc_id AND m.module_no = only_no) THEN 'no such module; 1' END AS problem FROM runs),
+WHEN only_no IS NOT NULL AND NOT EXISTS (SELECT 1 FROM mods m WHERE m.doc_id = runs.doc_id AND m.module_no = only_no) THEN 'no such module; 1 to ' || (SELECT max(module_no) FROM mods m WHERE m.doc_id = runs.doc_id) END AS problem FROM runs),
 x AS (SELECT run_id, NULL AS action, problem, NULL::BIGINT AS module_no FROM stopped WHERE problem IS NOT NULL
-UNION ALL SELECT run_id, CASE WHEN dry THEN 'dry_run' WHEN s.doc_id IS NULL THEN 'create' WHEN done AND NOT force THEN 'skip' ELSE 'redo' END, NULL, m.module_no
+UNION ALL SELECT run_id, CASE WHEN done AND NOT force THEN 'skip' WHEN dry THEN 'dry_run' WHEN s.doc_id IS NULL THEN 'create' ELSE 'redo' END, NULL, m.module_no
 FROM stopped r JOIN mods m ON m.doc_id = r.doc_id AND (only_no IS NULL OR only_no = m.module_no) LEFT JOIN state s ON s.doc_id = m.doc_id AND s.module_no = m.module_no WHERE problem IS NULL)
 SELECT run_id, action, problem, count(*) AS n, sum(module_no)::BIGINT AS module_sum FROM x GROUP BY 1, 2, 3""",
     "k_course_runs": """WITH c AS (SELECT s_name AS slug, s_suppkey % 3 = 0 AS known, s_suppkey % 6 = 0 AND s_suppkey <> 0 AS other, s_suppkey % 5 = 0 AS no_area, s_suppkey % 7 = 0 AS no_platform, CASE WHEN s_suppkey % 2 = 0 THEN 'En curso' ELSE 'Terminado' END AS status FROM supplier),
 p AS (SELECT *, CASE WHEN known AND other THEN 'slug taken by another file' WHEN known THEN NULL WHEN no_area THEN 'area missing' WHEN no_platform THEN 'platform missing' END AS problem FROM c)
 SELECT slug, CASE WHEN problem IS NULL THEN CASE WHEN known THEN 'update' ELSE 'create' END END AS action, status, problem FROM p""",
+    "k_course_steps": f"""WITH c AS (SELECT s_name AS slug, s_suppkey % 3 = 0 AS known, s_suppkey % 11 = 0 AS dry, s_suppkey % 3 <> 0 AND s_suppkey % 5 = 0 AS bad, CASE WHEN s_suppkey % 4 = 0 THEN s_name ELSE {_title("'web-' || s_name")} END AS title, CASE WHEN s_suppkey % 2 = 0 THEN 'En curso' ELSE 'Terminado' END AS status FROM supplier),
+s AS (SELECT slug, title, status, CASE WHEN dry THEN CASE WHEN known THEN ['push dry'] ELSE ['show'] END WHEN known THEN ['push', 'save', 'update'] ELSE ['create', 'save', 'push', 'update'] END AS steps FROM c WHERE NOT bad)
+SELECT slug, unnest(range(len(steps)))::INT AS step_no, unnest(steps) AS step, title, status FROM s""",
+    "k_state_log": """WITH t AS (SELECT CAST(user_id % 50 AS VARCHAR) AS parent_id, CAST(user_id // 50 % 200 AS INT) AS module_no, event_id AS version, CASE WHEN event_type <> 'purchase' THEN 'page-' || event_id END AS page_id, event_type = 'purchase' AS done FROM events),
+l AS (SELECT *, row_number() OVER (PARTITION BY parent_id, module_no ORDER BY version DESC) AS back, last_value(page_id IGNORE NULLS) OVER (PARTITION BY parent_id, module_no ORDER BY version ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS page FROM t)
+SELECT parent_id, module_no, page AS page_id, done FROM l WHERE back = 1""",
+    "k_media": """WITH files AS (SELECT p_partkey % 9 AS doc_id, 'image' || p_partkey || '.png' AS token, sha256(p_brand || p_type) AS hash, length(p_brand || p_type)::BIGINT AS size FROM part WHERE p_size % 5 <> 0),
+refs AS (SELECT l_partkey % 9 AS doc_id, 'image' || l_partkey || '.png' AS token, (row_number() OVER (PARTITION BY l_partkey % 9 ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1)::INT AS ref_no FROM lineitem),
+r AS (SELECT refs.*, hash, size, CASE WHEN hash IS NOT NULL THEN min(ref_no) OVER (PARTITION BY refs.doc_id, hash) END AS first_ref FROM refs LEFT JOIN files ON files.doc_id = refs.doc_id AND files.token = refs.token)
+SELECT doc_id, ref_no, token, hash, size, CASE WHEN hash IS NULL THEN 'missing' WHEN first_ref < ref_no THEN 'repeated' ELSE 'stored' END AS status, first_ref FROM r""",
 }

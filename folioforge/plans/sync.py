@@ -76,7 +76,7 @@ def push_requests(actions: DataFrame, blocks: DataFrame, positions: DataFrame |
     keys = ["parent_id", "module_no"]
     todo = actions.where("action <> 'skip'")
     if dry_run:
-        todo = todo.limit(0)
+        todo = todo.where(F.lit(False))
     trash = todo.where("action = 'redo'").select(*keys, F.lit(0).alias("seq"), F.lit("PATCH").alias("method"), F.concat(F.lit("/pages/"), "page_id").alias("endpoint"), F.lit(None).cast("int").alias("batch_no"))
     n = batches(blocks, keys).groupBy(*keys).agg((F.max("batch_no") + 1).alias("n"))
     pages = todo.join(n, keys, "left").select(*keys, F.explode(F.sequence(F.lit(0), F.greatest(F.coalesce("n", F.lit(1)) - 1, F.lit(0)))).alias("batch_no"))
@@ -104,9 +104,14 @@ def retry_schedule(responses: DataFrame, keys: list[str]) -> DataFrame:
     return x.withColumn("ended", ended).where(~F.col("ended")).drop("ended")
 
 
-def upsert_courses(registry: DataFrame, entries: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
+def upsert_courses(registry: DataFrame, entries: DataFrame, now: Column, order: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(new registry, collisions): entries by slug update or join the registry and keep created_at; a slug whose file name
-    differs is a collision and changes nothing. Columns: slug, page_id, docx_file_name, docx_hash, created_at, last_synced_at."""
+    differs is a collision and changes nothing. Columns: slug, page_id, docx_file_name, docx_hash, created_at, last_synced_at.
+
+    Of entries with one slug the last by `order` counts, or without it the greatest by file name, hash and page. Slugs are unique in a registry.
+    """
+    rank = F.struct(*([order] if order else []), "docx_file_name", "docx_hash", "page_id")
+    entries = entries.groupBy("slug").agg(F.max_by(F.struct("page_id", "docx_file_name", "docx_hash"), rank).alias("e")).select("slug", "e.*")
     old = registry.select("slug", *[F.col(c).alias(f"old_{c}") for c in registry.columns if c != "slug"])
     x = entries.join(old, "slug", "full_outer")
     clash = F.coalesce((F.col("old_docx_file_name") != F.col("docx_file_name")), F.lit(False))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -10,8 +12,10 @@ from .functions import patterns as P
 from .functions import predicates as pr
 from .functions import text as tx
 from .operators import blocks, context, language, lines, modules, nesting, render, segments, units
-from .plans import course, push, sync
-from .sources.staging import spread
+from .plans import course, push, state_log, sync
+from .sources import media, sinks, versions
+from .sources.staging import shared_folder, spread, staged
+from .streaming import incremental
 from .streaming.jobs import structure
 
 KEYS = ["doc_id", "module_no"]
@@ -63,11 +67,11 @@ def f_line_comment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def f_slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """F11 and F18 over part names and first lines of documents."""
-    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.concat(F.lit("Módulo "), "p_name", F.lit(" ¿Qué es "), "p_brand", F.lit("?")).alias("title"))
-    docs = table(spark, sf_dir, "documents").select((-F.col("doc_id") - 1).alias("id"), F.element_at(F.split("text", "\n", -1), 1).alias("title"))
+    """F11 and F18 over part names and every line of all documents."""
+    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.lit(0).alias("line_no"), F.concat(F.lit("Módulo "), "p_name", F.lit(" ¿Qué es "), "p_brand", F.lit("?")).alias("title"))
+    docs = lines.split_lines(table(spark, sf_dir, "documents").select("doc_id", "text")).select((-F.col("doc_id") - 1).alias("id"), "line_no", F.col("line").alias("title"))
     x = parts.unionByName(docs)
-    return x.select("id", tx.slugify(F.col("title")).alias("slug"), tx.module_file(F.pmod("id", F.lit(150)), F.col("title")).alias("file"))
+    return x.select("id", "line_no", tx.slugify(F.col("title")).alias("slug"), tx.module_file(F.pmod("id", F.lit(150)), F.col("title")).alias("file"))
 
 
 def f_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -202,10 +206,30 @@ def l_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def r_modules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rendered modules with their statistics."""
-    x = structure(conversation_markdown(spark, sf_dir))
+    return rendered_columns(structure(conversation_markdown(spark, sf_dir)))
+
+
+def rendered_columns(x: DataFrame) -> DataFrame:
     return x.select(*KEYS, "title", "file", "text", F.array_join("images", ",").alias("images"), *[F.col("stats")[s].alias(f"n_{s}") for s in render.STATS], "report")
 
 
+def r_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rendered corpus from a cache that was filled before half of its documents changed."""
+    docs, path = conversation_markdown(spark, sf_dir), f"{shared_folder(spark)}/structure-cache-{uuid.uuid4().hex}"
+    before = docs.withColumn("text", F.when(F.col("doc_id") % 2 == 1, F.concat("text", F.lit("\n# Otro\n"))).otherwise(F.col("text")))
+    incremental.structure_increment(before, path)
+    found, _ = staged(rendered_columns(incremental.structure_increment(docs, path)), "incremental-modules")
+    versions.remove(spark, path)
+    return found
+
+
+def r_manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's manifest entries as JSON and its report, as a run writes them."""
+    x = structure(conversation_markdown(spark, sf_dir))
+    entries = render.manifest(x, F.lit("2024-01-01")).select("doc_id", F.to_json("modules").alias("modules"))
+    return entries.join(sinks.reports(x), "doc_id").select("doc_id", "modules", F.col("value").alias("report"))
+
+
 def r_join_dangling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """R2 on lines made from order lines."""
     text = F.when(F.col("l_quantity") % 5 == 0, F.lit("const url =")).when(F.col("l_quantity") % 5 == 1, "=").when(F.col("l_quantity") % 5 == 2, "").otherwise(F.concat(F.lit("  v"), F.col("l_partkey").cast("string")))
@@ -381,7 +405,7 @@ def k_sync_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("c_custkey")
     runs = c.select(k.alias("run_id"), F.pmod(k, F.lit(510)).alias("doc_id"), F.pmod(k, F.lit(510)).cast("string").alias("parent_id"), F.when(k % 3 == 0, F.pmod(k, F.lit(45)).cast("int")).alias("module_no"), (k % 4 == 0).alias("force"), (k % 7 == 0).alias("dry_run"))
     x = course.plan_sync(runs, mods, state)
-    return x.groupBy("run_id", "action", F.regexp_replace("problem", " to .*", "").alias("problem")).agg(F.count("*").alias("n"), F.sum("module_no").alias("module_sum"))
+    return x.groupBy("run_id", "action", "problem").agg(F.count("*").alias("n"), F.sum("module_no").alias("module_sum"))
 
 
 def k_course_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -393,14 +417,50 @@ def k_course_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return course.plan_courses(courses, registry, F.lit("db"))
 
 
+def k_course_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O2: what runs do for courses made from suppliers, step by step, some of them dry."""
+    k = F.col("s_suppkey")
+    x = table(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_name").alias("slug"), F.when(k % 7 == 0, F.concat(F.lit("/cursos/web-"), "s_name", F.lit("/Clases.docx"))).otherwise(F.concat(F.lit("/cursos/"), "s_name", F.lit("/web-"), "s_name", F.lit(".docx"))).alias("path"), F.lit("f").alias("docx_file_name"), F.when(k % 5 != 0, F.lit("Web")).alias("area"), F.lit("Libre").alias("platform"), F.when(k % 2 == 0, F.lit("En curso")).alias("status"), F.when(k % 4 == 0, F.col("s_name")).alias("title"), (k % 11 == 0).alias("dry_run"))
+    return course.course_steps(x, x.where("s_suppkey % 3 = 0").select("slug", "docx_file_name"), F.lit("db"))
+
+
+def k_state_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K6, K7: the state after transitions made from events, out of order, the first third folded into a snapshot before the others are logged."""
+    u = F.col("user_id")
+    t = table(spark, sf_dir, "events").select(F.pmod(u, F.lit(50)).cast("string").alias("parent_id"), F.pmod(F.floor(u / 50), F.lit(200)).cast("int").alias("module_no"), F.col("event_id").cast("long").alias("version"), F.when(F.col("event_type") != "purchase", F.concat(F.lit("page-"), F.col("event_id").cast("string"))).alias("page_id"), (F.col("event_type") == "purchase").alias("done"))
+    path = f"{shared_folder(spark)}/state-log-{uuid.uuid4().hex}"
+    state_log.append_transitions(t.where("version % 3 = 1"), path)
+    state_log.compact(spark, path)
+    state_log.append_transitions(t.where("version % 3 = 2"), path)
+    state_log.append_transitions(t.where("version % 3 = 0"), path)
+    found, _ = staged(state_log.read_log_state(spark, path), "log-state")
+    versions.remove(spark, path)
+    return found
+
+
+def k_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """References made from order lines to media made from parts, many of which share their content and some of which are missing."""
+    name = lambda k: F.concat(F.lit("image"), F.col(k).cast("string"), F.lit(".png"))
+    files = table(spark, sf_dir, "part").where("p_size % 5 <> 0").select(F.pmod("p_partkey", F.lit(9)).alias("doc_id"), name("p_partkey").alias("name"), F.concat("p_brand", "p_type").cast("binary").alias("content"))
+    path = f"{shared_folder(spark)}/media-{uuid.uuid4().hex}"
+    stored = media.store_media(files, path).select(F.col("hash").alias("stored"))
+    w = Window.partitionBy("doc_id").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    refs = table(spark, sf_dir, "lineitem").withColumn("doc_id", F.pmod("l_partkey", F.lit(9))).select("doc_id", (F.row_number().over(w) - 1).alias("ref_no"), name("l_partkey").alias("token"))
+    # What a reference resolves to is looked up in the store, so a content that wasn't stored would be missing here.
+    x = media.resolve_media(refs, files, ["doc_id"]).join(stored, F.col("hash") == F.col("stored"), "left")
+    found, _ = staged(x.withColumn("hash", F.col("stored")).drop("stored"), "resolved-media")
+    versions.remove(spark, path)
+    return found
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         f_unescape, f_line_measures, f_line_comment, f_slugs, f_paths, f_languages, f_hashes,
         p_predicates, c_labels, c_line_kinds,
         t_lines, t_fences, t_fences_segmented, t_units, t_unit_counts, t_headings, m_modules, u_kinds, u_kinds_segmented, u_resolve_unknowns, l_languages,
-        r_modules, r_join_dangling, b_blocks, b_page_blocks, b_list_depths, b_nested, b_nested_lists, b_batches,
+        r_modules, r_incremental, r_manifests, r_join_dangling, b_blocks, b_page_blocks, b_list_depths, b_nested, b_nested_lists, b_batches,
         k_push_actions, k_pending, k_positions, k_registry, k_images, k_requests, k_push_sequence, k_attach_windows, k_retries,
-        k_commit, k_uploads, k_sync_runs, k_course_runs,
+        k_commit, k_uploads, k_sync_runs, k_course_runs, k_course_steps, k_state_log, k_media,
     )
 }

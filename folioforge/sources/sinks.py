@@ -3,26 +3,33 @@ run that is cut off leaves no table until it is run again."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
 from ..operators.nesting import nest_blocks
+from ..operators.render import manifest
+from .versions import publish
 
 
-def write_modules(rendered: DataFrame, path: str, key: str = "doc_id") -> None:
-    """Module texts as Parquet by document."""
-    rendered.write.mode("overwrite").partitionBy(key).parquet(path)
+def write_modules(rendered: DataFrame, path: str) -> None:
+    """Module texts as Parquet; a document's modules are beside each other, but documents share files."""
+    rendered.write.mode("overwrite").parquet(path)
 
 
 def write_manifests(manifests: DataFrame, path: str) -> None:
     manifests.write.mode("overwrite").json(path)
 
 
-def write_reports(rendered: DataFrame, path: str, key: str = "doc_id") -> None:
-    """One text per document, its report lines in order of module."""
-    lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("module_no", "report"))), lambda r: r["report"]), "\n")
-    rendered.groupBy(key).agg(lines.alias("value")).select("value").write.mode("overwrite").text(path)
+def reports(rendered: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, value): one text per document, its report lines in order of module, each with its line end."""
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("module_no", "report"))), lambda r: F.concat(r["report"], F.lit("\n")))
+    return rendered.groupBy(key).agg(F.array_join(lines, "").alias("value"))
+
+
+def publish_run(rendered: DataFrame, generated: Column, path: str, key: str = "doc_id") -> int:
+    """Modules, manifests and reports of one run as the next version of `path`: all three become current at once. The version's number."""
+    return publish({"modules": rendered, "manifests": manifest(rendered, generated, key), "reports": reports(rendered, key)}, path)
 
 
 def state_json(state: DataFrame) -> DataFrame:

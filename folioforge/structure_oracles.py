@@ -263,3 +263,7 @@ merged AS (SELECT id, o, arg_max(acc, r) AS line FROM dangling GROUP BY 1, 2) SE
 }
 #: The same rows, worked out in blocks.
 STRUCTURE |= {"t_fences_segmented": STRUCTURE["t_fences"], "u_kinds_segmented": STRUCTURE["u_kinds"]}
+#: The same modules, whether they come from a cache or not.
+STRUCTURE["r_incremental"] = STRUCTURE["r_modules"]
+_ENTRY = f"""'{{"number":' || module_no || ',"title":' || to_json(title)::VARCHAR || ',"file":' || to_json('modules/' || file)::VARCHAR || ',"images":' || to_json(CASE WHEN images = '' THEN [] ELSE string_split(images, ',') END)::VARCHAR || ',"stats":{{' || {" || ',' || ".join(f"""'"{k}":' || n_{k}""" for k in _COUNTED)} || '}}}}'"""
+STRUCTURE["r_manifests"] = f"{RENDERED} SELECT doc_id, '[' || string_agg({_ENTRY}, ',' ORDER BY module_no) || ']' AS modules, string_agg({_REPORT} || {NL}, '' ORDER BY module_no) AS report FROM rendered GROUP BY 1"

@@ -12,11 +12,12 @@ SF = "/root/testdata/sf0.001"
 def test_plan_sync(spark):
     modules = spark.createDataFrame([(1, n) for n in (1, 2, 3)], "doc_id long, module_no int")
     state = spark.createDataFrame([("p", 1, "page-1", True), ("p", 2, "page-2", False)], "parent_id string, module_no int, page_id string, done boolean")
-    runs = [(1, 1, "p", None, False, False), (2, 1, "p", None, True, False), (3, 1, "p", 1, True, False), (4, 1, "p", 9, False, False), (5, 8, "p", None, False, False), (6, 1, "p", 1, False, True)]
+    runs = [(1, 1, "p", None, False, False), (2, 1, "p", None, True, False), (3, 1, "p", 1, True, False), (4, 1, "p", 9, False, False), (5, 8, "p", None, False, False), (6, 1, "p", 1, False, True), (7, 1, "p", None, False, True), (8, 1, "p", 1, True, True)]
     got = course.plan_sync(spark.createDataFrame(runs, "run_id int, doc_id long, parent_id string, module_no int, force boolean, dry_run boolean"), modules, state).orderBy("run_id", "module_no").collect()
     assert [(r["run_id"], r["module_no"], r["action"], r["problem"]) for r in got] == [
         (1, 1, "skip", None), (1, 2, "redo", None), (1, 3, "create", None), (2, None, None, "force needs a module"), (3, 1, "redo", None),
-        (4, None, None, "no such module; 1 to 3"), (5, None, None, "no such document"), (6, 1, "dry_run", None),
+        (4, None, None, "no such module; 1 to 3"), (5, None, None, "no such document"), (6, 1, "skip", None),
+        (7, 1, "skip", None), (7, 2, "dry_run", None), (7, 3, "dry_run", None), (8, 1, "dry_run", None),
     ]
 
 
@@ -37,7 +38,7 @@ def test_uploads_listings_and_titles(spark):
     assert [tuple(r) for r in course.children_of(listing).collect()] == [("p", 0, "b"), ("p", 1, "a")]
     pages = [("ab-cd", [("x", "number", []), ("y", "title", [("Ho",), ("la",)]), ("z", "title", [("no",)])]), ("e", [])]
     titles = course.parent_titles(spark.createDataFrame(pages, "id string, properties array<struct<name:string,type:string,title:array<struct<plain_text:string>>>>"))
-    assert [tuple(r) for r in titles.collect()] == [("abcd", "Hola"), ("e", None)]
+    assert [tuple(r) for r in titles.collect()] == [("abcd", "Ho"), ("e", "(sin título)")]
 
 
 def test_staged_tables(spark):
