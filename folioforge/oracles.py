@@ -222,6 +222,14 @@ SELECT slug, CASE WHEN problem IS NULL THEN CASE WHEN known THEN 'update' ELSE '
     "k_course_steps": f"""WITH c AS (SELECT s_name AS slug, s_suppkey % 3 = 0 AS known, s_suppkey % 11 = 0 AS dry, s_suppkey % 3 <> 0 AND s_suppkey % 5 = 0 AS bad, CASE WHEN s_suppkey % 4 = 0 THEN s_name ELSE {_title("'web-' || s_name")} END AS title, CASE WHEN s_suppkey % 2 = 0 THEN 'En curso' ELSE 'Terminado' END AS status FROM supplier),
 s AS (SELECT slug, title, status, CASE WHEN dry THEN CASE WHEN known THEN ['push dry'] ELSE ['show'] END WHEN known THEN ['push', 'save', 'update'] ELSE ['create', 'save', 'push', 'update'] END AS steps FROM c WHERE NOT bad)
 SELECT slug, unnest(range(len(steps)))::INT AS step_no, unnest(steps) AS step, title, status FROM s""",
+    "o_options": """WITH RECURSIVE i AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS i FROM events),
+t AS (SELECT user_id || '/' || (i // 7) AS run_id, (i % 7)::INT AS pos, CASE event_type WHEN 'view' THEN CASE WHEN event_id % 2 = 0 THEN '--area' ELSE '--titulo' END WHEN 'signup' THEN '--estado' WHEN 'click' THEN CASE WHEN event_id % 2 = 0 THEN '--dry-run' ELSE '--force' END
+ELSE CASE WHEN event_id % 3 = 0 THEN '' ELSE 'v' || event_id END END AS token FROM i),
+w AS (SELECT run_id, -1 AS pos, NULL::VARCHAR AS waits, []::VARCHAR[] AS ps, NULL::VARCHAR AS area, NULL::VARCHAR AS title, NULL::VARCHAR AS status, false AS dry_run, false AS force FROM t WHERE pos = 0
+UNION ALL SELECT t.run_id, t.pos, CASE WHEN waits IS NULL AND token IN ('--area', '--titulo', '--estado') THEN token END, CASE WHEN waits IS NULL AND token NOT LIKE '--%' THEN list_append(ps, token) ELSE ps END,
+CASE WHEN waits = '--area' THEN token WHEN waits IS NULL AND token = '--area' THEN NULL ELSE area END, CASE WHEN waits = '--titulo' THEN token WHEN waits IS NULL AND token = '--titulo' THEN NULL ELSE title END, CASE WHEN waits = '--estado' THEN token WHEN waits IS NULL AND token = '--estado' THEN NULL ELSE status END,
+dry_run OR (waits IS NULL AND token = '--dry-run'), force OR (waits IS NULL AND token = '--force') FROM w JOIN t ON t.run_id = w.run_id AND t.pos = w.pos + 1)
+SELECT run_id, ps[1] AS docx_path, ps[2] AS module, area, NULL::VARCHAR AS platform, status, title, dry_run, force, CASE WHEN coalesce(ps[1], '') = '' THEN 'usage' END AS problem FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY pos DESC) AS back FROM w) WHERE back = 1""",
     "k_state_log": """WITH t AS (SELECT CAST(user_id % 50 AS VARCHAR) AS parent_id, CAST(user_id // 50 % 200 AS INT) AS module_no, event_id AS version, CASE WHEN event_type <> 'purchase' THEN 'page-' || event_id END AS page_id, event_type = 'purchase' AS done FROM events),
 l AS (SELECT *, row_number() OVER (PARTITION BY parent_id, module_no ORDER BY version DESC) AS back, last_value(page_id IGNORE NULLS) OVER (PARTITION BY parent_id, module_no ORDER BY version ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS page FROM t)
 SELECT parent_id, module_no, page AS page_id, done FROM l WHERE back = 1""",

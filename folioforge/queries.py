@@ -12,7 +12,7 @@ from .functions import patterns as P
 from .functions import predicates as pr
 from .functions import text as tx
 from .operators import blocks, context, language, lines, modules, nesting, render, segments, units
-from .plans import course, push, state_log, sync
+from .plans import course, options, push, state_log, sync
 from .sources import media, sinks, versions
 from .sources.staging import shared_folder, spread, staged
 from .streaming import incremental
@@ -453,6 +453,16 @@ def k_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found
 
 
+def o_options(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O3: command lines of up to seven tokens made from the events of a user."""
+    w = Window.partitionBy("user_id").orderBy("event_id")
+    e = table(spark, sf_dir, "events").withColumn("i", F.row_number().over(w) - 1)
+    k, id_ = F.col("event_type"), F.col("event_id")
+    token = F.when(k == "view", F.when(id_ % 2 == 0, "--area").otherwise("--titulo")).when(k == "signup", "--estado").when(k == "click", F.when(id_ % 2 == 0, "--dry-run").otherwise("--force")).when(id_ % 3 == 0, "").otherwise(F.concat(F.lit("v"), id_.cast("string")))
+    e = e.select(F.concat_ws("/", F.col("user_id").cast("string"), F.floor(F.col("i") / 7).cast("string")).alias("run_id"), (F.col("i") % 7).cast("int").alias("pos"), token.alias("token"))
+    return options.parse_options(e)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -461,6 +471,6 @@ QUERIES = {
         t_lines, t_fences, t_fences_segmented, t_units, t_unit_counts, t_headings, m_modules, u_kinds, u_kinds_segmented, u_resolve_unknowns, l_languages,
         r_modules, r_incremental, r_manifests, r_join_dangling, b_blocks, b_page_blocks, b_list_depths, b_nested, b_nested_lists, b_batches,
         k_push_actions, k_pending, k_positions, k_registry, k_images, k_requests, k_push_sequence, k_attach_windows, k_retries,
-        k_commit, k_uploads, k_sync_runs, k_course_runs, k_course_steps, k_state_log, k_media,
+        k_commit, k_uploads, k_sync_runs, k_course_runs, k_course_steps, k_state_log, k_media, o_options,
     )
 }

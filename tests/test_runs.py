@@ -61,3 +61,37 @@ def test_structuring_queries_can_be_written(spark, tmp_path):
         assert len(set(columns)) == len(columns), name
     QUERIES["r_modules"](spark, SF).write.parquet(str(tmp_path / "r_modules"))
     assert spark.read.parquet(str(tmp_path / "r_modules")).count() > 0
+
+
+def walk_options(tokens):
+    """Token by token, as a loop with an index reads them."""
+    from folioforge.plans.options import SWITCHES, VALUES
+
+    out, rest, i = {c: None for c in VALUES.values()} | {c: False for c in SWITCHES.values()}, [], 0
+    while i < len(tokens):
+        if tokens[i] in SWITCHES:
+            out[SWITCHES[tokens[i]]] = True
+        elif tokens[i] in VALUES:
+            i += 1
+            out[VALUES[tokens[i - 1]]] = tokens[i] if i < len(tokens) else None
+        else:
+            rest.append(tokens[i])
+        i += 1
+    return out | {"docx_path": rest[0] if rest else None, "module": rest[1] if len(rest) > 1 else None, "problem": None if rest and rest[0] else "usage"}
+
+
+def test_options(spark):
+    import random
+
+    from folioforge.plans import options
+
+    rnd = random.Random(3)
+    lines = [[rnd.choice(["--dry-run", "--force", "--area", "--area", "--titulo", "--estado", "--plataforma", "a.docx", "3", ""]) for _ in range(rnd.randint(1, 9))] for _ in range(300)]
+    lines += [["--area", "--area", "--force", "x"], ["x", "--titulo"], ["--titulo", "a", "x", "--titulo"]]
+    df = spark.createDataFrame([(i, k, t) for i, line in enumerate(lines) for k, t in enumerate(line)], "run_id int, pos int, token string")
+    got = {r["run_id"]: r.asDict() for r in options.parse_options(df).collect()}
+    for i, line in enumerate(lines):
+        assert got[i] == walk_options(line) | {"run_id": i}, line
+    two = options.parse_options(df, positionals=("docx_path", "parent_id", "module"), needed=2, values={})
+    assert "area" not in two.columns and two.where("parent_id is null and problem is null").count() == 0
+    assert options.parse_options(df.limit(0)).count() == 0
