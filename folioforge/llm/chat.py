@@ -462,7 +462,8 @@ def compile_template(template: str) -> Callable[[list], tuple[str, list]]:
 
 # ---- reading back ----------------------------------------------------------------------------------
 
-_TURN = re.compile(re.escape(TURN_OPEN) + r"((?:[^\\:]|\\.)*?)" + re.escape(ROLE_END) + r"((?:[^\\<]|\\.)*)" + re.escape(TURN_CLOSE), re.S)
+#: Stretches between escapes are taken whole and never given back, so a turn of any length costs its own size.
+_TURN = re.compile(re.escape(TURN_OPEN) + r"([^\\:]*+(?:\\.[^\\:]*+)*+)" + re.escape(ROLE_END) + r"([^\\<]*+(?:\\.[^\\<]*+)*+)" + re.escape(TURN_CLOSE), re.S)
 
 
 def read_turns(formatted: str) -> list[tuple[str, str]]:

@@ -42,7 +42,7 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cleaned = substring.dedup_substrings(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    cleaned = substring.dedup_substrings(read_table(spark, sf_dir, "documents").select("doc_id", "text"), substring.CLAUSES)
     removed = F.aggregate("removed_spans", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"])
     return cleaned.select("doc_id", "text", F.size("removed_spans").alias("n_removed"), removed.alias("removed_chars"))
 

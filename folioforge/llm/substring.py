@@ -1,10 +1,11 @@
 """Substring deduplication by sliding sentence spans.
 
-Sentences here end at commas, semicolons and colons too: a passage pasted into the middle of a sentence then loses little
-at its edges. A span is a run of consecutive sentences with at least `least_words` words. Every span that stands anywhere
-in the table before (by doc_id and place) is repeated, and its sentences are removed, with the white space after them.
+A span is a run of consecutive sentences, at least `least_sentences` of them with `least_words` words or more. Every span that
+stands anywhere in the table before (by doc_id and place) is repeated, and its sentences are removed, with the white space
+after them. By default a span is two sentences and twelve words. `CLAUSES` is the finer rule: sentences end at commas, semicolons and
+colons too, and one alone may be a span; a passage that was pasted into the middle of a sentence then loses little at its edges.
 
-Of all runs only the least ones need to be hashed: from each sentence the shortest run that holds `least_words` words, and
+Of all runs only the least ones need to be hashed: from each sentence the shortest run that is a span, and
 the shortest such run that ends at each sentence. A repeated longer run consists of least runs, each repeated where it is,
 and the forward and backward ones cover it to both ends, so the same sentences go (tests hold this against all runs).
 
@@ -12,8 +13,7 @@ Runs travel packed by hash bucket, fourteen bytes a run. Of a run that a batch h
 its hash's bucket; the others are repeats whatever comes, so they bypass it, and a passage in a third of all documents
 makes no hot bucket. A removal names its hash, and a document removes a run only if that hash stands at that place.
 
-Rows: null and empty texts have no sentence and stay as they are; a text of any length is read whole, and a sentence of
-`least_words` words or more is a run of its own; rows with a null doc_id count as the last document; rows that share a
+Rows: null and empty texts have no sentence and stay as they are; a text of any length is read whole, rows with a null doc_id count as the last document; rows that share a
 doc_id count as one document for who is first; repeated rows keep or lose the same; other columns are kept; an empty table
 gives an empty one.
 """
@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -29,44 +30,55 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
-from .common import batches, bucket_count, fresh_name, own_tables, sentence_spans, small_batches, texts_of
+from .common import SENTENCE_END, batches, bucket_count, fresh_name, own_tables, sentence_spans, small_batches, texts_of
 
-LEAST_WORDS = 12
 LAST_ID = (1 << 63) - 1
 
-
 #: As in `common.SENTENCE_END`, and after , ; and :
 _CLAUSE_END = re.compile(r"(?<=[.!?,;:])[ \t]+|\n+|(?<=[^\W\dA-Z_])[ \t]+(?=[^\W\d_a-zß-ÿ])")
 
 
-def runs_of(text: str, least_words: int = LEAST_WORDS) -> tuple[list[tuple[int, int]], np.ndarray, np.ndarray, np.ndarray]:
+@dataclass(frozen=True)
+class Spans:
+    """What counts as a span."""
+
+    least_words: int = 12
+    least_sentences: int = 2
+    ends: re.Pattern = SENTENCE_END
+
+
+SENTENCES = Spans()
+CLAUSES = Spans(least_sentences=1, ends=_CLAUSE_END)
+
+
+def runs_of(text: str, rule: Spans = SENTENCES) -> tuple[list[tuple[int, int]], np.ndarray, np.ndarray, np.ndarray]:
     """(sentence spans, first sentence, last sentence, 64-bit hash) of a text's runs."""
     import xxhash
 
-    spans = sentence_spans(text, _CLAUSE_END)
+    spans = sentence_spans(text, rule.ends)
     sentences = [text[a:b] for a, b in spans]
     n = len(sentences)
     words = np.fromiter((s.count(" ") + 1 for s in sentences), dtype=np.int64, count=n)
     before = np.r_[0, np.cumsum(words)]
-    if not n or before[-1] < least_words:
+    if n < rule.least_sentences or before[-1] < rule.least_words:
         none = np.zeros(0, dtype=np.int64)
         return spans, none, none, none.astype(np.uint64)
-    # Forward: the least j with before[j + 1] - before[i] >= least_words. Backward: the greatest i for each j.
-    i = np.arange(n)
-    j = np.searchsorted(before, before[:-1] + least_words) - 1
+    # Forward: the least j with enough words and sentences from i on. Backward: the greatest i for each j.
+    i, more = np.arange(n), rule.least_sentences - 1
+    j = np.maximum(np.searchsorted(before, before[:-1] + rule.least_words) - 1, i + more)
     forward = np.c_[i[j < n], j[j < n]]
-    back = np.searchsorted(before, before[1:] - least_words, side="right") - 1
+    back = np.minimum(np.searchsorted(before, before[1:] - rule.least_words, side="right") - 1, i - more)
     backward = np.c_[back[back >= 0], i[back >= 0]]
     both = np.unique(np.r_[forward, backward], axis=0)
     h = np.fromiter((xxhash.xxh3_64_intdigest("\n".join(sentences[a : b + 1])) for a, b in both.tolist()), dtype=np.uint64, count=len(both))
     return spans, both[:, 0], both[:, 1], h
 
 
-def pack(ids: np.ndarray, texts: list[str], buckets: int, least_words: int) -> list | None:
+def pack(ids: np.ndarray, texts: list[str], buckets: int, rule: Spans) -> list | None:
     """The columns of `packed_runs` for these documents, or None without a run."""
     hashes, owners, firsts = [], [], []
     for k, t in enumerate(texts):
-        _, first, _, h = runs_of(t, least_words)
+        _, first, _, h = runs_of(t, rule)
         hashes.append(h)
         owners.append(np.full(len(h), k, dtype=np.uint32))
         firsts.append(first.astype(np.uint32))
@@ -93,7 +105,7 @@ def pack(ids: np.ndarray, texts: list[str], buckets: int, least_words: int) -> l
     return [bucket[cuts], pa.array(again[cuts]), *rows]
 
 
-def packed_runs(docs: DataFrame, buckets: int, least_words: int) -> DataFrame:
+def packed_runs(docs: DataFrame, buckets: int, rule: Spans) -> DataFrame:
     """(bucket, repeated, hashes, owners, firsts, ids): the runs of a batch by bucket; owners are places in ids, firsts the first
     sentences. `repeated` rows hold runs that the batch has before; their bucket only spreads them."""
     small_batches(docs.sparkSession)
@@ -104,7 +116,7 @@ def packed_runs(docs: DataFrame, buckets: int, least_words: int) -> DataFrame:
         wrap = batches(schema)
         for b in parts:
             ids = np.array([LAST_ID if d is None else d for d in b.column(0).to_pylist()], dtype=np.int64)
-            if len(ids) and (columns := pack(ids, texts_of(b.column(1)), buckets, least_words)):
+            if len(ids) and (columns := pack(ids, texts_of(b.column(1)), buckets, rule)):
                 yield wrap(columns)
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "bucket int, repeated boolean, hashes binary, owners binary, firsts binary, ids binary")
@@ -155,11 +167,11 @@ def repeats(packed: DataFrame, buckets: int) -> DataFrame:
     return packed.repartition(buckets, "bucket").mapInArrow(run, "id long, first long, hash long")
 
 
-def removed_spans(text: str, marks: set[tuple[int, int]], least_words: int) -> list[tuple[int, int]]:
+def removed_spans(text: str, marks: set[tuple[int, int]], rule: Spans) -> list[tuple[int, int]]:
     """(start, end) of the stretches of a text to remove; marks: (first sentence, signed hash) of runs."""
     if not marks:
         return []
-    spans, first, last, h = runs_of(text, least_words)
+    spans, first, last, h = runs_of(text, rule)
     gone = np.zeros(len(spans) + 1, dtype=np.int64)
     for a, b, x in zip(first.tolist(), last.tolist(), h.view(np.int64).tolist()):
         if (a, x) in marks:
@@ -183,11 +195,11 @@ def without(text: str, spans: list[tuple[int, int]]) -> str:
     return "".join([*kept, text[at:]])
 
 
-def dedup_substrings(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
+def dedup_substrings(docs: DataFrame, rule: Spans = SENTENCES) -> DataFrame:
     """The rows of `docs` with their text cleaned, all columns kept, and `removed_spans` array<struct<start,end>> of the text before."""
     spark = docs.sparkSession
     buckets = bucket_count(docs)
-    found = repeats(packed_runs(docs, buckets, least_words), buckets)
+    found = repeats(packed_runs(docs, buckets, rule), buckets)
     # Both steps combine by key before they shuffle; a document has at most two runs a sentence.
     mark_id, marks_name = fresh_name(docs, "mark_id"), fresh_name(docs, "marks")
     marks = found.groupBy(F.col("id").alias(mark_id)).agg(F.collect_set(F.struct("first", "hash")).alias(marks_name))
@@ -205,7 +217,7 @@ def dedup_substrings(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFra
             for i, m in enumerate(b.column(n)):
                 spans = []
                 if m.is_valid and texts[i]:
-                    spans = removed_spans(texts[i], {(x["first"], x["hash"]) for x in m.as_py()}, least_words)
+                    spans = removed_spans(texts[i], {(x["first"], x["hash"]) for x in m.as_py()}, rule)
                     texts[i] = without(texts[i], spans)
                 gone.append([{"start": x, "end": y} for x, y in spans])
             columns = [*b.columns[:n], pa.array(gone, span_pa)]

@@ -58,6 +58,18 @@ def test_chat(spark):
     assert chat.digest_formatted(chat.format_conversations(df.limit(0))).count() == 0
 
 
+def test_a_turn_of_any_length_reads_back():
+    """Twenty million characters, half of them escaped, within a few times their size."""
+    import resource
+
+    text = "\\#<a" * 5_000_000
+    formatted = f"{chat.TURN_OPEN}user{chat.ROLE_END}{chat.escape_text(text)}{chat.TURN_CLOSE}"
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    m = chat._TURN.match(formatted)
+    assert m.end() == len(formatted) and resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 300_000  # KB
+    assert chat.unescape(m[2]) == text and m[1] == "user"
+
+
 # ---- tokenising and packing ------------------------------------------------------------------------
 
 
@@ -306,10 +318,40 @@ def test_disclosing_terms_go_everywhere(spark, monkeypatch, broadcast):
     far, last = len(texts) - 4, len(texts) - 1
     assert all(found[i] == {"zorblax"} for i in [*range(6), *range(126, 176)])
     assert found[far] == {"Zorblax"}  # no entity near
-    assert found[last] == {"frimtook"}  # one context is enough for a term that stands nowhere else
-    assert not any(found[i] for i in [*range(6, 126), far + 1, far + 2])
+    assert not any(found[i] for i in [*range(6, 126), far + 1, far + 2, last])  # a word met once tells nothing, however close
     clean = pii.sanitise(docs(spark, texts)).where(F.col("doc_id").isin(0, far, last)).orderBy("doc_id").collect()
-    assert [r["text"] for r in clean] == ["line uno about [REDACTED] [EMAIL] says uno", "once [REDACTED] said uno dos", "line [REDACTED] about [IP] says uno"]
+    assert [r["text"] for r in clean] == ["line uno about [REDACTED] [EMAIL] says uno", "once [REDACTED] said uno dos", "line frimtook about [IP] says uno"]
+
+
+def test_what_it_takes_to_disclose(spark):
+    """A term always beside one entity discloses from the second context on; one as often elsewhere, or beside many entities, never does."""
+    fill = [f"line {i} says uno dos tres cuatro cinco" for i in range(200)]
+    beside = lambda term, entity, n: [f"{'xyzuvw'[i] * 5} {term} {entity} {'abcdef'[i] * 4}" for i in range(n)]
+    texts = fill + beside("einmal", "a@one.example", 1) + beside("zweimal", "b@two.example", 2) + beside("dreimal", "c@three.example", 3)
+    texts += beside("halb", "d@half.example", 4) + [f"{c * 4} halb" for c in "klmnopqrst"]
+    texts += [f"kunde {'pqrstu'[i] * 4} k{i}@many.example" for i in range(6)]
+    pairs = {(r["entity"], r["term"]): r for r in pii.disclosures(pii.context_rows(docs(spark, texts)), docs(spark, texts)).collect()}
+    assert {t for _, t in pairs} == {"zweimal", "dreimal"}
+    assert pairs["email:c@three.example", "dreimal"]["share"] > pairs["email:b@two.example", "zweimal"]["share"] > 0.5
+    assert pairs["email:c@three.example", "dreimal"]["bits"] > pairs["email:b@two.example", "zweimal"]["bits"]
+    assert all(r["n_contexts"] == r["n_places"] >= 2 for r in pairs.values())
+    # bits decide too: beside an entity that is everywhere, two contexts tell little
+    letters = "abcdefghij"
+    beside_boss = [f"{c * 4} {'doppel' if i < 2 else c * 5} boss@all.example" for i, c in enumerate(letters)]
+    for fillers, found in ((0, set()), (300, {"doppel"})):
+        few = beside_boss + [f"{'klmnopqrst'[i % 10] * 3} uno dos tres" for i in range(fillers)]
+        assert {r["term"] for r in pii.disclosures(pii.context_rows(docs(spark, few)), docs(spark, few)).collect()} == found
+
+
+def test_nothing_to_sanitise(spark):
+    assert pii.sanitise(docs(spark, [])).count() == 0 and pii.sanitise(docs(spark, ["", None])).count() == 2
+
+
+def wilson(k, n, z=1.2816):
+    """The lower root of (p - x)^2 = z^2 x (1 - x) / n."""
+    p = k / n
+    a, b, c = 1 + z * z / n, -(2 * p + z * z / n), p * p
+    return (-b - math.sqrt(max(0.0, b * b - 4 * a * c))) / (2 * a)
 
 
 def plain_disclosures(texts):
@@ -340,9 +382,9 @@ def plain_disclosures(texts):
     out = set()
     for (entity, w), contexts in seen.items():
         n = places_of[w] - sum(c[0] for c in contexts.values()) + once[entity, w]
-        share = min(len(contexts), n) / (n + 1)
+        share = wilson(min(len(contexts), n), n)
         p = sum(x for (e, _), x in once.items() if e == entity) / total
-        if share >= 0.5 and math.log2(share / p) >= -0.5 * math.log2(p):
+        if share >= 0.25 and min(len(contexts), n) * math.log2(share / p) >= -math.log2(p):
             out.add((entity, w))
     return out
 
@@ -355,7 +397,9 @@ def test_disclosures_against_plain_loops(spark):
     for _ in range(250):
         words = [rnd.choice(rare if rnd.random() < 0.08 else common) for _ in range(rnd.randint(0, 25))]
         for _ in range(rnd.choice([0, 0, 1, 1, 2, 3])):
-            words.insert(rnd.randint(0, len(words)), rnd.choice(entities))
+            i, at = rnd.randrange(len(entities)), rnd.randint(0, len(words))
+            words[at:at] = [entities[i]] + [f"geheim{'abcddef'[i]}"] * (rnd.random() < 0.6)
+        words += [f"geheim{rnd.choice('abf')}"] * (rnd.random() < 0.15)
         texts.append("".join(w + rnd.choice([" ", " ", " ", ", ", "\n"]) for w in words))
     texts += texts[:40] + ["rarac a@x.yy raracb a@x.yy rarac"]
     got = {(r["entity"], r["term"]) for r in pii.disclosures(pii.context_rows(docs(spark, texts)), docs(spark, texts)).collect()}
@@ -375,8 +419,8 @@ def test_words_are_found_however_far():
 # ---- substring dedup -------------------------------------------------------------------------------
 
 
-def walk_sentences(text):
-    """(start, end) of the sentences, character by character."""
+def walk_sentences(text, marks):
+    """(start, end) of the sentences, character by character; `marks` end one before white space."""
     ends, i = [], 0
     while i < len(text):
         j = i
@@ -388,7 +432,7 @@ def walk_sentences(text):
                 j += 1
             before, after = text[i - 1], text[j : j + 1]
             lower_then_capital = before.isalpha() and not "A" <= before <= "Z" and after.isalpha() and not ("a" <= after <= "z" or "ß" <= after <= "ÿ")
-            if not (before in ".!?,;:" or lower_then_capital):
+            if not (before in marks or lower_then_capital):
                 i, j = j, j
         if j > i:
             ends.append((i, j))
@@ -401,20 +445,20 @@ def walk_sentences(text):
     return out
 
 
-def brute_dedup(rows, least):
-    """Every run of consecutive sentences of at least so many words, by its text; whatever any repeated one covers goes."""
+def brute_dedup(rows, rule, marks):
+    """Every run of consecutive sentences that is a span, by its text; whatever any repeated one covers goes."""
     first, runs = {}, {}
     for d, t in rows:
-        spans = walk_sentences(t or "")
+        spans = walk_sentences(t or "", marks)
         for i in range(len(spans)):
-            for j in range(i, len(spans)):
+            for j in range(i + rule.least_sentences - 1, len(spans)):
                 part = tuple((t or "")[x:y] for x, y in spans[i : j + 1])
-                if sum(len(p.split(" ")) for p in part) >= least:
+                if sum(len(p.split(" ")) for p in part) >= rule.least_words:
                     runs.setdefault(d, []).append((part, i, j))
                     first[part] = min(first.get(part, (d, i)), (d, i))
     out = {}
     for d, t in rows:
-        spans, kept = walk_sentences(t or ""), t
+        spans, kept = walk_sentences(t or "", marks), t
         gone = {k for part, i, j in runs.get(d, ()) if first[part] != (d, i) for k in range(i, j + 1)}
         if gone:
             edges = [*(x for x, _ in spans), len(t)]
@@ -423,9 +467,10 @@ def brute_dedup(rows, least):
     return out
 
 
-def test_substring(spark):
+@pytest.mark.parametrize(("rule", "marks"), [(substring.SENTENCES, ".!?"), (substring.CLAUSES, ".!?,;:"), (substring.Spans(5, 3), ".!?")])
+def test_substring(spark, rule, marks):
     rnd = random.Random(6)
-    sentence = lambda: " ".join(rnd.choice(["uno", "dos", "tres", "cinco", "ocho", "diez"]) for _ in range(rnd.randint(3, 9))).capitalize() + rnd.choice([". ", "! ", ".\n"])
+    sentence = lambda: " ".join(rnd.choice(["uno", "dos", "tres", "cinco", "ocho", "diez"]) for _ in range(rnd.randint(3, 9))).capitalize() + rnd.choice([". ", "! ", ".\n", ", "])
     passages = ["".join(sentence() for _ in range(12)) for _ in range(3)]
     texts = []
     for _ in range(60):
@@ -434,8 +479,8 @@ def test_substring(spark):
         texts.append("".join(body))
     texts += ["", None, texts[0], texts[0] + texts[0]]
     d = docs(spark, texts)
-    got = {r["doc_id"]: r for r in substring.dedup_substrings(d).collect()}
-    want = brute_dedup(list(enumerate(texts)), substring.LEAST_WORDS)
+    got = {r["doc_id"]: r for r in substring.dedup_substrings(d, rule).collect()}
+    want = brute_dedup(list(enumerate(texts)), rule, marks)
     assert {i: r["text"] for i, r in got.items()} == want
     assert got[62]["text"].strip() == "" and got[61]["text"] is None and got[0]["terms"] == "clash"
     assert substring.dedup_substrings(docs(spark, [])).count() == 0
@@ -448,14 +493,14 @@ def test_one_sentence_of_eighteen_words_goes(spark):
     word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(6))
     sentence = " ".join(word() for _ in range(18)) + ". "
     texts = [f"{word()} {word()}. {sentence}{word()} {word()} {word()}." for _ in range(2)]
-    got = [r["text"] for r in substring.dedup_substrings(docs(spark, texts)).orderBy("doc_id").collect()]
+    got = [r["text"] for r in substring.dedup_substrings(docs(spark, texts), substring.CLAUSES).orderBy("doc_id").collect()]
     assert got == [texts[0], texts[1].replace(sentence, "")]
 
 
 def test_one_batch_may_hold_any_number_of_documents():
     """More documents than 16 bits count: all but the first are repeats at once, and one row stands for the run in its bucket."""
     n, shared = 70_000, " ".join(f"w{i}" for i in range(14))
-    bucket, again, hashes, owners, firsts, ids = substring.pack(np.arange(n), [shared] * n, 7, 12)
+    bucket, again, hashes, owners, firsts, ids = substring.pack(np.arange(n), [shared] * n, 7, substring.CLAUSES)
     place = lambda k: np.frombuffer(ids[k], dtype=np.int64)[np.frombuffer(owners[k], dtype=np.uint32)].tolist()
     again = again.to_pylist()
     assert [place(k) for k in range(len(again)) if not again[k]] == [[0]]
@@ -468,7 +513,7 @@ def test_passages_of_fifty_words_go(spark):
     prose = lambda n: " ".join(word() + ("." if rnd.random() < 0.15 else "") for _ in range(n))
     passage = ". ".join(" ".join(word() for _ in range(11)).capitalize() for _ in range(5)) + "."
     texts = [f"{prose(40)} {passage} {prose(40)}" for _ in range(10)]
-    got = substring.dedup_substrings(docs(spark, texts)).orderBy("doc_id").collect()
+    got = substring.dedup_substrings(docs(spark, texts), substring.CLAUSES).orderBy("doc_id").collect()
     middle = " ".join(passage.split()[12:40])
     assert middle in got[0]["text"] and not any(middle in r["text"] for r in got[1:])
 
@@ -480,7 +525,7 @@ def test_fused_passages_of_fifty_words_go(spark):
     inner = f"{prose(7)}, {prose(8)},"
     passage = f"{prose(18)}, {inner} {prose(18)}"
     texts = [f"{prose(20)} {passage} {prose(20)}" for _ in range(6)]
-    got = [r["text"] for r in substring.dedup_substrings(docs(spark, texts)).orderBy("doc_id").collect()]
+    got = [r["text"] for r in substring.dedup_substrings(docs(spark, texts), substring.CLAUSES).orderBy("doc_id").collect()]
     assert got[0] == texts[0] and got[1:] == [t.replace(inner + " ", "") for t in texts[1:]]
     windows = lambda t: {tuple(t.split()[i : i + 50]) for i in range(len(t.split()) - 49)}
     assert not any(windows(a) & windows(b) for i, a in enumerate(got) for b in got[:i])
