@@ -253,13 +253,16 @@ def index_rows(all_ids: np.ndarray, sets: list[np.ndarray], buckets: int) -> tup
     return bucket[cuts].astype(np.int32), rows, names
 
 
+_OTHER_NAME = np.uint64(mix_int(1 << 50))
+
+
 def grouped(index: DataFrame, buckets: int) -> DataFrame:
-    """(fp long, doc_id long): the members of each group of at least two documents that share a signature.
+    """(fp binary, doc_id long): the members of each group of at least two documents that share a signature.
 
-    A group is named by a fingerprint of its members, so the same members met in many segments are one group.
+    A group is named by a fingerprint of its members in 128 bits, so the same members met in many segments are one group.
     """
     small_batches(index.sparkSession, 100)
-    schema = pa.schema([("fp", pa.int64()), ("doc_id", pa.int64())])
+    schema = pa.schema([("fp", pa.binary()), ("doc_id", pa.int64())])
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wrap = batches(schema)
@@ -288,16 +291,20 @@ def grouped(index: DataFrame, buckets: int) -> DataFrame:
             s, d = s[new], d[new]
             starts = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
             sizes = np.diff(np.r_[starts, len(s)])
-            fp = mix(np.add.reduceat(mix(d.view(np.uint64)), starts)) ^ sizes.astype(np.uint64)
-            _, first = np.unique(fp, return_index=True)
+            one = mix(d.view(np.uint64))
+            name = np.stack([mix(np.add.reduceat(one, starts)) ^ sizes.astype(np.uint64), mix(np.add.reduceat(mix(one ^ _OTHER_NAME), starts))], axis=1)
+            order = np.lexsort((name[:, 1], name[:, 0]))
+            fresh = np.r_[True, (name[order[1:]] != name[order[:-1]]).any(axis=1)]
+            first = np.sort(order[fresh])
             first = first[sizes[first] >= 2]
+            fp = pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(name), [None, pa.py_buffer(np.ascontiguousarray(name))]).cast(pa.binary())
             for i in range(0, len(first), 5000):
                 some = first[i : i + 5000]
                 n = sizes[some]
                 at = np.repeat(starts[some] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
-                yield wrap([np.repeat(fp[some], n).view(np.int64), d[at]])
+                yield wrap([fp.take(pa.array(np.repeat(some, n))), d[at]])
 
-    return index.repartition(buckets, "bucket").mapInArrow(run, "fp long, doc_id long").dropDuplicates(["fp", "doc_id"])
+    return index.repartition(buckets, "bucket").mapInArrow(run, "fp binary, doc_id long").dropDuplicates(["fp", "doc_id"])
 
 
 def sketch_filtered(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
