@@ -301,45 +301,63 @@ class SortedLists:
     def __init__(self, ids: np.ndarray, x: np.ndarray):
         order = np.argsort(ids, kind="stable")
         self.ids, self.x = ids[order], x[order]
-        lists = np.argsort(-self.x, axis=0, kind="stable")
-        n, dims = self.x.shape
-        self.edges = np.take_along_axis(self.x, lists, axis=0)
-        self.rank = np.empty((dims, n), dtype=np.int32)
-        np.put_along_axis(self.rank, lists.T, np.broadcast_to(np.arange(n, dtype=np.int32), (dims, n)), axis=1)
+        #: By dimension the rows from the greatest component to the smallest, and those components.
+        self.lists = np.ascontiguousarray(np.argsort(-self.x, axis=0, kind="stable").T.astype(np.int32))
+        self.edges = np.take_along_axis(np.ascontiguousarray(self.x.T), self.lists, axis=1)
         # Products of doubles are exact below 2^53, of floats below 2^24; larger components are multiplied as Python integers.
         self.most = float(np.abs(self.x).max(initial=0))
         self.small = self.x.astype(np.float32) if self.most < 2**24 else None
-        self.scored = self.stops = 0
+        self.scored = self.touched = self.stops = 0
 
     def _scores(self, rows: np.ndarray, q: np.ndarray, reach: float) -> np.ndarray:
         self.scored += len(rows)
+        many = 4 * len(rows) > len(self.ids)  # then the product of all rows costs less than taking them apart
         if reach < 2**24 and self.small is not None:
-            return (self.small[rows] @ q.astype(np.float32)).astype(np.float64)
+            q = q.astype(np.float32)
+            return ((self.small @ q)[rows] if many else self.small[rows] @ q).astype(np.float64)
         if reach < 2**53:
-            return self.x[rows] @ q
+            return (self.x @ q)[rows] if many else self.x[rows] @ q
         ints = [int(c) for c in q]
         return np.array([sum(int(c) * d for c, d in zip(self.x[r], ints)) for r in rows], dtype=object)
 
     def top(self, query_id: int, q: np.ndarray, k: int, first_depth: int = 64) -> list[tuple[int, int]]:
         """(score, id) of the k best other rows: greatest score, then smallest id.
 
-        The lists are walked together, all to one depth, which doubles from `first_depth`. A row is scored when the first list
-        shows it. No row that is still unseen has a component beyond a list's edge there, which bounds its score.
+        The lists of the dimensions that the query weighs are walked from the end that its sign asks for. A row is scored when the
+        first list shows it. No row that is still unseen has a component beyond any list's edge, the last entry read or the first one of
+        a list not read yet; that bounds its score. A step doubles the depth, from `first_depth`, of those lists where an entry lowers the bound
+        most (at least a quarter as much as in the best one); nothing below these depths is read. Once half of the rows are scored, the
+        rest are scored in one product, which then costs less than reading on.
         """
-        n, up, down = len(self.ids), np.flatnonzero(q > 0), np.flatnonzero(q < 0)
+        n, dims = len(self.ids), np.flatnonzero(q)
+        w, flip = q[dims], q[dims] < 0
         reach = float(np.abs(q).max(initial=0)) * self.most * max(1, len(q))
         exact = reach < 2**53
-        shown = np.zeros(n, dtype=np.int32)  # how deep the first list shows a row; a zero query's rows are all shown at once
-        if len(up) or len(down):
-            shown.fill(n)
-            if len(up):
-                np.minimum(shown, self.rank[up].min(axis=0), out=shown)
-            if len(down):
-                np.minimum(shown, n - 1 - self.rank[down].max(axis=0), out=shown)
+        unseen, at = np.ones(n, dtype=bool), np.zeros(len(dims), dtype=np.int64)
+
+        def edge(depth: np.ndarray) -> np.ndarray:
+            return self.edges[dims, np.where(flip, n - depth, depth - 1)]
+
         best_rows, best_scores = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=float if exact else object)
-        done, depth, seen = 0, min(n, first_depth), 0
+        seen, now = 0, edge(np.ones_like(at)) if n else w
         while seen < n:
-            rows = np.flatnonzero((shown >= done) & (shown < depth))
+            if 2 * seen >= n or not len(dims):  # a zero query weighs nothing, and all rows score alike
+                rows = np.flatnonzero(unseen)
+            else:
+                to = np.minimum(n, np.maximum(first_depth, 2 * at))
+                then, ahead = edge(to), np.maximum(to - at, 1)
+                gain = w * (now - then) / ahead
+                chosen = np.flatnonzero((to > at) & (gain >= gain.max() / 4))
+                cells = np.concatenate([self.lists[dims[i], n - to[i] : n - at[i]] if flip[i] else self.lists[dims[i], at[i] : to[i]] for i in chosen])
+                at[chosen], now[chosen] = to[chosen], then[chosen]
+                self.touched += len(cells)
+                if len(cells) < n >> 3:
+                    rows = np.unique(cells[unseen[cells]])
+                else:
+                    shown = np.zeros(n, dtype=bool)
+                    shown[cells] = True
+                    rows = np.flatnonzero(shown & unseen)
+            unseen[rows] = False
             seen += len(rows)
             rows = rows[self.ids[rows] != query_id]
             if len(rows):
@@ -354,12 +372,10 @@ class SortedLists:
                 best_rows, best_scores = best_rows[order], best_scores[order]
             if seen < n and len(best_rows) == k:
                 # Rows are in order of id, so an unseen row that ties could still win: only a lower bound stops the walk.
-                ends = [(d, self.edges[depth - 1, d]) for d in up] + [(d, self.edges[n - depth, d]) for d in down] if not exact else ()
-                bound = float(self.edges[depth - 1, up] @ q[up] + self.edges[n - depth, down] @ q[down]) if exact else sum(int(c) * int(q[d]) for d, c in ends)
+                bound = float(now @ w) if exact else sum(int(c) * int(d) for c, d in zip(now, w))
                 if bound < best_scores[-1]:
                     self.stops += 1
                     break
-            done, depth = depth, min(n, 2 * depth)
         return [(int(s), int(self.ids[r])) for s, r in zip(best_scores, best_rows)]
 
 

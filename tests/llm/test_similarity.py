@@ -250,15 +250,37 @@ def test_bound_ends_walks(spread):
     assert lists.stops >= 12 and lists.scored < 0.6 * 16 * 8000
 
 
-def test_walk_scores_only_what_it_shows():
-    """The rows scored are those that the lists show down to the depth where the walk stopped."""
+def test_walk_reads_only_what_it_shows():
+    """The rows scored, and the list entries read, are those down to the depth where the walk stopped."""
     rng = np.random.default_rng(8)
     x = np.floor(64 * rng.standard_normal((3000, 2)))
     lists = embeddings.SortedLists(np.arange(3000), x)
     q = np.array([100.0, -1.0])
     assert lists.top(-1, q, 5)[0][0] == int((x @ q).max())
-    depth = next(d for d in (64 << i for i in range(10)) if lists.scored <= 2 * d)
-    assert lists.stops == 1 and lists.scored <= 2 * depth < 3000
+    assert lists.stops == 1 and lists.touched in {64 << i for i in range(6)} and lists.scored <= lists.touched
+    one = embeddings.SortedLists(np.arange(3000), x)
+    one.top(-1, np.array([100.0, 0.0]), 5)
+    assert one.touched == 64  # a dimension that the query doesn't weigh is not walked
+
+
+def test_bound_saves_time():
+    """Where the bound stops walks, they take less time than a scan of all rows that sorts what it found, and read few entries."""
+    import time
+
+    rng = np.random.default_rng(9)
+    x = np.floor(4096 * rng.standard_normal((60_000, 8)) * 0.3 ** np.arange(8))
+    lists, queries = embeddings.SortedLists(np.arange(60_000), x), x[:100]
+    start = time.perf_counter()
+    got = [lists.top(-1, q, 20) for q in queries]
+    walked, start = time.perf_counter() - start, time.perf_counter()
+    want = []
+    for q in queries:
+        s = x @ q
+        best = np.lexsort((np.arange(len(s)), -s))[:20]
+        want.append([(int(s[i]), int(i)) for i in best])
+    scanned = time.perf_counter() - start
+    assert got == want
+    assert lists.stops >= 90 and lists.touched < 0.05 * 100 * x.size and walked < scanned / 2
 
 
 def test_vector_tables_may_be_empty(spark):
