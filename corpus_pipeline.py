@@ -46,7 +46,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes every run of sentences that stands before, by doc_id and place; no row goes, so a document may end up empty."""
-    cleaned = substring.dedup_substrings(docs)
+    cleaned = substring.dedup_substrings(docs, substring.CLAUSES)
     return _with_length(cleaned.drop(cleaned.columns[-1]))
 
 
