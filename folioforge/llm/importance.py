@@ -4,14 +4,14 @@ Features (runs of one to `longest` words) are hashed into buckets; a bucket's ga
 and in the documents, in thousandths. Gains are one array, and a document's weight is the sum of its features' entries there. Gumbel
 noise by doc_id makes the highest scores a draw without replacement in proportion to exp(weight).
 
-Scores are integers, so ranks need no sort of the documents: counts by score, summed from the top over blocks of 65,536
+Scores are integers, so ranks need no sort of the documents: counts by score, summed from the top over blocks of 4,096
 scores and then inside a block, say how many documents stand above each score. The cutoff is the last score that any drawn
 document has. Only documents from the cutoff on are numbered, by doc_id within a score, and offset by what stands above.
 
 Rows: a null text has no words; null doc_ids read as empty for the noise and come last in ties; repeated rows count and are
 drawn each; extra columns are dropped; an empty table, or an empty target, works as any other (gains then rest on the smoothing).
 Texts are read whole, in pieces. Bucket counts and gains hold `buckets` numbers, whatever the input. Blocks hold at most
-65,536 counts each, and there are as many as the scores' range has: 10,000 words of a text are some thousand blocks at most.
+4,096 counts each; a text's words span some blocks a thousand words, so blocks with counts grow with the longest texts, not with the rows.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import own_tables, small_batches, write_table
 
 BUCKETS, LEAST_WORDS, SEED, PERCENT, LONGEST = 10_000, 20, 2024, 10, 1
-BLOCK = 1 << 16
+BLOCK = 1 << 12
 #: Bytes of a text that are parted into words at once.
 PIECE = 1 << 20
 TABLE_WORDS, TABLE_WORD_BYTES = 200_000, 64
