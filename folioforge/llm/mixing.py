@@ -6,7 +6,7 @@ source first (each document once an epoch), and what remains by a weighted sampl
 Spirakis): each document gets an exponential key divided by its quality weight, and documents are taken in order of key until the
 remaining words are used up. The document at the edge is taken in part, so a source's words are its target rounded down.
 
-No source is sorted as a whole. Keys fall into buckets of about 20,000 rows by their distribution function, the buckets'
+No source is sorted as a whole. Keys fall into buckets of about 2,000 rows by their distribution function, the buckets'
 sizes are summed, and only the bucket at the edge is sorted and summed row by row. So a source with a third of all rows is no
 hot task: its rows stay where they are, but for those of one bucket.
 
@@ -28,7 +28,7 @@ MOST_EPOCHS = 3
 SEED = 13
 #: Weights of documents of quality 0, of unknown quality, and of quality 1.
 QUALITY_WEIGHTS = (1.0, 2.0, 4.0)
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 2_000
 #: A table of sources up to this many rows and letters is sent to all executors; a larger one is joined in parts.
 SENT_SOURCES, SENT_LETTERS, PARTS = 100_000, 4_000_000, 64
 
