@@ -2,6 +2,7 @@
 
 import random
 
+import plain_inline
 import pytest
 from pyspark.sql import functions as F
 
@@ -186,14 +187,30 @@ def test_blocks(spark):
 
 
 def test_inline():
-    short = lambda t: [(r["content"], r["url"], *(k for k in ("bold", "italic", "code") if r[k])) for r in inline.parse_inline(t)]
+    short = lambda t: [(r["content"], r["url"], *(k for k in ("bold", "italic", "code") if r[k])) for r in plain_inline.parse_inline(t)]
     assert short("**muy *importante* hoy**") == [("muy ", None, "bold"), ("importante", None, "bold", "italic"), (" hoy", None, "bold")]
     assert short("ve [a](https://x) o https://y, `c*d*`") == [("ve ", None), ("a", "https://x"), (" o ", None), ("https://y,", "https://y,"), (" ", None), ("c*d*", None, "code")]
     assert short(r"\*x\* **a") == [("*x* **a", None)] and short("") == []
-    assert [len(x) for x in inline.cuts("a" * 2000)] == [2000]
-    assert [len(x) for x in inline.cuts("a" * 1990 + " " + "b" * 50)] == [1990, 51]
-    assert [len(x) for x in inline.cuts("a" * 2100)] == [2000, 100]
-    assert "".join(inline.cuts("😀" * 1500)) == "😀" * 1500 and len(inline.cuts("😀" * 1500)) == 2
+    assert [len(x) for x in plain_inline.cuts("a" * 2000)] == [2000]
+    assert [len(x) for x in plain_inline.cuts("a" * 1990 + " " + "b" * 50)] == [1990, 51]
+    assert [len(x) for x in plain_inline.cuts("a" * 2100)] == [2000, 100]
+    assert "".join(plain_inline.cuts("😀" * 1500)) == "😀" * 1500 and len(plain_inline.cuts("😀" * 1500)) == 2
+
+
+def test_inline_expressions(spark):
+    """The expressions in the JVM against the scanner, over texts made of marks."""
+    rnd = random.Random(11)
+    parts = ["*", "**", "***", "`", "[", "]", "](https://x.y/z)", "[a](b)", "https://e.fg/h", "http", "ftp://q", "\\", "\\*", "a", "bc d", " ", "\n", "\x00", "\x01", "😀", "é", "<", ")", "**b**", "*i*", "`c`", "\u2003", "h", "f"]
+    texts = ["".join(rnd.choice(parts) for _ in range(rnd.randint(0, 14))) for _ in range(4000)]
+    texts += [None, "", "a" * 2000, "a" * 2001, "a" * 1990 + " " + "b" * 50, "😀" * 1500, "a" + "😀" * 1500, "\uffff" + "😀" * 1500, "x " * 3000, ("y" * 900 + "\n") * 9, "**" + "z" * 4100 + "** *" + "w " * 1500 + "*", "h" * 30_000, "\\a" * 5000]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    got = {r["i"]: r for r in df.select("i", inline.inline_runs(F.col("t")).alias("r"), inline.plain_runs(F.col("t")).alias("p"), inline.code_runs(F.col("t")).alias("c")).collect()}
+    for i, t in enumerate(texts):
+        assert [r.asDict() for r in got[i]["r"]] == plain_inline.parse_inline(t or ""), t
+        assert [r.asDict() for r in got[i]["p"]] == plain_inline.split_runs([plain_inline.run(t or "")])
+        assert [r.asDict() for r in got[i]["c"]] == [plain_inline.run(t or "", code=True)]
+    plan = df.select(inline.inline_runs(F.col("t")))._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
 
 
 def test_stream(spark, tmp_path):
