@@ -222,6 +222,15 @@ SELECT slug, CASE WHEN problem IS NULL THEN CASE WHEN known THEN 'update' ELSE '
     "k_course_steps": f"""WITH c AS (SELECT s_name AS slug, s_suppkey % 3 = 0 AS known, s_suppkey % 11 = 0 AS dry, s_suppkey % 3 <> 0 AND s_suppkey % 5 = 0 AS bad, CASE WHEN s_suppkey % 4 = 0 THEN s_name ELSE {_title("'web-' || s_name")} END AS title, CASE WHEN s_suppkey % 2 = 0 THEN 'En curso' ELSE 'Terminado' END AS status FROM supplier),
 s AS (SELECT slug, title, status, CASE WHEN dry THEN CASE WHEN known THEN ['push dry'] ELSE ['show'] END WHEN known THEN ['push', 'save', 'update'] ELSE ['create', 'save', 'push', 'update'] END AS steps FROM c WHERE NOT bad)
 SELECT slug, unnest(range(len(steps)))::INT AS step_no, unnest(steps) AS step, title, status FROM s""",
+    "k_payloads": """WITH c AS (SELECT s_name AS slug, 'Curso "' || s_name || '"' AS title, CASE WHEN s_suppkey % 2 = 0 THEN 'En curso' ELSE 'Terminado' END AS status, s_nationkey AS n, s_suppkey FROM supplier), t AS (SELECT '"Última sincronización":{"date":{"start":"2024-01-02T03:04:05Z"}}' AS synced)
+SELECT slug, 'POST' AS method, '/pages' AS endpoint, '{"parent":{"database_id":"db"},"properties":{"Título":{"title":[{"type":"text","text":{"content":' || to_json(title)::VARCHAR || '}}]},"Área":{"select":{"name":"Web"}},"Plataforma":{"select":{"name":"Libre"}},"Estado":{"select":{"name":"' || status || '"}},"Módulos":{"number":' || n || '},"Archivo origen":{"rich_text":[{"type":"text","text":{"content":' || to_json(slug || '.docx')::VARCHAR || '}}]},' || synced || '}}' AS body FROM c, t
+UNION ALL SELECT slug, 'PATCH', '/pages/page-' || s_suppkey, '{"properties":{"Módulos":{"number":' || n || '},' || synced || '}}' FROM c, t""",
+    "k_titles": f"""WITH f AS (SELECT p_partkey, p_size, p_brand, lpad(p_partkey::VARCHAR, 5, '0') || '-' || {slug('p_name')} AS stem, replace({slug('p_name')}, '-', ' ') AS said FROM part)
+SELECT stem, p_partkey::INT AS module_no, CASE WHEN p_size % 2 = 0 THEN 'Módulo ' || p_brand ELSE upper(said[1]) || said[2:] END AS title FROM f""",
+    "k_state_files": f"""WITH {_PLAN} SELECT parent_id, module_no, page_id, done, NULL AS synced FROM state
+UNION ALL SELECT 'c-' || c_custkey, NULL, c_custkey::VARCHAR, fresh, CASE WHEN fresh THEN '2025-01-01' ELSE '2024-01-02' END FROM (SELECT c_custkey, (c_custkey % 2 = 0 OR c_custkey % 3 <> 0) AND NOT (c_custkey % 3 = 0 AND c_custkey % 5 = 0) AS fresh FROM customer)""",
+    "s_parents": f"""SELECT o_custkey::VARCHAR AS parent_id, (row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1)::INT AS position, 'page-' || o_orderkey AS block_id, NULL AS title FROM orders
+UNION ALL SELECT c_custkey || '' || c_custkey, NULL, NULL, CASE WHEN c_custkey % 3 = 0 THEN {sql(P.NO_TITLE)} ELSE c_name END FROM customer""",
     "o_options": """WITH RECURSIVE i AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS i FROM events),
 t AS (SELECT user_id || '/' || (i // 7) AS run_id, (i % 7)::INT AS pos, CASE event_type WHEN 'view' THEN CASE WHEN event_id % 2 = 0 THEN '--area' ELSE '--titulo' END WHEN 'signup' THEN '--estado' WHEN 'click' THEN CASE WHEN event_id % 2 = 0 THEN '--dry-run' ELSE '--force' END
 ELSE CASE WHEN event_id % 3 = 0 THEN '' ELSE 'v' || event_id END END AS token FROM i),

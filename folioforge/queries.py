@@ -13,7 +13,7 @@ from .functions import predicates as pr
 from .functions import text as tx
 from .operators import blocks, context, language, lines, modules, nesting, render, segments, units
 from .plans import course, options, push, state_log, sync
-from .sources import media, sinks, versions
+from .sources import media, readers, sinks, versions
 from .sources.staging import shared_folder, spread, staged
 from .streaming import incremental
 from .streaming.jobs import structure
@@ -453,6 +453,48 @@ def k_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found
 
 
+def k_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The requests that make and update the rows of courses made from suppliers."""
+    s = table(spark, sf_dir, "supplier")
+    x = s.select(F.col("s_name").alias("slug"), F.concat(F.lit('Curso "'), "s_name", F.lit('"')).alias("title"), F.lit("Web").alias("area"), F.lit("Libre").alias("platform"), F.when(F.col("s_suppkey") % 2 == 0, "En curso").alias("status"), F.col("s_nationkey").cast("long").alias("modules"), F.concat("s_name", F.lit(".docx")).alias("source"), F.lit("2024-01-02T03:04:05Z").alias("synced"), F.concat(F.lit("page-"), F.col("s_suppkey").cast("string")).alias("page_id"))
+    return sync.course_payload(x, "db").unionByName(sync.course_update(x))
+
+
+def k_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Titles of module files made from parts, from the manifest where it has their number."""
+    p = table(spark, sf_dir, "part")
+    files = p.select(F.concat(F.lpad(F.col("p_partkey").cast("string"), 5, "0"), F.lit("-"), tx.slugify(F.col("p_name"))).alias("stem"))
+    return sync.module_titles(files, p.where("p_size % 2 = 0").select(F.col("p_partkey").cast("int").alias("module_no"), F.concat(F.lit("Módulo "), "p_brand").alias("title")))
+
+
+def k_state_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A state made from orders and a registry made from customers, written as JSON texts and read back."""
+    path = f"{shared_folder(spark)}/state-files-{uuid.uuid4().hex}"
+    _, state = _plan_tables(spark, sf_dir)
+    sinks.write_json_texts(sinks.state_json(state), f"{path}/state")
+    registry = k_registry(spark, sf_dir).withColumns({c: F.to_timestamp(c) for c in ("created_at", "last_synced_at")})
+    sinks.write_json_texts(sinks.registry_json(registry), f"{path}/registry")
+    read = readers.read_registry(spark, f"{path}/registry")
+    rows = readers.read_state(spark, f"{path}/state").select("parent_id", "module_no", "page_id", "done", F.lit(None).cast("string").alias("synced"))
+    courses = read.select(F.col("slug").alias("parent_id"), F.lit(None).cast("int").alias("module_no"), "page_id", (F.col("docx_hash") != "old").alias("done"), F.date_format("last_synced_at", "yyyy-MM-dd").alias("synced"))
+    found, _ = staged(rows.unionByName(courses), "state-files")
+    versions.remove(spark, path)
+    return found
+
+
+def s_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Listings made from orders as children in order, and titles of pages made from customers."""
+    o, c = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
+    listed = F.transform(F.array_sort(F.collect_list("o_orderkey")), lambda k: F.struct(F.concat(F.lit("page-"), k.cast("string")).alias("id")))
+    children = course.children_of(o.groupBy(F.col("o_custkey").cast("string").alias("parent_id")).agg(listed.alias("results")))
+    part = lambda *c: F.array(*[F.struct(x.alias("plain_text")) for x in c])
+    title = F.when(F.col("c_custkey") % 3 == 0, F.array().cast("array<struct<plain_text:string>>")).otherwise(part(F.col("c_name"), F.lit("!")))
+    prop = lambda name, kind, t: F.struct(F.lit(name).alias("name"), F.lit(kind).alias("type"), t.alias("title"))
+    pages = c.select(F.concat(F.col("c_custkey").cast("string"), F.lit("-"), F.col("c_custkey").cast("string")).alias("id"), F.array(prop("n", "number", part(F.lit("no"))), prop("t", "title", title)).alias("properties"))
+    titles = course.parent_titles(pages)
+    return children.select("parent_id", "position", "block_id", F.lit(None).cast("string").alias("title")).unionByName(titles.select(F.col("page_id").alias("parent_id"), F.lit(None).cast("int").alias("position"), F.lit(None).cast("string").alias("block_id"), "title"))
+
+
 def o_options(spark: SparkSession, sf_dir: str) -> DataFrame:
     """O3: command lines of up to seven tokens made from the events of a user."""
     w = Window.partitionBy("user_id").orderBy("event_id")
@@ -471,6 +513,6 @@ QUERIES = {
         t_lines, t_fences, t_fences_segmented, t_units, t_unit_counts, t_headings, m_modules, u_kinds, u_kinds_segmented, u_resolve_unknowns, l_languages,
         r_modules, r_incremental, r_manifests, r_join_dangling, b_blocks, b_page_blocks, b_list_depths, b_nested, b_nested_lists, b_batches,
         k_push_actions, k_pending, k_positions, k_registry, k_images, k_requests, k_push_sequence, k_attach_windows, k_retries,
-        k_commit, k_uploads, k_sync_runs, k_course_runs, k_course_steps, k_state_log, k_media, o_options,
+        k_commit, k_uploads, k_sync_runs, k_course_runs, k_course_steps, k_state_log, k_media, k_payloads, k_titles, k_state_files, s_parents, o_options,
     )
 }

@@ -97,21 +97,48 @@ def read_settings(text: str) -> dict[str, str]:
     return {k: os.environ.get(k, v) for k, v in found.items()}
 
 
-def convert_documents(files: DataFrame, convert) -> DataFrame:
-    """(path, text, error) of binary documents (path, content), by a function from bytes to markdown run on the executors.
+#: More than this a converter's output isn't taken.
+MOST_OUTPUT = 512 * 1024 * 1024
 
-    The converter is external to this library; a document that it fails on gives its error and no text.
+
+def command_converter(command: list[str]):
+    """A converter for `convert_documents` that runs a program: the document on its input, markdown on its output. Nothing is written to disk."""
+
+    def convert(content: bytes) -> str:
+        import subprocess
+
+        return subprocess.run(command, input=content, capture_output=True, check=True).stdout.decode("utf-8")
+
+    return convert
+
+
+def convert_documents(files: DataFrame, convert, most: int = MOST_OUTPUT) -> DataFrame:
+    """(path, text, problem, error) of binary documents (path, content), by a function from bytes to markdown run on the executors.
+
+    The converter is external to this library. A document that it fails on has no text but a problem: `no converter` if its program isn't
+    there, `status N` if it ended so, `too long` if its text has more than `most` bytes, else `failed`; `error` says what it said.
+    Null content has the problem `no content`.
     """
     import pandas as pd
 
+    def one(content: bytes | None) -> tuple[str | None, str | None, str | None]:
+        import subprocess
+
+        if content is None:
+            return None, "no content", None
+        try:
+            text = convert(bytes(content))
+        except FileNotFoundError as e:
+            return None, "no converter", str(e)
+        except subprocess.CalledProcessError as e:
+            return None, f"status {e.returncode}", (e.stderr or b"").decode("utf-8", "replace")
+        except Exception as e:  # noqa: BLE001  any converter, any failure: it goes into the row
+            return None, "failed", f"{type(e).__name__}: {e}"
+        size = len(text.encode("utf-8", "surrogatepass"))
+        return (text, None, None) if size <= most else (None, "too long", f"{size} bytes")
+
     def run(parts):
         for p in parts:
-            rows = []
-            for path, content in zip(p["path"], p["content"]):
-                try:
-                    rows.append((path, convert(bytes(content)), None))
-                except Exception as e:  # noqa: BLE001  any converter, any failure: it goes into the row
-                    rows.append((path, None, f"{type(e).__name__}: {e}"))
-            yield pd.DataFrame(rows, columns=["path", "text", "error"])
-
-    return files.select("path", "content").mapInPandas(run, "path string, text string, error string")
+            yield pd.DataFrame([(path, *one(content)) for path, content in zip(p["path"], p["content"])], columns=["path", "text", "problem", "error"])
+
+    return files.select("path", "content").mapInPandas(run, "path string, text string, problem string, error string")

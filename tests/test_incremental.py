@@ -162,3 +162,14 @@ def test_registry_takes_the_last_entry(spark):
     with pytest.raises(Exception):  # noqa: B017  the column must exist
         sync.upsert_courses(none, new, F.lit("t1"), order="nope")
     assert readers.STATE.startswith("parent_id")
+
+
+def test_converters(spark):
+    files = spark.createDataFrame([("a", b"# hola"), ("b", None), ("c", b"x" * 9)], "path string, content binary")
+    told = lambda convert, most=8: [(r["path"], r["text"], r["problem"]) for r in readers.convert_documents(files, convert, most).orderBy("path").collect()]
+    assert told(readers.command_converter(["cat"])) == [("a", "# hola", None), ("b", None, "no content"), ("c", None, "too long")]
+    assert [p for _, _, p in told(readers.command_converter(["no-such-program-here"]))] == ["no converter", "no content", "no converter"]
+    assert [p for _, _, p in told(readers.command_converter(["sh", "-c", "echo bad >&2; exit 3"]))] == ["status 3", "no content", "status 3"]
+    assert [p for _, _, p in told(lambda content: 1 / 0)] == ["failed", "no content", "failed"]
+    said = readers.convert_documents(files, readers.command_converter(["sh", "-c", "echo bad >&2; exit 3"])).where("path = 'a'").first()
+    assert said["error"] == "bad\n"
