@@ -24,6 +24,8 @@ from .common import batches, own_tables, small_batches, texts_of, write_table
 WINDOW = 4096
 END_ID = 2
 TABLE_WORDS = 400_000
+#: Longer chunks are encoded again where they come again.
+KEPT_LETTERS = 200
 #: Letters that lower-case and compose alone (A-Z, a-z and those of Latin-1), then closing punctuation.
 _SIMPLE = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
 
@@ -98,9 +100,15 @@ class WordTable:
             self.chunks = {"": b""}
         if len(self.words) > self.most:
             self.words = {}
-        self._add([w for w in seen if w not in self.chunks])
+        new = [w for w in seen if w not in self.chunks]
+        self._add(new)
         get = self.chunks.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+        out = [b"".join(map(get, words)) for words in split]
+        for w in new:  # kept chunks are short, so the tables' bytes are bounded as their entries are
+            if len(w) > KEPT_LETTERS:
+                del self.chunks[w]
+                self.words.pop(w.rstrip(".,;:!?").lower(), None)
+        return out
 
 
 _tables: dict = {}

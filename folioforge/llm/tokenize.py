@@ -22,6 +22,8 @@ from .common import batches, own_tables, small_batches, texts_of
 
 MARK = "▁"
 TABLE_WORDS = 400_000
+#: Longer words are segmented again where they come again.
+KEPT_LETTERS = 200
 _RUNS = re.compile(" +[^ ]*")
 
 
@@ -82,9 +84,14 @@ class MarkedWordTable:
             seen.update(words)
         if len(self.ids) > self.most:
             self.ids.clear()
-        self.segment([w for w in seen if w not in self.ids])
+        new = [w for w in seen if w not in self.ids]
+        self.segment(new)
         get = self.ids.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+        out = [b"".join(map(get, words)) for words in split]
+        for w in new:  # kept words are short, so the table's bytes are bounded as its entries are
+            if len(w) > KEPT_LETTERS:
+                del self.ids[w]
+        return out
 
 
 _tables: dict = {}

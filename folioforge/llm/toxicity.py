@@ -10,8 +10,8 @@ the model is a small table.
 
 Training takes a bounded sample of the labelled rows (`sample_positive`, `sample_negative`: at most so many of either
 label, by hash of doc_id); rows that are weighted back to the labels' own shares. Its texts are taken apart on the
-executors; what comes to the driver is the vocabulary and, for each document, the vocabulary's features by sentence. The
-same tables give the same model. Scoring covers every document whole.
+executors; what comes to the driver is the vocabulary and, for each document, the vocabulary's features by sentence, of at
+most `SAMPLE_SENTENCES` sentences. The same tables give the same model. Scoring covers every document whole.
 
 Rows: a null or empty text has no sentence and scores 0; rows with a null doc_id are scored, never learnt from; labels
 that are null are skipped, and a document with several labels is toxic if one says so; of several texts with one doc_id
@@ -38,6 +38,8 @@ from .common import batches, fresh_name, own_tables, sentence_spans, small_batch
 BIAS = -9.0
 THRESHOLD = 0.3
 SAMPLE_POSITIVE, SAMPLE_NEGATIVE = 2000, 3000
+#: Of a sampled document with more sentences that have a feature, so many are learnt from, evenly spread. Scoring takes all.
+SAMPLE_SENTENCES = 5000
 LEAST_DOCUMENTS = 3
 PREFIXES = (3, 4, 5, 6)
 _WORD = re.compile(r"[^\W\d_]+")
@@ -130,6 +132,11 @@ def bags_of(sample: DataFrame, vocabulary: dict[str, int], weights: tuple[float,
                         columns += sorted(found)
                     else:
                         plain += 1
+                if len(sizes) > SAMPLE_SENTENCES:
+                    ends = np.cumsum(sizes)
+                    some = np.linspace(0, len(sizes) - 1, SAMPLE_SENTENCES).astype(np.int64)
+                    columns = np.concatenate([columns[ends[i] - sizes[i] : ends[i]] for i in some]).tolist()
+                    sizes = [sizes[i] for i in some]
                 for column, value in zip(rows, (plain, sizes, columns)):
                     column.append(value)
             yield wrap([*b.columns[:2], *rows])

@@ -24,6 +24,20 @@ def docs(spark, texts, extra=True):
     return df if extra else df.select("doc_id", "text")
 
 
+def test_tables_keep_short_words_only():
+    """Long words are right the first time and again, and not kept."""
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    texts = ["ab " + "x" * 5000 + " cd", "y" * 300 + ".", "Ab " + "x" * 5000]
+    marked, tok, sp = tokenize.MarkedWordTable(PIECES), Tokenizer.from_file(WORDS), sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    packed = pack.WordTable(WORDS)
+    for _ in range(2):
+        assert marked.encode(texts) == [np.array(sp.encode(t), "<u4").tobytes() for t in texts]
+        assert packed.encode(texts) == [np.array(tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert max(map(len, marked.ids)) < 200 and max(map(len, packed.chunks)) < 200 and max(map(len, packed.words)) < 200
+
+
 # ---- chat ------------------------------------------------------------------------------------------
 
 
