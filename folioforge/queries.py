@@ -101,8 +101,9 @@ def f_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often each predicate holds, over the lines of the corpus and of all documents."""
     x = corpus_lines(spark, sf_dir).select("line").unionByName(document_lines(spark, sf_dir))
+    x = x.groupBy("line").agg(F.count("*").alias("n"))  # each distinct line is looked at once
     tests = {n: pr.named(F.col("line"), n) for n in pr.NAMED} | {"file_token": tx.matches(F.col("line"), P.FILE_TOKEN, "i"), "function_word": tx.matches(F.col("line"), P.SPANISH_FUNCTION_WORD, "i")}
-    sums = x.agg(*[F.sum(c.cast("long")).alias(n) for n, c in tests.items()])
+    sums = x.agg(*[F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0)).alias(n) for n, c in tests.items()])
     return sums.select(F.explode(F.map_from_arrays(F.array(*map(F.lit, tests)), F.array(*tests))).alias("predicate", "n"))
 
 
@@ -117,7 +118,8 @@ def c_line_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The kind of every line of the corpus, of all documents and of all pages."""
     pages = spread(table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), F.col("html").alias("text")))
     x = corpus_lines(spark, sf_dir).select("line").unionByName(document_lines(spark, sf_dir)).unionByName(lines.split_lines(pages).select("line"))
-    return lines.classify_lines(x).groupBy("line_kind").agg(F.count("*").alias("n"), F.sum(F.length("line")).alias("chars"))
+    x = x.groupBy("line").agg(F.count("*").alias("n"))  # each distinct line is classified once
+    return lines.classify_lines(x).groupBy("line_kind").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.length("line")).alias("chars"))
 
 
 # ---- structure -------------------------------------------------------------------------------------

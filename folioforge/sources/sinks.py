@@ -1,5 +1,5 @@
-"""Sinks. A rerun overwrites what it wrote. Overwriting deletes first, so a table that is being read goes to another path, and a
-run that is cut off leaves no table until it is run again."""
+"""Sinks. What a run writes as a whole goes to a new version of its folder, so a run that is cut off changes nothing. Single files of
+JSON or text are overwritten by a rerun; that deletes first, so a table that is being read goes to another path."""
 
 from __future__ import annotations
 
@@ -12,15 +12,6 @@ from ..operators.render import manifest
 from .versions import publish
 
 
-def write_modules(rendered: DataFrame, path: str) -> None:
-    """Module texts as Parquet; a document's modules are beside each other, but documents share files."""
-    rendered.write.mode("overwrite").parquet(path)
-
-
-def write_manifests(manifests: DataFrame, path: str) -> None:
-    manifests.write.mode("overwrite").json(path)
-
-
 def reports(rendered: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, value): one text per document, its report lines in order of module, each with its line end."""
     lines = F.transform(F.array_sort(F.collect_list(F.struct("module_no", "report"))), lambda r: F.concat(r["report"], F.lit("\n")))

@@ -45,6 +45,15 @@ def test_objects_of_every_type(spark):
     assert callout[0][3]["paragraph"]["rich_text"][-1] == {"type": "text", "text": {"content": "a", "link": {"url": "https://b.c"}}}
 
 
+def test_blocks_are_written_nested(spark, tmp_path):
+    from folioforge.sources import sinks
+
+    df = spark.createDataFrame([("p", 1, "- a\n    - b\nc")], "parent_id string, module_no int, text string")
+    sinks.write_blocks(blocks.to_blocks(df, KEYS), KEYS, str(tmp_path / "b"))
+    got = spark.read.json(str(tmp_path / "b")).orderBy("block_no").collect()
+    assert json.loads(got[0]["json"]) == item("a", item("b")) and len(got) == 2
+
+
 def test_deep_trees(spark):
     """Any depth, against a stack."""
     rnd = random.Random(3)
