@@ -229,6 +229,7 @@ UNION ALL SELECT slug, 'PATCH', '/pages/page-' || s_suppkey, '{"properties":{"M
 SELECT stem, p_partkey::INT AS module_no, CASE WHEN p_size % 2 = 0 THEN 'Módulo ' || p_brand ELSE upper(said[1]) || said[2:] END AS title FROM f""",
     "k_state_files": f"""WITH {_PLAN} SELECT parent_id, module_no, page_id, done, NULL AS synced FROM state
 UNION ALL SELECT 'c-' || c_custkey, NULL, c_custkey::VARCHAR, fresh, CASE WHEN fresh THEN '2025-01-01' ELSE '2024-01-02' END FROM (SELECT c_custkey, (c_custkey % 2 = 0 OR c_custkey % 3 <> 0) AND NOT (c_custkey % 3 = 0 AND c_custkey % 5 = 0) AS fresh FROM customer)""",
+    "s_markdown": "SELECT c_nationkey::BIGINT AS nation, string_agg('- ' || c_name || chr(10), '' ORDER BY c_custkey) AS text, sha256(string_agg('- ' || c_name || chr(10), '' ORDER BY c_custkey)) AS hash FROM customer GROUP BY 1",
     "s_parents": f"""SELECT o_custkey::VARCHAR AS parent_id, (row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1)::INT AS position, 'page-' || o_orderkey AS block_id, NULL AS title FROM orders
 UNION ALL SELECT c_custkey || '' || c_custkey, NULL, NULL, CASE WHEN c_custkey % 3 = 0 THEN {sql(P.NO_TITLE)} ELSE c_name END FROM customer""",
     "o_options": """WITH RECURSIVE i AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS i FROM events),

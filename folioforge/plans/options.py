@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 #: The names that are set or not, and those that take a value, with the columns they fill.
 SWITCHES = {"--dry-run": "dry_run", "--force": "force"}
 VALUES = {"--area": "area", "--plataforma": "platform", "--estado": "status", "--titulo": "title"}
+#: Of a push of one file, which has no positionals but its file and overlooks other names.
+PUSH_VALUES = {"--modulo": "module", "--media": "media", "--parent": "parent_id"}
 
 
 def token_roles(tokens: DataFrame, key: str = "run_id", switches: dict = SWITCHES, values: dict = VALUES) -> DataFrame:

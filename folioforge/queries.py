@@ -484,6 +484,17 @@ def k_state_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found
 
 
+def s_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file of customers for each nation, written as text and read whole, with its name and hash."""
+    path = f"{shared_folder(spark)}/markdown-{uuid.uuid4().hex}"
+    c = table(spark, sf_dir, "customer").select("c_nationkey", "c_custkey", F.concat(F.lit("- "), "c_name").alias("value"))
+    c.repartition("c_nationkey").sortWithinPartitions("c_nationkey", "c_custkey").select("c_nationkey", "value").write.partitionBy("c_nationkey").text(path)
+    x = readers.read_markdown(spark, path).select(F.regexp_extract("path", "c_nationkey=([0-9]+)/", 1).cast("long").alias("nation"), "text")
+    found, _ = staged(x.select("nation", "text", tx.content_hash(F.col("text")).alias("hash")), "markdown-files")
+    versions.remove(spark, path)
+    return found
+
+
 def s_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Listings made from orders as children in order, and titles of pages made from customers."""
     o, c = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
@@ -515,6 +526,6 @@ QUERIES = {
         t_lines, t_fences, t_fences_segmented, t_units, t_unit_counts, t_headings, m_modules, u_kinds, u_kinds_segmented, u_resolve_unknowns, l_languages,
         r_modules, r_incremental, r_manifests, r_join_dangling, b_blocks, b_page_blocks, b_list_depths, b_nested, b_nested_lists, b_batches,
         k_push_actions, k_pending, k_positions, k_registry, k_images, k_requests, k_push_sequence, k_attach_windows, k_retries,
-        k_commit, k_uploads, k_sync_runs, k_course_runs, k_course_steps, k_state_log, k_media, k_payloads, k_titles, k_state_files, s_parents, o_options,
+        k_commit, k_uploads, k_sync_runs, k_course_runs, k_course_steps, k_state_log, k_media, k_payloads, k_titles, k_state_files, s_markdown, s_parents, o_options,
     )
 }

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import segments
 from ..operators.blocks import to_blocks
 from ..operators.context import settle_kinds
 from ..operators.modules import inner_units, modules_of, place_units
@@ -26,9 +27,13 @@ def settled_units(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     return settle_kinds(place_units(tokenize(docs, key), key), key)
 
 
-def structure(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Documents to rendered modules. The settled units are staged: rendering reads them several times, the documents once."""
-    units, _ = staged(settled_units(docs, key), "settled-units")
+def structure(docs: DataFrame, key: str = "doc_id", block_size: int | None = None) -> DataFrame:
+    """Documents to rendered modules. The settled units are staged: rendering reads them several times, the documents once.
+
+    With `block_size` documents are taken in blocks of so many lines, then units, for documents that are longer than a task.
+    """
+    settled = settled_units(docs, key) if block_size is None else segments.settled_units(docs, key, block_size)
+    units, _ = staged(settled, "settled-units")
     return render_modules(modules_of(units, key), inner_units(units), key)
 
 

@@ -95,3 +95,6 @@ def test_options(spark):
     two = options.parse_options(df, positionals=("docx_path", "parent_id", "module"), needed=2, values={})
     assert "area" not in two.columns and two.where("parent_id is null and problem is null").count() == 0
     assert options.parse_options(df.limit(0)).count() == 0
+    line = ["a.md", "--modulo", "3", "--odd", "--parent", "--force", "--media", "m"]
+    push = options.parse_options(spark.createDataFrame([(1, k, t) for k, t in enumerate(line)], "run_id int, pos int, token string"), positionals=("path",), values=options.PUSH_VALUES)
+    assert push.first().asDict() == {"run_id": 1, "path": "a.md", "module": "3", "media": "m", "parent_id": "--force", "dry_run": False, "force": False, "problem": None}

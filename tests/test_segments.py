@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from folioforge.operators import context, lines, modules, segments, units
 from folioforge.operators.prefix import running_before
-from folioforge.streaming.jobs import settled_units
+from folioforge.streaming.jobs import settled_units, structure
 
 PIECES = ["a", "", "```", "```js", "``` ", "```{=html}", "- item", "> cita", "# M {#m}", "# Contenido", "## Paso", "[a](#a)", "const x = 1;", "Esto es lo que hay que hacer", "x ![](./media/i.png){w=1} y", "![](m/j.png)", "valor", "};", "  "]
 
@@ -44,6 +44,11 @@ def test_modules_and_kinds(spark, size):
     assert rows(segments.place_units(tokens, size=size, keep_index=True).select(kept.columns), "doc_id", "unit_no") == rows(kept, "doc_id", "unit_no")
 
 
+def test_rendering_in_blocks(spark):
+    d = docs(spark, 9)
+    assert rows(structure(d, block_size=5), "doc_id", "module_no") == rows(structure(d), "doc_id", "module_no")
+
+
 def test_empty_and_null_kinds(spark):
     none = docs(spark, 0).limit(0)
     assert segments.settled_units(none).count() == 0 and segments.mark_fences(lines.split_lines(none), "doc_id").count() == 0
