@@ -170,6 +170,7 @@ SELECT path, folder, {slug("folder || '-' || stem")} AS slug, {_title("CASE WHEN
 SELECT name, n, CASE WHEN lower(trim(name)) IN ({', '.join(map(sql, P.SAFE_LANGUAGES))}) THEN lower(trim(name)) ELSE 'plain text' END AS language FROM n""",
     "f_hashes": "SELECT doc_id, sha256(text) AS hash, replace(source || '-' || doc_id || '-' || lang, '-', '') AS plain FROM documents",
     "p_predicates": f"{WITH}, x AS (SELECT * FROM {DOC_LINES}) " + " UNION ALL ".join(f"SELECT {sql(n)} AS predicate, coalesce(sum(CAST({c} AS BIGINT)), 0)::BIGINT AS n FROM x" for n, c in PREDICATES),
+    "p_line_predicates": f"{WITH} SELECT line, concat({', '.join(f'CAST(CAST({c} AS INT) AS VARCHAR)' for _, c in PREDICATES)}) AS holds FROM (SELECT DISTINCT line FROM {DOC_LINES})",
     "c_labels": f"{WITH}, x AS (SELECT line, count(*) AS n FROM {DOC_LINES} GROUP BY 1) SELECT line, n, {mixed('line')} AS mixed, {path_label('line')} AS path_label, {label('line')} AS label, {gloss('line')} AS gloss FROM x",
     "t_lines": f"SELECT doc_id, count(*) AS n_lines, max(length(line))::BIGINT AS longest FROM {lines_of('documents')} GROUP BY 1",
     "l_languages": f"""WITH c AS (SELECT 'p' || page_id AS id, replace(html, '>', '>' || chr(10)) AS code FROM pages UNION ALL SELECT 'o' || o_orderkey, {_CODE} FROM orders),

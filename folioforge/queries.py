@@ -107,6 +107,20 @@ def p_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sums.select(F.explode(F.map_from_arrays(F.array(*map(F.lit, tests)), F.array(*tests))).alias("predicate", "n"))
 
 
+def p_line_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P1 to P11 line by line: which predicates hold for each distinct line, as digits in their order."""
+    x = corpus_lines(spark, sf_dir).select("line").unionByName(document_lines(spark, sf_dir)).distinct()
+    tests = [pr.named(F.col("line"), n) for n in pr.NAMED] + [tx.matches(F.col("line"), P.FILE_TOKEN, "i"), tx.matches(F.col("line"), P.SPANISH_FUNCTION_WORD, "i")]
+    return x.select("line", F.concat(*[c.cast("int").cast("string") for c in tests]).alias("holds"))
+
+
+def c_kinds_by_line(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C4, C6 and C7 line by line: the kind of each distinct line of the corpus, of all documents and of all pages."""
+    pages = spread(table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), F.col("html").alias("text")))
+    x = corpus_lines(spark, sf_dir).select("line").unionByName(document_lines(spark, sf_dir)).unionByName(lines.split_lines(pages).select("line"))
+    return lines.classify_lines(x.groupBy("line").agg(F.count("*").alias("n")))
+
+
 def c_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """C1, C2, C3 and C5 over the lines of the corpus and of all documents."""
     x = corpus_lines(spark, sf_dir).select("line").unionByName(document_lines(spark, sf_dir))
@@ -242,7 +256,7 @@ def r_join_dangling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def b_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every block of the rendered corpus."""
+    """Every block of the rendered corpus."""
     x = blocks.to_blocks(structure(conversation_markdown(spark, sf_dir)), KEYS)
     return x.select(*KEYS, "block_no", "type", "language", "token", "depth", "parent_no", blocks.rich_text_json(F.col("rich_text")).alias("rich_text"))
 
@@ -260,6 +274,12 @@ def b_list_depths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blocks.effective_depth(x, ["id"], "no").select("id", "no", "level", "parent")
 
 
+def b_image_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The images of every module of the rendered corpus, in order, repeated ones too."""
+    x = blocks.block_rows(structure(conversation_markdown(spark, sf_dir)), KEYS)
+    return blocks.image_refs(x, KEYS)
+
+
 def b_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rendered corpus as JSON objects with children, images as markers, which is what a push starts from."""
     x = blocks.to_blocks(structure(conversation_markdown(spark, sf_dir)), KEYS, image_mode="marker")
@@ -384,7 +404,7 @@ def k_retries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def k_commit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """K9: the state after a push of what was open."""
+    """K6: the state after a push of what was open."""
     mods, state = _plan_tables(spark, sf_dir)
     pushed = sync.pending(mods, state).select("parent_id", "module_no", F.concat(F.lit("new-"), F.col("module_no").cast("string")).alias("page_id"), (F.col("module_no") % 2 == 0).alias("done"))
     return sync.commit_state(state, pushed)
@@ -522,9 +542,9 @@ QUERIES = {
     f.__name__: f
     for f in (
         f_unescape, f_line_measures, f_line_comment, f_slugs, f_paths, f_languages, f_hashes,
-        p_predicates, c_labels, c_line_kinds,
+        p_predicates, p_line_predicates, c_labels, c_line_kinds, c_kinds_by_line,
         t_lines, t_fences, t_fences_segmented, t_units, t_unit_counts, t_headings, m_modules, u_kinds, u_kinds_segmented, u_resolve_unknowns, l_languages,
-        r_modules, r_incremental, r_manifests, r_join_dangling, b_blocks, b_page_blocks, b_list_depths, b_nested, b_nested_lists, b_batches,
+        r_modules, r_incremental, r_manifests, r_join_dangling, b_blocks, b_page_blocks, b_list_depths, b_image_refs, b_nested, b_nested_lists, b_batches,
         k_push_actions, k_pending, k_positions, k_registry, k_images, k_requests, k_push_sequence, k_attach_windows, k_retries,
         k_commit, k_uploads, k_sync_runs, k_course_runs, k_course_steps, k_state_log, k_media, k_payloads, k_titles, k_state_files, s_markdown, s_parents, o_options,
     )

@@ -59,7 +59,10 @@ class RequestLog(DataSource):
         return "parent_id string, module_no int, seq int, method string, endpoint string, batch_no int"
 
     def writer(self, schema, overwrite: bool):
-        return _RequestLogWriter(self.options["path"])
+        path = self.options["path"].removeprefix("file://")
+        if "://" in path:
+            raise ValueError(f"the request log takes a mounted folder, not {path}; write other stores with the requests' own DataFrame")
+        return _RequestLogWriter(path)
 
 
 class _RequestLogWriter(DataSourceWriter):

@@ -244,6 +244,7 @@ _PAGES = """pages_md AS (SELECT conv_id AS doc_id, turn AS module_no, '# T' || c
 STRUCTURE: dict[str, str] = {
     "f_line_comment": f"""{WITH}, x AS (SELECT line FROM lines UNION ALL SELECT 'go(''' || url || '''); // from ' || url FROM pages), d AS (SELECT line, count(*) AS n FROM x GROUP BY 1) SELECT line, {uncommented('line')} AS code, n FROM d""",
     "c_line_kinds": f"""{WITH}, x AS (SELECT line AS raw FROM {DOC_LINES} UNION ALL SELECT line FROM {lines_of('pages', 'page_id', 'html')}) SELECT line_kind, count(*) AS n, sum(length(raw))::BIGINT AS chars FROM {kinds('x')} GROUP BY 1""",
+    "c_kinds_by_line": f"""{WITH}, x AS (SELECT line AS raw, count(*) AS n FROM (SELECT line FROM {DOC_LINES} UNION ALL SELECT line FROM {lines_of('pages', 'page_id', 'html')}) GROUP BY 1) SELECT raw AS line, n, line_kind FROM {kinds('x')}""",
     "t_fences": f"""{WALK}, {fenced('lines', 'doc_id')} SELECT doc_id, sum(in_fence::INT)::BIGINT AS fenced, sum(opens::INT)::BIGINT AS fences FROM x GROUP BY 1""",
     "t_units": f"{UNITS} SELECT doc_id, unit_no, type, level, text, src, array_to_string(lines, {NL}) AS body FROM units",
     "t_unit_counts": f"{UNITS} SELECT doc_id, type, count(*) AS n FROM units GROUP BY 1, 2",
@@ -258,6 +259,7 @@ CASE CAST(l_quantity AS INT) % 5 WHEN 0 THEN 'const url =' WHEN 1 THEN '=' WHEN
 merged AS (SELECT id, o, arg_max(acc, r) AS line FROM dangling GROUP BY 1, 2) SELECT id, string_agg(line, {NL} ORDER BY o) AS code FROM merged GROUP BY 1""",
     "b_blocks": BLOCKS,
     "b_nested": NESTED,
+    "b_image_refs": f"{RENDERED}, {blocks_of('rendered')} SELECT doc_id, module_no, (row_number() OVER (PARTITION BY doc_id, module_no ORDER BY block_no) - 1)::INT AS ref_no, token FROM block WHERE token IS NOT NULL",
     "b_nested_lists": NESTED_LISTS,
     "b_page_blocks": f"WITH RECURSIVE {_PAGES}, {blocks_of('pages_md')} SELECT doc_id, type, count(*) AS n, sum(depth)::BIGINT AS depths FROM block GROUP BY 1, 2",
 }

@@ -1,5 +1,6 @@
 """Upload plans, sources and sinks."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from folioforge.plans import sync
@@ -57,6 +58,8 @@ def test_requests_and_batches(spark, tmp_path):
     spark.dataSource.register(sinks.RequestLog)
     got.write.format("request_log").option("path", str(tmp_path / "log")).mode("append").save()
     assert spark.read.schema(got.schema).json(str(tmp_path / "log") + "/part-*.jsonl").count() == 5
+    with pytest.raises(Exception, match="mounted folder"):
+        got.write.format("request_log").option("path", "hdfs://store/log").mode("append").save()
 
 
 def test_images(spark):
