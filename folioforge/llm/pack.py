@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -26,15 +27,16 @@ END_ID = 2
 TABLE_WORDS = 400_000
 #: Longer chunks are encoded again where they come again.
 KEPT_LETTERS = 200
-#: Letters that lower-case and compose alone (A-Z, a-z and those of Latin-1), then closing punctuation.
-_SIMPLE = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
+#: A line of letters that lower-case and compose alone (A-Z, a-z and those of Latin-1), then ASCII punctuation but the apostrophe.
+_SIMPLE = re.compile(r"^(([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*))$", re.M)
+_LOWER = "abcdefghijklmnopqrstuvwxyzßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ"
 
 
 class WordTable:
     """Chunk between white space -> its ids, each distinct chunk encoded once while it stays in the table.
 
     The tokenizer lower-cases, drops white space and never joins across it, so a text's ids are its chunks' ids in a
-    row. A chunk of simple letters and closing punctuation is parted further, as the tokenizer's own pattern does.
+    row. A chunk of simple letters and punctuation after them is parted further, as the tokenizer's own pattern does.
     """
 
     def __init__(self, tokenizer_file: str, table_words: int = TABLE_WORDS):
@@ -42,39 +44,38 @@ class WordTable:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.normalizers import Sequence
 
         self.tok = Tokenizer.from_file(tokenizer_file)
+        # Where normalising changes no lower-case letter, words of them go without it.
+        self.lower, letters = Tokenizer.from_file(tokenizer_file), " ".join([_LOWER, *_LOWER, _LOWER[::-1]])
+        if self.lower.normalizer is not None and self.lower.normalizer.normalize_str(letters) == letters:
+            self.lower.normalizer = Sequence([])
         vocab = self.tok.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
         for piece, i in vocab.items():
             self.ends[i] = piece.endswith("</w>")
         self.most, self.chunks, self.words = table_words, {"": b""}, {}
-        probe = "Ab cd.\nEf, gh"
-        self.parted = self._plain(probe) == b"".join(map(self._plain, ["ab", "cd", ".", "ef", ",", "gh"])) and self.ends[np.frombuffer(self._plain("ab"), dtype="<u4")].sum() == 1
+        probe = "Ab cd.\nEf, gh ij.$$ kl!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+        self.parted = self._plain(probe) == b"".join(map(self._plain, ["ab", "cd", ".", "ef", ",", "gh", "ij", ".$$", "kl", probe[22:]])) and self.ends[np.frombuffer(self._plain("ab"), dtype="<u4")].sum() == 1
 
     def _plain(self, text: str) -> bytes:
         return np.asarray(self.tok.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def _add(self, new: list[str]) -> None:
-        match, parts, words, tails, odd = _SIMPLE.fullmatch, [], set(), set(), []
-        for c in new:
-            if m := match(c):
-                core, tail = m[1].lower(), m[2]
-                parts.append((c, core, tail))
-                words.add(core)
-                tails.add(tail)
-            else:
-                odd.append(c)
+        """Adds chunks, none of which holds a line end: the simple ones are parted by one search through all of them."""
+        found = _SIMPLE.findall("\n".join(new))
+        simple, cores, tails = zip(*found) if found else ((), (), ())
+        odd = list(set(new).difference(simple))
         for c, x in zip(odd, self.tok.encode_batch_fast(odd, add_special_tokens=False)):
             self.chunks[c] = np.asarray(x.ids, dtype="<u4").tobytes()
-        known = self.words
-        for tail in tails:
-            if tail not in known:
-                known[tail] = self._plain(tail)
-        fresh = [w for w in words if w not in known]
+        known, cores = self.words, [c.lower() for c in cores]
+        for tail in set(tails).difference(known):
+            known[tail] = self._plain(tail)
+        fresh = list(set(cores).difference(known))
         for at in range(0, len(fresh), 2000):
             some = fresh[at : at + 2000]
-            x = np.asarray(self.tok.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, dtype="<u4")
+            x = np.asarray(self.lower.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, dtype="<u4")
             stops = (np.flatnonzero(self.ends[x]) + 1) * 4
             if len(stops) == len(some):
                 raw, i = x.tobytes(), 0
@@ -84,9 +85,8 @@ class WordTable:
             else:
                 for w in some:
                     known[w] = self._plain(w)
-        chunks = self.chunks
-        for c, core, tail in parts:
-            chunks[c] = known[core] + known[tail] if tail else known[core]
+        get = known.__getitem__
+        self.chunks.update(zip(simple, map(add, map(get, cores), map(get, tails))))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.parted:
@@ -100,14 +100,17 @@ class WordTable:
             self.chunks = {"": b""}
         if len(self.words) > self.most:
             self.words = {}
-        new = [w for w in seen if w not in self.chunks]
+        new = list(seen.difference(self.chunks))
         self._add(new)
         get = self.chunks.__getitem__
         out = [b"".join(map(get, words)) for words in split]
         for w in new:  # kept chunks are short, so the tables' bytes are bounded as their entries are
             if len(w) > KEPT_LETTERS:
                 del self.chunks[w]
-                self.words.pop(w.rstrip(".,;:!?").lower(), None)
+                if m := _SIMPLE.fullmatch(w):
+                    for part in (m[2].lower(), m[3]):
+                        if part:
+                            self.words.pop(part, None)
         return out
 
 

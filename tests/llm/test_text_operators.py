@@ -38,6 +38,19 @@ def test_tables_keep_short_words_only():
     assert max(map(len, marked.ids)) < 200 and max(map(len, packed.chunks)) < 200 and max(map(len, packed.words)) < 200
 
 
+def test_words_with_punctuation_share_their_parts():
+    """A word before any run of punctuation is encoded once, as is the run; long runs are right and not kept."""
+    from tokenizers import Tokenizer
+
+    rnd, tok, packed = random.Random(7), Tokenizer.from_file(WORDS), pack.WordTable(WORDS)
+    marks = [chr(c) for c in range(33, 127) if not chr(c).isalnum()]
+    words = [rnd.choice(["Ab", "ÀÿB", "zebra", "don", "ß", "Ÿx", "x9"]) + "".join(rnd.choices(marks, k=rnd.randint(0, 4))) for _ in range(3000)]
+    texts = ["qab$$% Qab&& <|endoftext|> qab<|endoftext|>", "ab" + "." * 5000, *(" ".join(words[i : i + 30]) for i in range(0, 3000, 30))]
+    for _ in range(2):
+        assert packed.encode(texts) == [np.array(tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert {"qab", "$$%", "&&"} <= set(packed.words) and max(map(len, packed.words)) < 200
+
+
 # ---- chat ------------------------------------------------------------------------------------------
 
 
