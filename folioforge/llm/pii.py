@@ -162,13 +162,14 @@ def term_counts(docs: DataFrame) -> DataFrame:
     schema = pa.schema([("term", pa.string()), ("n", pa.int64())])
 
     def lowered(counts: Counter) -> Iterator[list[list]]:
+        """Empties counts, so that words are not held twice."""
         low: Counter = Counter()
-        for word, n in counts.items():
-            low[word.lower()] += n
         low[""] = sum(counts.values())
-        items = list(low.items())
-        for i in range(0, len(items), 50_000):
-            yield [list(x) for x in zip(*items[i : i + 50_000])]
+        while counts:
+            word, n = counts.popitem()
+            low[word.lower()] += n
+        while low:
+            yield [list(x) for x in zip(*(low.popitem() for _ in range(min(50_000, len(low)))))]
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own_tables("pii")
@@ -176,9 +177,9 @@ def term_counts(docs: DataFrame) -> DataFrame:
         for b in parts:
             for t in texts_of(b.column(0)):
                 counts.update(_TERM.findall(t))
-            if len(counts) > COUNTER_WORDS:
-                yield from map(wrap, lowered(counts))
-                counts.clear()
+                if len(counts) > COUNTER_WORDS:  # after each text: a batch of long texts may hold millions of words
+                    yield from map(wrap, lowered(counts))
+                    counts = Counter()
         yield from map(wrap, lowered(counts))
 
     return docs.select("text").mapInArrow(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))

@@ -443,6 +443,29 @@ def test_words_are_found_however_far():
     assert len(list(pii.contexts("a@x.yy 1.2.3.4 " * 20000))) == 0 and len(list(pii.contexts("a@x.yy abc " * 5000))) > 5000
 
 
+def test_term_counts_hold_few_words(spark, monkeypatch):
+    """A batch of texts with many words is handed on in parts of bounded size; the sums are those of all places."""
+    import pyarrow as pa
+
+    ran = []
+    kind = type(docs(spark, []))
+    whole = kind.mapInArrow
+    monkeypatch.setattr(kind, "mapInArrow", lambda df, f, schema: ran.append(f) or whole(df, f, schema))
+    letters = "abcdefghij"
+    name = lambda n: "".join(letters[int(c)] for c in f"{n:05d}")
+    texts = [" ".join(name(60 * k + j).title() + " " + name(j) for j in range(60)) for k in range(40)] + [None, ""]
+    counted = pii.term_counts(docs(spark, texts))
+    monkeypatch.setattr(pii, "COUNTER_WORDS", 100)
+    parts = [b.to_pydict() for b in ran[0](iter([pa.RecordBatch.from_pydict({"text": texts})]))]
+    assert len(parts) > 10 and max(len(p["term"]) for p in parts) <= 100 + 120 + 1
+    sums = {}
+    for p in parts:
+        for t, n in zip(p["term"], p["n"]):
+            sums[t] = sums.get(t, 0) + n
+    words = [w.lower() for t in texts for w in (t or "").split()]
+    assert sums == {w: words.count(w) for w in set(words)} | {"": len(words)} == {r["term"]: r["n"] for r in counted.collect()}
+
+
 # ---- substring dedup -------------------------------------------------------------------------------
 
 
