@@ -51,6 +51,49 @@ def test_words_with_punctuation_share_their_parts():
     assert {"qab", "$$%", "&&"} <= set(packed.words) and max(map(len, packed.words)) < 200
 
 
+def test_words_in_use_outlive_a_full_table():
+    """Words that come in every batch are encoded once, though new ones fill the table over and over."""
+
+    class Counting:
+        def __init__(self, tok):
+            self.tok, self.words = tok, []
+
+        def encode_batch_fast(self, texts, **options):
+            self.words += " ".join(texts).split()
+            return self.tok.encode_batch_fast(texts, **options)
+
+    packed, often = pack.WordTable(WORDS, 100), ["of" + c for c in "abcdefghijklmnopqrst"]
+    packed.lower = Counting(packed.lower)
+    for i in range(30):
+        texts = [" ".join([*often, *("n" + "abcdefghij"[i % 10] + "xyz"[i // 10] + 2 * chr(97 + j) for j in range(25))]) + "."]
+        assert packed.encode(texts) == [np.array(packed.tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert max(map(packed.lower.words.count, often)) == 1
+    texts = [" ".join(f"{a}{b}{c} {a}9{b}{c}" for a in "abcdefgh" for b in "ijklmnop" for c in "qrstu")]
+    assert packed.encode(texts) == [np.array(packed.tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert len(packed.words) <= 100 and len(packed.older) <= 100 and len(packed.chunks) <= 100
+
+
+@pytest.mark.parametrize("cut, together", [(1, 3), (16, 64), (1 << 20, 8 << 20)])
+def test_texts_in_slices(monkeypatch, cut, together):
+    """Texts give the tokenizer's ids wherever slices and shared look-ups end, null and empty ones and those of white space among them."""
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(pack, "SLICE", cut)
+    monkeypatch.setattr(pack, "TOGETHER", together)
+    rnd, tok, packed = random.Random(11), Tokenizer.from_file(WORDS), pack.WordTable(WORDS, 50)
+    some = [" ", "  ", "\n", "a", "Ab", "É", "é", "×", "÷", "ß", "ÿ", "ÞA", "-", "...", "('", "<|endoftext|>", "<|EndOfText|>", "9", "'s", "\u0301", "\xa0", "\x85", "\r", "\x00", "日本", "😀", "İ", "K", "x" * 250]
+    texts = [*ODD, *("".join(rnd.choices(some, k=rnd.randint(0, 25))) for _ in range(400)), "", None]
+    column = pa.array(["not read", *texts])[1:]
+    for packed.parted in (True, False):
+        ids = []
+        for x, stops in packed.encode_column(column):
+            ids += [y.tolist() for y in np.split(x, stops)[:-1]]
+        assert ids == [tok.encode(t or "", add_special_tokens=False).ids for t in texts]
+    packed.parted = True
+    assert packed.encode([]) == [] and packed.encode([""]) == [b""] and packed.encode(["\n", ""]) == [b"", b""]
+
+
 # ---- chat ------------------------------------------------------------------------------------------
 
 
