@@ -98,3 +98,16 @@ def test_options(spark):
     line = ["a.md", "--modulo", "3", "--odd", "--parent", "--force", "--media", "m"]
     push = options.parse_options(spark.createDataFrame([(1, k, t) for k, t in enumerate(line)], "run_id int, pos int, token string"), positionals=("path",), values=options.PUSH_VALUES)
     assert push.first().asDict() == {"run_id": 1, "path": "a.md", "module": "3", "media": "m", "parent_id": "--force", "dry_run": False, "force": False, "problem": None}
+
+
+def test_titles_of_part_numbers_over_five_digits(spark, tmp_path):
+    """A number is matched whole, though the stem shows five digits of it."""
+    from folioforge import queries
+
+    rows = [(7, "big ring", "B#1", 3), (10000, "hot bolt", "B#2", 4), (100003, "red nut", "B#3", 5), (100004, None, "B#4", 1), (100006, "old pin", "B#5", 2)]
+    spark.createDataFrame(rows, "p_partkey long, p_name string, p_brand string, p_size int").write.parquet(str(tmp_path / "part.parquet"))
+    got = queries.k_titles(spark, str(tmp_path)).orderBy("module_no").collect()
+    assert [tuple(r) for r in got] == [
+        ("00007-big-ring", 7, "Big ring"), ("10000-hot-bolt", 10000, "Módulo B#2"), ("10000-red-nut", 100003, "Red nut"),
+        ("10000-modulo", 100004, "Modulo"), ("10000-old-pin", 100006, "Módulo B#5"),
+    ]
