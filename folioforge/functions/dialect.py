@@ -20,9 +20,14 @@ def _points(prefix: str, suffix: str) -> str:
     return "".join("-".join(f"{prefix}{p}{suffix}" for p in x.split("-")) for x in _EXTRA)
 
 
-JAVA_SPACE, RE2_SPACE = r"\s" + _points(r"\x{", "}"), r"\s" + _points(r"\x{", "}")
+#: Java asks the parts of a class one after the other, so a character below U+00A0 is told apart from all of them at once.
+JAVA_SPACE, RE2_SPACE = r"\s[[^\x00-\x{9f}]&&[" + _points(r"\x{", "}") + "]]", r"\s" + _points(r"\x{", "}")
+#: The same characters as a text.
+SPACES = " \t\n\f\r" + "".join(chr(x) for r in _EXTRA for x in range(int(r.split("-")[0], 16), int(r.split("-")[-1], 16) + 1))
 _WORD = "A-Za-z0-9_"
 _JAVA_BOUNDARY = f"(?:(?<=[{_WORD}])(?![{_WORD}])|(?<![{_WORD}])(?=[{_WORD}]))"
+#: The same where case counts; under (?i) a class has more letters than `\\w`.
+_BOUNDARY = r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))"
 _NOT_LINE_END = r"[^\n\r\x{2028}\x{2029}]"
 
 
@@ -77,6 +82,38 @@ def java(pattern: str, flags: str = "") -> str:
     return ("(?iu)" if "i" in flags else "") + _translate(pattern, JAVA_SPACE, _JAVA_BOUNDARY, end)
 
 
+#: What each letter matches if case is ignored, beyond its two forms.
+_ALSO = {"i": "\u0130\u0131", "k": "\u212a", "s": "\u017f"}
+#: Texts with one of these may hold words that only the plain spelling finds: a long s may start a word, and these letters fold otherwise than they match.
+ODD_LETTERS = "\u017f\u0130\u0131"
+
+
+def _branches(words: list[str]) -> str:
+    """The words and the boundary after each, as a tree by letters; alternatives stay in order."""
+    tree: dict = {}
+    for word in words:
+        at = tree
+        for c in [*word, ""]:
+            at = at.setdefault(c, {})
+
+    def spelled(at: dict) -> str:
+        parts = [f"[{c}{c.upper()}{_ALSO.get(c, '')}]" + spelled(x) if c else _BOUNDARY for c, x in at.items()]
+        return parts[0] if len(parts) == 1 else f"(?:{'|'.join(parts)})"
+
+    return spelled(tree)
+
+
+def java_words(pattern: str, two: bool = False) -> str:
+    """A pattern `\\b(one|two|...)\\b` of lower-case words that start with ASCII letters, for Spark: whether a text without ODD_LETTERS, after a space, has one in
+    any case, or with `two` has two that differ. A word is looked for only where one may start, and by its letters."""
+    words = pattern.removeprefix(r"\b(").removesuffix(r")\b").split("|")
+    heads = "".join(sorted({w[0] + w[0].upper() for w in words}))
+    start, tree = rf"\W(?=[{heads}])", _branches(words)
+    if not two:
+        return start + tree
+    return rf"\A(?>(?s:.*?){start}({tree}))(?s:.*?)(?=[{heads}])(?<!\w)(?!(?iu:\1){_BOUNDARY}){tree}"
+
+
 def re2(pattern: str, flags: str = "") -> str:
     """The pattern for DuckDB."""
     end = r"(?m:$)" if "m" in flags else r"\z"

@@ -6,8 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import patterns as P
-from .dialect import java
-from .text import matches, prose_residue, replaced, strip_whole_line_bold, trimmed, word_count
+from .dialect import java, java_words
+from .text import has_odd_letter, has_word, has_words, matches, prose_skeleton, replaced, strip_whole_line_bold, trimmed
 
 #: The named line predicates: pattern and flags.
 NAMED = {
@@ -23,12 +23,19 @@ NAMED = {
 }
 
 
+#: What a line must have for a named predicate to hold, looked for first.
+HINTS = {"api_tokens": P.API_TOKENS_HINT, "hard_syntax": P.HARD_SYNTAX_HINT}
+
+
 def named(c: Column, name: str) -> Column:
-    return matches(c, *NAMED[name])
+    if name == "connectors":
+        return has_word(c, P.CONNECTORS)
+    holds = matches(c, *NAMED[name])
+    return matches(c, HINTS[name]) & holds if name in HINTS else holds
 
 
 def without_file_tokens(c: Column) -> Column:
-    return replaced(c, P.FILE_TOKEN, " ", "i")
+    return F.when(matches(c, P.FILE_TOKEN_HINT), replaced(c, P.FILE_TOKEN, " ", "i")).otherwise(c)
 
 
 def function_words(c: Column) -> Column:
@@ -36,14 +43,19 @@ def function_words(c: Column) -> Column:
     return F.regexp_extract_all(c, F.lit(java(P.SPANISH_FUNCTION_WORD, "i")), F.lit(0))
 
 
-def reads_as_prose(residue: Column) -> Column:
-    words = F.array_distinct(F.transform(function_words(residue), F.lower))
-    return (word_count(residue) >= 3) & (F.size(words) >= 2)
+def two_function_words(c: Column) -> Column:
+    """Whether two function words differ, looked for no further than the second."""
+    counted = F.size(F.array_distinct(F.transform(function_words(c), F.lower))) >= 2
+    return F.when(has_odd_letter(c), counted).otherwise(F.concat(F.lit(" "), c).rlike(java_words(P.SPANISH_FUNCTION_WORD, two=True)))
+
+
+def reads_as_prose(skeleton: Column) -> Column:
+    return has_words(skeleton, 3) & two_function_words(skeleton)
 
 
 def mixed_prose(c: Column) -> Column:
     """Prose that quotes code: without its syntax a skeleton of function words is left."""
-    return reads_as_prose(prose_residue(c))
+    return reads_as_prose(prose_skeleton(c))
 
 
 def is_file_path_label(c: Column) -> Column:
@@ -56,10 +68,14 @@ def label_text(c: Column) -> Column:
     return trimmed(replaced(without_file_tokens(trimmed(strip_whole_line_bold(c))), r"\s+", " "))
 
 
+def cannot_be_label(c: Column) -> Column:
+    """Lines that are no labels whatever else they hold; seen before a label's text is worked out."""
+    return matches(c, P.NO_LABEL)
+
+
 def reads_as_label(t: Column) -> Column:
-    words = word_count(t)
-    plain = named(t, "pure_text") & (words >= 2) & ~named(t, "keyword_start") & ~named(t, "shell_start")
-    return plain & (((words >= 4) & matches(t, r"[.:]$")) | named(t, "spanish_word"))
+    plain = named(t, "pure_text") & has_words(t, 2) & ~named(t, "keyword_start") & ~named(t, "shell_start")
+    return plain & ((has_words(t, 4) & matches(t, r"[.:]$")) | named(t, "spanish_word"))
 
 
 def is_spanish_label(c: Column) -> Column:
@@ -77,7 +93,8 @@ def is_gloss(c: Column) -> Column:
 
 
 def code_score(t: Column, trimmed_t: Column, ends_code: Column, words: Column, comment_tail: Column) -> Column:
-    call_at_end = F.regexp_extract(trimmed_t, java(P.CALL_AT_END), 1)
+    has_call = matches(trimmed_t, P.CALL_END)
+    call_at_end = F.when(has_call, F.regexp_extract(trimmed_t, java(P.CALL_AT_END), 1))
     weights = (
         (named(t, "keyword_start"), 3),
         (named(t, "shell_start"), 3),
@@ -87,9 +104,9 @@ def code_score(t: Column, trimmed_t: Column, ends_code: Column, words: Column, c
         (comment_tail, 3),
         (matches(trimmed_t, P.KEY_VALUE) & (words <= 12), 2),
         (matches(t, P.METHOD_START), 2),
-        (matches(trimmed_t, P.CALL_AT_END) & (words <= 10) & ~is_gloss(call_at_end), 2),
-        (matches(t, P.OPERATORS), 1),
-        (matches(t, P.MEMBER), 1),
+        (has_call & matches(trimmed_t, P.CALL_AT_END) & (words <= 10) & ~is_gloss(call_at_end), 2),
+        (matches(t, P.OPERATORS_HINT) & matches(t, P.OPERATORS), 1),
+        (matches(t, P.MEMBER_HINT) & matches(t, P.MEMBER), 1),
         (matches(t, P.BRACKET), 1),
         (~named(t, "accented"), 1),
         (words <= 4, 1),

@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import patterns as P
-from .dialect import java
+from .dialect import ODD_LETTERS, SPACES, java, java_words
 
 NBSP = "\u00a0"
 
@@ -23,11 +23,23 @@ def replaced(c: Column, pattern: str, by: str, flags: str = "") -> Column:
 
 def trimmed(c: Column) -> Column:
     """Without white space at either end, the no-break space included."""
-    return replaced(replaced(c, r"^\s+", ""), r"\s+$", "")
+    return F.btrim(c, F.lit(SPACES))
 
 
 def right_trimmed(c: Column) -> Column:
-    return replaced(c, r"\s+$", "")
+    return F.rtrim(c, F.lit(SPACES))
+
+
+def has_word(c: Column, pattern: str) -> Column:
+    """Whether one of the words of `\\b(one|two|...)\\b` is there, in any case."""
+    return F.when(has_odd_letter(c), matches(c, pattern, "i")).otherwise(F.concat(F.lit(" "), c).rlike(java_words(pattern)))
+
+
+def has_odd_letter(c: Column) -> Column:
+    odd = c.contains(ODD_LETTERS[0])
+    for x in ODD_LETTERS[1:]:
+        odd = odd | c.contains(x)
+    return odd
 
 
 def strip_autolinks(c: Column) -> Column:
@@ -35,7 +47,8 @@ def strip_autolinks(c: Column) -> Column:
 
 
 def unescape_all(c: Column) -> Column:
-    return replaced(replaced(strip_autolinks(c), P.ESCAPED_ELLIPSIS, "…"), P.ESCAPED_ANY, "$1")
+    plain = replaced(replaced(strip_autolinks(c), P.ESCAPED_ELLIPSIS, "…"), P.ESCAPED_ANY, "$1")
+    return F.when(c.contains("<") | c.contains("\\"), plain).otherwise(c)
 
 
 def unescape_prose(c: Column) -> Column:
@@ -53,6 +66,15 @@ def word_count(c: Column) -> Column:
     return F.when(c.isNull(), None).otherwise(F.regexp_count(c, F.lit(java(r"\S+"))))
 
 
+def words_up_to(c: Column, most: int) -> Column:
+    """The number of words, or `most` if there are more; reads no further than that."""
+    return F.regexp_count(F.regexp_extract(c, java(rf"^\s*+(?:\S++\s*+){{0,{most}}}"), 0), F.lit(java(r"\S+")))
+
+
+def has_words(c: Column, least: int) -> Column:
+    return matches(c, rf"^\s*+(?:\S++\s++){{{least - 1}}}\S")
+
+
 def strip_whole_line_bold(c: Column) -> Column:
     return replaced(c, P.WHOLE_LINE_BOLD, "$1$2$3")
 
@@ -65,7 +87,7 @@ def nbsp_ratio(c: Column) -> Column:
     """No-break spaces among all spaces; 0 without one."""
     count = lambda x: F.length(c) - F.length(F.replace(c, F.lit(x), F.lit("")))
     hard, soft = count(NBSP), count(" ")
-    return F.when(hard == 0, F.lit(0.0)).otherwise(hard / (hard + soft))
+    return F.when(~c.contains(NBSP), F.lit(0.0)).otherwise(hard / (hard + soft))
 
 
 #: What stands before a trailing comment: plain characters, closed strings (a quote after a backslash doesn't close), and
@@ -79,10 +101,21 @@ def strip_line_comment(c: Column) -> Column:
     return F.when(c.contains("//") & c.rlike(_BEFORE_COMMENT), F.regexp_extract(c, _BEFORE_COMMENT, 1)).otherwise(c)
 
 
+#: Names and calls are looked for once a word, not at each of its letters, and without going back; for Java only.
+_NAME = r"(?<![A-Za-z_$])[A-Za-z_$][\w$]*+"
+_ONCE = {P.RESIDUE[2]: _NAME + r"(?:\.[A-Za-z_$][\w$]*+)+", P.RESIDUE[3]: _NAME + r"\s*+\([^()]*+\)"}
+
+
+def prose_skeleton(c: Column) -> Column:
+    """The words that are left without syntax, white space as it falls. What would be taken out can't be there without the hint."""
+    rest = c
+    for pattern in P.RESIDUE[:-2]:
+        rest = replaced(rest, _ONCE.get(pattern, pattern), " ")
+    return replaced(F.when(matches(c, P.RESIDUE_HINT), rest).otherwise(c), P.RESIDUE[-2], " ")
+
+
 def prose_residue(c: Column) -> Column:
-    for pattern in P.RESIDUE:
-        c = replaced(c, pattern, " ")
-    return trimmed(c)
+    return trimmed(replaced(prose_skeleton(c), P.RESIDUE[-1], " "))
 
 
 #: Lower-case letters whose canonical decomposition is an ASCII letter and marks, and that letter; from the Unicode tables.

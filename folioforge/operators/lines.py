@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..functions.dialect import java
-from ..functions.predicates import code_score, is_file_path_label, label_text, looks_like_call, named, reads_as_label, reads_as_prose
-from ..functions.text import has_nbsp_indent, is_autolink_line, matches, nbsp_ratio, prose_residue, strip_line_comment, trimmed, unescape_all, word_count
+from ..functions.predicates import cannot_be_label, code_score, is_file_path_label, label_text, looks_like_call, named, reads_as_label, reads_as_prose
+from ..functions.text import has_nbsp_indent, is_autolink_line, matches, nbsp_ratio, prose_skeleton, strip_line_comment, trimmed, unescape_all, words_up_to
 
 
 def split_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", newline: str = r"\r?\n") -> DataFrame:
@@ -35,9 +35,9 @@ def mark_fences(lines: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def line_features(lines: DataFrame, line: str = "line") -> DataFrame:
-    """Adds what several rules look at, each worked out once: t, tt (t trimmed), words, body, ends_code, comment_tail."""
+    """Adds what several rules look at, each worked out once: t, tt (t trimmed), words (13 if there are more; no rule asks beyond 12), body, ends_code, comment_tail."""
     x = lines.withColumn("t", unescape_all(F.col(line)))
-    x = x.withColumn("tt", trimmed(F.col("t"))).withColumn("words", word_count(F.col("t"))).withColumn("body", trimmed(strip_line_comment(F.col("t"))))
+    x = x.withColumn("tt", trimmed(F.col("t"))).withColumn("words", words_up_to(F.col("t"), 13)).withColumn("body", trimmed(strip_line_comment(F.col("t"))))
     x = x.withColumn("ends_code", matches(F.col("body"), P.CODE_END))
     return x.withColumn("comment_tail", (F.length("body") > 0) & (F.length("body") < F.length("tt")))
 
@@ -45,7 +45,7 @@ def line_features(lines: DataFrame, line: str = "line") -> DataFrame:
 def classify_lines(lines: DataFrame, line: str = "line") -> DataFrame:
     """Adds `line_kind`: 'code', 'prose' or 'unknown'; the first rule that applies decides. A null line is unknown.
 
-    Rules go in steps, and what a later step looks at (the label's text, the residue, the score) is worked out once and
+    Rules go in steps, and what a later step looks at (the label's text, the skeleton, the score) is worked out once and
     only for lines that no earlier step has decided. The last steps before the score all say prose, so the cheap ones go first.
     """
     x = line_features(lines.withColumn("raw_line", F.coalesce(F.col(line), F.lit(""))), "raw_line")
@@ -66,10 +66,10 @@ def classify_lines(lines: DataFrame, line: str = "line") -> DataFrame:
         .when(is_file_path_label(t), prose)
     )
     x = x.withColumn("decided", decided)
-    x = x.withColumn("label", F.when(open_, label_text(t)))
+    x = x.withColumn("label", F.when(open_ & ~cannot_be_label(t), label_text(t)))
     x = x.withColumn("decided", F.when(open_ & reads_as_label(F.col("label")), prose).otherwise(F.col("decided")))
-    x = x.withColumn("residue", F.when(open_, prose_residue(t)))
-    x = x.withColumn("decided", F.when(open_ & reads_as_prose(F.col("residue")), prose).otherwise(F.col("decided")))
+    x = x.withColumn("skeleton", F.when(open_, prose_skeleton(t)))
+    x = x.withColumn("decided", F.when(open_ & reads_as_prose(F.col("skeleton")), prose).otherwise(F.col("decided")))
     x = x.withColumn("score", F.when(open_, code_score(t, tt, ends_code, words, tail)))
     scored = F.when((F.col("score") >= 4) | ((F.col("score") >= 3) & (words <= 8)), code).otherwise(F.lit("unknown"))
     return x.select(*lines.columns, F.coalesce("decided", scored).alias("line_kind"))
