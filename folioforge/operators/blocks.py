@@ -105,10 +105,18 @@ def image_refs(blocks: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def batches(blocks: DataFrame, keys: list[str], size: int = P.MAX_BLOCKS) -> DataFrame:
-    """Adds `batch_no`: top-level blocks go by `size` in order, children with their parent."""
+    """Adds `batch_no`: top-level blocks go by `size` in order, children with their parent.
+
+    Where there is a column `n_blocks`, a top-level row stands for so many blocks one after the other, of which the token is the first's;
+    `batch_no` is then the batch of the first, and `last_batch` is added for the last's. So blocks needn't be rows to be counted.
+    """
     w = Window.partitionBy(*keys).orderBy("block_no")
-    top = F.sum(F.col("parent_no").isNull().cast("int")).over(w) - 1
-    return blocks.withColumn("batch_no", F.floor(top / F.lit(size)).cast("int"))
+    is_top = F.col("parent_no").isNull()
+    if "n_blocks" not in blocks.columns:
+        return blocks.withColumn("batch_no", F.floor((F.sum(is_top.cast("int")).over(w) - 1) / F.lit(size)).cast("int"))
+    x = blocks.withColumn("upto", F.sum(F.when(is_top, F.col("n_blocks").cast("long")).otherwise(0)).over(w))
+    first = F.col("upto") - F.when(is_top, F.col("n_blocks")).otherwise(1)
+    return x.withColumns({"batch_no": F.floor(first / F.lit(size)).cast("int"), "last_batch": F.floor((F.col("upto") - 1) / F.lit(size)).cast("int")}).drop("upto")
 
 
 def rich_text_json(runs: Column) -> Column:

@@ -5,6 +5,7 @@ A staged table also cuts the lineage, so a lost executor costs a read, not the w
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -32,6 +33,12 @@ def staged(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def release_shuffles(spark: SparkSession) -> None:
+    """Lets Spark remove the shuffle files of plans that nothing refers to any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def drop_staged(spark: SparkSession, path: str) -> None:
     """Deletes a staged table that nothing reads any more."""
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

@@ -162,3 +162,49 @@ def test_attach_windows(spark, seconds):
             if dearest < fits:
                 assert not r["grouped_late"]
             assert r["grouped_wait_ms"] <= r["wait_ms"]
+
+
+# ---- rows that stand for many blocks ---------------------------------------------------------------
+
+
+def test_rows_that_stand_for_many_blocks(spark):
+    """The same requests and waits, whether the blocks of a run are rows or a number."""
+    rnd = random.Random(4)
+    runs = [(p, m, k, None if rnd.random() < 0.8 or k == 0 else k - 1, f"image{rnd.randint(1, 30)}" if rnd.random() < 0.4 else None, rnd.choice([1, 2, 40, 99, 100, 101, 260])) for p in "ab" for m in (1, 2, 3) for k in range(25)]
+    rows = [(p, m, 1000 * k + i, parent, token if i == 0 else None) for p, m, k, parent, token, n in runs for i in range(n if parent is None else 1)]
+    make, own = spark.createDataFrame, "parent_id string, module_no int, block_no int, parent_no int, token string"
+    short, long = make(runs, own + ", n_blocks int"), make(rows, own)
+    acts = make([(p, m, "x", "redo") for p in "ab" for m in (1, 2, 3)], "parent_id string, module_no int, page_id string, action string")
+    names = [f"image{k}" for k in range(1, 25)]
+    shared = make([(n, 1) for n in names], "name string, size long")
+    each = make([(p, m, n, 1) for p in "ab" for m in (1, 2, 3) for n in names], "parent_id string, module_no int, name string, size long")
+    a, b = push.image_steps(short, shared), push.image_steps(long, each)
+    rows_of = lambda df: sorted(map(tuple, df.collect()), key=str)
+    assert rows_of(a) == rows_of(b) and a.where("status = 'missing'").count()
+    assert rows_of(push.push_sequence(acts, short, a)) == rows_of(push.push_sequence(acts, long, b))
+    counts = blocks.batches(long, KEYS).groupBy(*KEYS).agg({"batch_no": "max"}).selectExpr(*KEYS, "`max(batch_no)` + 1 as n_batches")
+    for seconds in (2, 8, 20, 90):
+        assert rows_of(push.attach_windows(a, attach_seconds=seconds)) == rows_of(push.attach_windows(b, counts, attach_seconds=seconds))
+
+
+@pytest.mark.parametrize("seconds", [2, 3, 5, 8, 12])
+def test_groups_over_batches_without_images(spark, seconds):
+    """A group may start with batches that take no image in; its waits count from there. Against a walk over all batches."""
+    rnd = random.Random(seconds)
+    images = [("p", m, k, f"t{k}", b, "upload") for m in (1, 2, 3, 4) for k, b in enumerate(sorted(rnd.choices(range(60), k=14)))]
+    got = push.attach_windows(spark.createDataFrame(images, "parent_id string, module_no int, ref_no int, token string, batch_no int, status string"), attach_seconds=seconds).collect()
+    assert len(got) == len(images)
+    fits = seconds * 1000 // P.MIN_INTERVAL_MS
+    for m in (1, 2, 3, 4):
+        own = [x for x in images if x[1] == m]
+        per = [sum(x[4] == b for x in own) for b in range(60)]
+        room, spent, groups = max(1, fits - (2 * max(per) + 1)), 0, {}
+        for b in range(60):
+            spent += 1 + 2 * per[b]
+            groups.setdefault((spent - 1) // room, []).append(b)
+        sent = []
+        for g in groups.values():
+            sent += [("s", x[2], k) for x in own if x[4] in g for k in (0, 1)] + [("b", b) for b in g]
+        group_of = {b: g for g, bs in groups.items() for b in bs}
+        for r in (r for r in got if r["module_no"] == m):
+            assert r["group_no"] == group_of[r["batch_no"]] and r["grouped_wait_ms"] == 340 * (sent.index(("b", r["batch_no"])) - sent.index(("s", r["ref_no"], 1)))
