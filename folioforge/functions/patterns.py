@@ -120,17 +120,17 @@ RESIDUE = (
     r"\s+",
 )
 
-# ---- what a text must have for a pattern to match, quickly seen ------------------------------------
-#: For all of RESIDUE but its last two.
-RESIDUE_HINT = r"""[`'"({<]|[\w$]\.[A-Za-z_$]"""
+# ---- what a text must have for a pattern to match, quickly seen; for Java only ----------------------
+#: For all of RESIDUE but its last two. Each of these starts with one set of characters, so that other characters are passed over at once.
+RESIDUE_HINT = r"""[`'"({<.](?:(?<!\.)|(?<=[\w$]\.)(?=[A-Za-z_$]))"""
 HARD_SYNTAX_HINT = r"[=({;}:<]"
-API_TOKENS_HINT = r"\(|\w\.[A-Za-z_$(]|Storage\.|exports\."
+API_TOKENS_HINT = r"[.(](?:(?=[A-Za-z_$(])|(?<=Storage\.|exports\.|require\(|addEventListener\())"
 CALL_END = r"\)\s*[;{]?\s*$"
 OPERATORS_HINT = r"[=+&|?-]"
-MEMBER_HINT = r"[\w$]\.[a-zA-Z_$]"
-FILE_TOKEN_HINT = r"[\w-]\.[^ ]|/"
+MEMBER_HINT = r"\.(?=[a-zA-Z_$])(?<=[\w$]\.)"
+FILE_TOKEN_HINT = r"[./](?:(?<=/)|(?<=[\w-]\.)(?=[^ ]))"
 #: What keeps a text from being a label: characters that neither PURE_TEXT nor a file name has, or two full stops that end words.
-NO_LABEL = r"""["(){}[\];<>=&|#$%@^~+`\\]|\.\s[\s\S]*?\.\s"""
+NO_LABEL = r"""["(){}[\];<>=&|#$%@^~+`\\.](?:(?<!\.)|(?=\s)[\s\S]*?\.\s)"""
 
 # ---- fixed values: modules, rendering and blocks ---------------------------------------------------
 INDEX_TITLE = r"^(contenido|índice|indice|tabla de contenido)"

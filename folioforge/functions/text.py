@@ -108,10 +108,12 @@ _ONCE = {P.RESIDUE[2]: _NAME + r"(?:\.[A-Za-z_$][\w$]*+)+", P.RESIDUE[3]: _NAME
 
 def prose_skeleton(c: Column) -> Column:
     """The words that are left without syntax, white space as it falls. What would be taken out can't be there without the hint."""
-    rest = c
+    rest = with_calls = c
     for pattern in P.RESIDUE[:-2]:
-        rest = replaced(rest, _ONCE.get(pattern, pattern), " ")
-    return replaced(F.when(matches(c, P.RESIDUE_HINT), rest).otherwise(c), P.RESIDUE[-2], " ")
+        with_calls = replaced(with_calls, _ONCE.get(pattern, pattern), " ")
+        if pattern != P.RESIDUE[3]:
+            rest = replaced(rest, _ONCE.get(pattern, pattern), " ")
+    return replaced(F.when(c.contains("("), with_calls).when(matches(c, P.RESIDUE_HINT), rest).otherwise(c), P.RESIDUE[-2], " ")
 
 
 def prose_residue(c: Column) -> Column:
